@@ -118,3 +118,30 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"),
         F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@_query(
+    "op2_decontaminate",
+    r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+i as (
+  select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+iw as (
+  select distinct item_id, least(10, len(words)) as w, array_to_string(words[p:p + least(10, len(words)) - 1], ' ') as gram
+  from (select item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) as p from i where len(words) > 0)),
+dw as (
+  select doc_id, p, w, array_to_string(words[p:p + w - 1], ' ') as gram
+  from (select doc_id, words, w, unnest(range(1, len(words) - w + 2)) as p from d, (select distinct w from iw) where len(words) >= w)),
+m as (select doc_id, p, dw.w, item_id from dw join iw on dw.w = iw.w and dw.gram = iw.gram),
+h as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(p, p + w)) as x from m) group by doc_id),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from m group by doc_id)
+select d.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id""",
+)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontaminate import find
+
+    out = find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
