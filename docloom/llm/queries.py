@@ -145,3 +145,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@_query(
+    "op5_near",
+    r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+s as (
+  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+         else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as grams from d),
+e as (select doc_id, len(grams) as n, unnest(grams) as gram from s),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n_both, any_value(a.n) + any_value(b.n) - count(*) as n_either
+  from e a join e b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * n_both >= 85 * n_either union all select b, a from p where 100 * n_both >= 85 * n_either),
+r as (select doc_id as node, doc_id as reached from s union select r.node, l.b from r join l on r.reached = l.a),
+c as (select node, min(reached) as component_id from r group by node)
+select s.doc_id, cast(len(grams) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept from s join c on s.doc_id = c.node""",
+)
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
