@@ -168,3 +168,11 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_suffixes")
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.suffix_family import cut
+
+    out = cut(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
