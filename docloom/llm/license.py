@@ -208,7 +208,8 @@ def scan(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", r
         docs.withColumn("first_word", F.when(some, _count(first, " ") - 1).cast("long"))
         .withColumn("last_word", F.when(some, _count(last, " ") - 1).cast("long"))
         .withColumn("_base", F.when(some, F.array_sort(labels)).otherwise(F.expr("cast(array() as array<string>)")))
-        .withColumn("key", F.md5("norm"))
+        # texts that no rule reads have no detections to meet, so their keys need only be spread
+        .withColumn("key", F.coalesce(F.md5("norm"), F.concat(F.lit("none-"), F.xxhash64(*keep).cast("string"))))
     )
     found = detections(docs.filter("norm is not null").select("key", "norm"), rules)
     by_key = found.groupBy(F.col("key").alias("_key")).agg(F.collect_set("label").alias("_labels"), F.max("weight").alias("_weight"))
