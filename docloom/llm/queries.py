@@ -176,3 +176,12 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = cut(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.toxicity import held_out, score, train, training_rows
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(training_rows(docs, _table(spark, sf_dir, "labels")))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
