@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.col("chunk") > F.col("other")).cast("int").alias("side"),
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = members.join(rows, "doc_id").select("block", "side", "doc_id", "text").repartition(max(n, 24), "block").sortWithinPartitions("block")
+    # never a broadcast, whose size would depend on the input: candidates grow with it
+    blocks = members.hint("shuffle_merge").join(rows, "doc_id").select("block", "side", "doc_id", "text").repartition(max(n, 24), "block").sortWithinPartitions("block")
     links = work.save(blocks.mapInArrow(_link_batches, "a bigint, b bigint"), "links")
     joined = connected_components(links, work, "joined")
 
