@@ -185,3 +185,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train(training_rows(docs, _table(spark, sf_dir, "labels")))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@_query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
