@@ -192,3 +192,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_html")
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.html_crf import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
