@@ -79,7 +79,7 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
         at = (key >> np.uint64(64 - bits)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         new = first[~filled[at[first]]]
-        out[at[new]] = mix(key[new] + np.uint64(done + 1) * _STEP)
+        out[at[new]] = mix(key[new] + np.uint64((done + 1) * int(_STEP) % (1 << 64)))
         filled[at[new]] = True
         done += rounds
     for b in np.flatnonzero(~filled):

@@ -279,11 +279,11 @@ def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES) ->
     return work.save(full.unionByName(settled), "ranges")
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_bytes, spans and the bytes that stay to rows (row, text, ranges)."""
+def _cut_batches(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    """Adds n_bytes, spans and the bytes (or characters) that stay to rows (row, text, ranges)."""
     names = ["_row", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.string() if as_text else pa.binary()]
     for batch in batches:
         out: list[list] = [[] for _ in kinds]
         for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
@@ -299,14 +299,15 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text[upto:a])
                 upto = b
             kept.append(text[upto:])
-            row = (len(text), sum(b - a for a, b in spans), len(spans), [{"start": a, "stop": b} for a, b in spans], b"".join(kept))
+            stays = b"".join(kept)
+            row = (len(text), sum(b - a for a, b in spans), len(spans), [{"start": a, "stop": b} for a, b in spans], stays.decode("utf-8", "ignore") if as_text else stays)
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
 
-def cut(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``keep`` plus n_bytes, n_removed, n_spans, spans and kept (the remaining bytes), for each row."""
+def cut(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", batches: int = BATCHES, as_text: bool = False) -> DataFrame:
+    """``keep`` plus n_bytes, n_removed, n_spans, spans and kept (the remaining bytes, or characters), for each row."""
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark, "suffixes")
@@ -318,8 +319,8 @@ def cut(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
     ranges = removed_ranges(rows.select("doc", "hash", "text"), work, batches)
     lists = ranges.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     joined = rows.join(lists, ["doc", "hash"], "left").select("_row", "text", "ranges")
-    schema = f"_row {joined.schema['_row'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
-    return joined.mapInArrow(_cut_batches, schema).select("_row.*", "n_bytes", "n_removed", "n_spans", "spans", "kept")
+    schema = f"_row {joined.schema['_row'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}"
+    return joined.mapInArrow(lambda rows: _cut_batches(rows, as_text), schema).select("_row.*", "n_bytes", "n_removed", "n_spans", "spans", "kept")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -330,6 +331,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = BATCHES)
     own = docs.columns
     others = [c for c in own if c != text]
     packed = docs.select("doc_id", text, F.struct(*[F.col(c) for c in others]).alias("_others"))
-    out = cut(packed, ("_others",), text, batches).filter("n_bytes = 0 or n_removed < n_bytes")
-    whole = F.when(F.col("n_removed") == 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    return out.select("_others.*", whole.alias(text)).select(*own)
+    out = cut(packed, ("_others",), text, batches, as_text=True).filter("n_bytes = 0 or n_removed < n_bytes")
+    return out.select("_others.*", F.col("kept").alias(text)).select(*own)
