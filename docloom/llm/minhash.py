@@ -212,6 +212,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each component, the one with the least doc_id, with its own columns; repeated rows go too."""
-    kept = near_duplicates(docs, text).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    # one shuffle of the rows by one key serves the join and the removal of repeated rows; a null id has a key too
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    kept = near_duplicates(docs, text).filter("kept").select(key("doc_id").alias("_key")).distinct()
+    rows = docs.select(key("doc_id").alias("_key"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(kept.hint("shuffle_merge"), "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
