@@ -104,15 +104,17 @@ def facts(questions: DataFrame, programs: DataFrame, courses: DataFrame, totals:
     two_systems; courses and totals as in ``records``. Three branches: a named course in all its programmes; the programmes
     asked for, with the semester asked for; else the catalogue.
     """
-    asked = questions.join(is_curriculum(questions, programs, courses).filter("asks"), "qid").select("qid", "text", semester_of(F.col("text")).alias("sem"))
     label = program_label(F.col("nganh"), F.col("chuyen_nganh"))
+    p, c = match_programs(questions, programs), match_courses(questions, courses)
+    # one row for each question with what it names; a name of both kinds goes by the question's own words
+    named = p.select("qid", F.lit(1).alias("_p"), F.lit(0).alias("_c")).unionByName(c.select("qid", F.lit(0).alias("_p"), F.lit(1).alias("_c"))).groupBy("qid").agg(F.max("_p").alias("_p"), F.max("_c").alias("_c"))
     q = X.fold(F.col("text"))
-    p, c = match_programs(asked, programs), match_courses(asked, courses)
-    both = p.select("qid").distinct().join(c.select("qid").distinct(), "qid").join(asked, "qid")
-    drop_c = both.filter(q.rlike(ASKS_PROGRAM)).select("qid")
-    drop_p = both.filter(~q.rlike(ASKS_PROGRAM) & q.rlike(ASKS_COURSE)).select("qid")
-    p, c = p.join(drop_p, "qid", "left_anti"), c.join(drop_c, "qid", "left_anti")
-    c = c.join(p.select("qid").distinct(), "qid", "left_anti")
+    state = questions.join(named, "qid", "left").select("qid", q.alias("_q"), (F.coalesce("_p", F.lit(0)) == 1).alias("_p"), (F.coalesce("_c", F.lit(0)) == 1).alias("_c"), semester_of(F.col("text")).alias("sem"))
+    state = state.filter(F.col("_q").rlike(STRONG) | (F.col("_q").rlike(WEAK) & (F.col("_q").rlike(HINT) | F.col("_p") | F.col("_c"))))
+    both = F.col("_p") & F.col("_c")
+    use_p = F.col("_p") & ~(both & ~F.col("_q").rlike(ASKS_PROGRAM) & F.col("_q").rlike(ASKS_COURSE))
+    asked = state.select("qid", "sem", use_p.alias("_p"), (F.col("_c") & ~use_p).alias("_c"))
+    p, c = p.join(asked.filter("_p").select("qid", "sem"), "qid"), c.join(asked.filter("_c").select("qid"), "qid")
     lines = lambda value, order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("_v")))), lambda x: x["_v"]), "\n")
 
     rows = c.join(courses, ["source", "ord"]).join(programs.select("source", "nganh", "chuyen_nganh"), "source")
@@ -132,7 +134,7 @@ def facts(questions: DataFrame, programs: DataFrame, courses: DataFrame, totals:
         F.lit(", chia thành "), F.col("n_semesters"), F.lit(" học kỳ.\nTín chỉ từng học kỳ: "), F.coalesce("_each", F.lit("")), F.lit("."),
     )
     listed = courses.groupBy("source", "semester").agg(lines(course_line(), ["ord"]).alias("_list")).join(exclusive_note(courses, totals), ["source", "semester"], "left")
-    found = p.join(programs, "source").join(by_semester, "source", "left").join(asked.select("qid", "sem"), "qid")
+    found = p.join(programs, "source").join(by_semester, "source", "left")
     found = found.join(listed.withColumnRenamed("semester", "sem"), ["source", "sem"], "left")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n"), F.col("note"))).otherwise(F.lit(""))
     detail = F.when(F.col("sem").isNull(), F.lit("")).when(F.col("_list").isNotNull(), F.concat(F.lit("\n\nDanh sách học phần học kỳ "), F.col("sem"), F.lit(" của "), label, F.lit(":\n"), F.col("_list"), note)).otherwise(
@@ -146,7 +148,6 @@ def facts(questions: DataFrame, programs: DataFrame, courses: DataFrame, totals:
         F.lit(", "), F.col("n_semesters"), F.lit(" học kỳ, khoá "), F.coalesce(F.nullif("khoa_hoc", F.lit("")), F.lit("?")),
     )
     every = programs.agg(lines(item, ["source"]).alias("_l"))
-    done = of_course.select("qid").unionByName(of_program.select("qid"))
-    rest = asked.join(done, "qid", "left_anti").crossJoin(F.broadcast(every))
+    rest = asked.filter("not _p and not _c").crossJoin(F.broadcast(every))
     of_all = rest.select("qid", F.concat(F.lit("Các ngành hiện CÓ kế hoạch đào tạo trong kho dữ liệu:\n"), F.col("_l"), F.lit("\n\nNgoài các ngành trên, kho dữ liệu KHÔNG có kế hoạch đào tạo của ngành nào khác.")).alias("facts"))
     return of_course.unionByName(of_program).unionByName(of_all)
