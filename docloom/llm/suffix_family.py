@@ -37,6 +37,8 @@ HALF = WINDOW // 2
 SHARED = LENGTH - HALF
 PIECE = 4 << 20
 BATCHES = 4
+#: Contexts of one key beyond which its windows are counted one by one, over all tasks, instead of together in one.
+HOT = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,37 +150,56 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, hash, text, list of entries) to (key, whole, doc, hash, first, bytes)."""
-    names = ["key", "whole", "doc", "hash", "first", "bytes"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    """Rows (doc, hash, text, list of entries) to (key, whole, doc, hash, first, bytes, hot)."""
+    names = ["key", "whole", "doc", "hash", "first", "bytes", "hot"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         size = 0
         for doc, h, text, parts in zip(*batch.columns, strict=True):
             doc, h, text = doc.as_py(), h.as_py(), text.as_py()
             for p in parts.as_py():
-                row = (p["key"], p["whole"], doc, h, p["first"], text[p["first"] : p["last"] + LENGTH])
+                row = (p["key"], p["whole"], doc, h, p["first"], text[p["first"] : p["last"] + LENGTH], p["hot"])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-                size += len(row[-1])
+                size += len(row[5])
             if size > PIECE:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
                 out, size = [[] for _ in names], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
-def shared_windows(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context, which of its windows of LENGTH bytes also stand in another one (or twice)."""
+def _windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two fingerprints of every window of every context, and how many each has."""
     begin = np.concatenate(([0], np.cumsum([len(c) for c in contexts]))).astype(np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     keep = np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in zip(begin[:-1], begin[1:], strict=True)])
-    one, two = rolling(data, LENGTH)[keep], rolling(data, LENGTH, _BYTES2, _BASE2)[keep]
+    return rolling(data, LENGTH)[keep], rolling(data, LENGTH, _BYTES2, _BASE2)[keep], np.diff(begin) - LENGTH + 1
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _context_batches to their windows: (doc, hash, start, whole, and two fingerprints)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch.to_pydict()
+        one, two, counts = _windows(rows["bytes"])
+        owner = np.repeat(np.arange(counts.size), counts)
+        start = np.array(rows["first"], np.int64)[owner] + np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
+        columns = [pa.array(np.array(rows[c], np.int64)[owner]) for c in ("doc", "hash")]
+        columns += [pa.array(start), pa.array(np.array(rows["whole"], bool)[owner]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "hash", "start", "whole", "one", "two"])
+
+
+def shared_windows(contexts: list[bytes]) -> list[np.ndarray]:
+    """For each context, which of its windows of LENGTH bytes also stand in another one (or twice)."""
+    one, two, counts = _windows(contexts)
     by = np.argsort(one, kind="stable")
     same = (one[by[1:]] == one[by[:-1]]) & (two[by[1:]] == two[by[:-1]])
-    twice = np.zeros(keep.size, bool)
+    twice = np.zeros(one.size, bool)
     twice[by[1:][same]] = True
     twice[by[:-1][same]] = True
-    return np.split(twice, np.cumsum(np.diff(begin) - LENGTH + 1)[:-1])
+    return np.split(twice, np.cumsum(counts)[:-1])
 
 
 def _extent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +241,7 @@ class IndexFamily:
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Scan a batch (key, context) against itself and all levels, then take it in.
 
-        Returns what the scan found: whole (key, context) met twice, and split (key) with several contexts.
+        Returns what the scan found: whole (key, context) met twice, and split (key, contexts) with several contexts.
         """
         i, work = self.n, self.work
         own = batch.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))
@@ -230,7 +251,7 @@ class IndexFamily:
         met = work.save(met.groupBy("key", "context").agg(F.sum("n").alias("n"), F.max("new").alias("new")), f"met{i}")
         whole = work.save(met.filter("new and n > 1").select("key", "context"), f"whole{i}")
         keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.max("new").alias("new"))
-        split = work.save(keys.filter("new and contexts > 1").select("key"), f"split{i}")
+        split = work.save(keys.filter("new and contexts > 1").select("key", "contexts"), f"split{i}")
         # as in a binary counter, the batch carries over every full level
         carried = [j for j in range(len(self.levels) + 1) if all(k in self.levels for k in range(j))][-1]
         if carried == len(self.levels):  # all levels are full: what has just met is their merge
@@ -260,21 +281,28 @@ def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES) ->
     whole, split = found[0]
     for w, s in found[1:]:
         whole, split = whole.unionByName(w), split.unionByName(s)
-    whole, split = whole.distinct().withColumn("whole", F.lit(True)), split.distinct().withColumn("split", F.lit(True))
+    whole, split = whole.distinct().withColumn("whole", F.lit(True)), split.groupBy("key").agg(F.max("contexts").alias("contexts"))
 
-    marked = index.join(whole, ["key", "context"], "left").join(split, "key", "left").filter("whole or split")
-    marked = work.save(marked.select("doc", "hash", "first", "last", "key", "context", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("split", F.lit(False)).alias("split")), "marked")
+    marked = index.join(whole, ["key", "context"], "left").join(split, "key", "left").filter("whole or contexts > 1")
+    sizes = F.coalesce("contexts", F.lit(1))
+    marked = work.save(marked.select("doc", "hash", "first", "last", "key", "context", F.coalesce("whole", F.lit(False)).alias("whole"), (sizes > 1).alias("split"), (sizes > HOT).alias("hot")), "marked")
     work.drop("index", *[n for n in list(work.paths) if n not in ("marked",)])
 
     # of wholly removed entries in split keys one of each context is enough to compare the others with
     place = F.struct("doc", "hash", "first", "last")
-    one = marked.filter("split and whole").groupBy("key", "context").agg(F.min(place).alias("p")).select("p.*", "key", F.lit(True).alias("whole"))
-    rest = marked.filter("split and not whole").select("doc", "hash", "first", "last", "key", "whole")
-    asked = one.unionByName(rest).groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "whole", "first", "last")).alias("parts"))
+    one = marked.filter("split and whole").groupBy("key", "context").agg(F.min(place).alias("p"), F.max("hot").alias("hot")).select("p.*", "key", F.lit(True).alias("whole"), "hot")
+    rest = marked.filter("split and not whole").select("doc", "hash", "first", "last", "key", "whole", "hot")
+    asked = one.unionByName(rest).groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "whole", "first", "last", "hot")).alias("parts"))
     texts = docs.join(asked, ["doc", "hash"]).dropDuplicates(["doc", "hash"]).select("doc", "hash", "text", "parts")
-    contexts = texts.mapInArrow(_context_batches, "key bigint, whole boolean, doc bigint, hash bigint, first bigint, bytes binary")
+    contexts = work.save(texts.mapInArrow(_context_batches, "key bigint, whole boolean, doc bigint, hash bigint, first bigint, bytes binary, hot boolean"), "contexts")
     n = max(24, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    settled = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_extent_batches, "doc bigint, hash bigint, start bigint, stop bigint")
+    few = contexts.filter("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key")
+    settled = few.mapInArrow(_extent_batches, "doc bigint, hash bigint, start bigint, stop bigint")
+    # windows of hot keys are counted by their own fingerprints, added up before they move
+    windows = contexts.filter("hot").mapInArrow(_window_batches, "doc bigint, hash bigint, start bigint, whole boolean, one bigint, two bigint")
+    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
+    hot = windows.filter("not whole").join(twice, ["one", "two"], "left_semi").select("doc", "hash", "start", (F.col("start") + LENGTH).alias("stop"))
+    settled = settled.unionByName(hot)
     full = marked.filter("whole").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
     return work.save(full.unionByName(settled), "ranges")
 

@@ -193,8 +193,29 @@ def test_suffix_family(docs, rows, batches):
     assert got == want
 
 
-def test_suffix_family_overlaps_and_pieces(spark, monkeypatch):
+def test_suffix_family_hot_keys(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_family, "HOT", 1)
+    want = Counter(zip([r[0] for r in rows], cut([r[1] for r in rows])))
+    assert Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in suffix_family.cut(docs).collect()) == want
+
+
+def test_pieces_hold_every_window_once(monkeypatch):
+    import pyarrow as pa
+
     monkeypatch.setattr(suffix_family, "PIECE", 1000)
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (399, 400, 401, 999, 1000, 1001, 1399, 1400, 5000)] + [b"a" * 3000, None, b""]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int64()), pa.array(texts, pa.binary())], ["doc", "hash", "text"])
+    seen = Counter()
+    for out in suffix_family._index_batches(iter([batch])):
+        for d, a, b in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), out.column(3).to_pylist()):
+            seen.update((d, i) for i in range(a, b + 1))
+    assert seen == Counter((d, i) for d, t in enumerate(texts) if t for i in range(len(t) - 399))
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_suffix_family_overlaps(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_family, "HOT", hot)
     rng = np.random.default_rng(3)
     text = lambda n: "".join(rng.choice(list("abcdefgh \n"), n))
     p = text(1200)
