@@ -40,12 +40,35 @@ FULL_ADVICE = (
 COLUMNS = ("id", "category", "question", "answer", "source_refs", "notes", "origin")
 
 
+def numbered(rows: DataFrame, category: str, order: str, name: str = "id") -> DataFrame:
+    """Numbers from 1 by (category, order): places within each category, plus the rows of the categories before it.
+
+    Categories are a stated set, so their counts are few; no task sees more than one category.
+    """
+    sizes = rows.groupBy(F.col(category).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_c", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(category).orderBy(order))
+    joined = rows.withColumn("_place", place).join(starts, F.col(category).eqNullSafe(F.col("_c")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_c", "_before", "_place")
+
+
+def place_of(rows: DataFrame, order: str, name: str, span: int = 1 << 16) -> DataFrame:
+    """Places from 0 by a whole-number column: places within each run of ``span`` values, plus the rows of the runs before."""
+    run = F.floor(F.col(order) / span)
+    sizes = rows.groupBy(run.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = rows.withColumn("_run", run).withColumn("_place", F.row_number().over(Window.partitionBy("_run").orderBy(order)) - 1)
+    joined = marked.join(sizes.select("_c", before.alias("_before")), F.col("_run").eqNullSafe(F.col("_c")))
+    return joined.withColumn(name, F.col("_before") + F.col("_place")).drop("_c", "_before", "_place", "_run")
+
+
 def merge_answers(rows: DataFrame, order: str = "ord") -> DataFrame:
     """Rows with question and answer, one for each loosely equal question: the longest answer, the first of equals; numbered by (category, question)."""
     full = rows.filter((X.strip(F.coalesce("question", F.lit(""))) != "") & (X.strip(F.coalesce("answer", F.lit(""))) != ""))
     own = F.struct(*rows.columns)
     best = full.groupBy(X.loose_key(F.col("question")).alias("_k")).agg(F.max_by(own, F.struct(X.word_count(F.col("answer")), -F.col(order))).alias("r")).select("r.*")
-    return best.withColumn("id", F.row_number().over(Window.orderBy("category", "question")).cast("long"))
+    return numbered(best.drop("id"), "category", "question")
 
 
 def merge_report(rows: DataFrame) -> DataFrame:
@@ -82,7 +105,7 @@ def repair_admin(rows: DataFrame, basis: DataFrame, excerpt: int = 260) -> DataF
     tail = F.when(end != "", F.concat(F.lit(" Như vậy, "), F.lower(F.substring(end, 1, 1)), F.substring(end, 2, 1 << 30))).otherwise(F.lit(""))
     new = X.squeeze(F.concat(F.lit("Theo "), F.col("_label"), F.lit(", quy định như sau: "), X.truncate_words(X.without_label(F.col("_text")), excerpt), tail))
     out = joined.filter(~bad | F.col("_text").isNotNull()).withColumn("answer", F.when(bad, new).otherwise(F.col("answer"))).drop("_label", "_text")
-    return out.withColumn("id", F.row_number().over(Window.orderBy("category", "question")).cast("long"))
+    return numbered(out.drop("id"), "category", "question")
 
 
 def clauses(text: Column) -> Column:
@@ -240,13 +263,12 @@ def is_pasted(answer: Column) -> Column:
 def length_bands(rows: DataFrame, order: str, answer: str = "answer", number: Column | None = None) -> DataFrame:
     """Adds floor, q_low, q_high, a_low and a_high: bands in turn among those that the answer's facts fit in.
 
-    ``number`` is the row's place from 0; without it rows are numbered by ``order`` in one task.
+    ``number`` is the row's place from 0; without it rows are numbered by ``order``, a whole number.
     """
-    i = F.row_number().over(Window.orderBy(order)) - 1 if number is None else number
     n = F.size(F.array_distinct(X.numbers(F.col(answer))))
     floor = F.greatest(F.lit(40), 25 + 6 * n, F.size(X.words(F.col(answer)))).cast("long")
     bands = lambda values: F.array(*[F.struct(F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high")) for a, b in values])
-    df = rows.withColumn("_i", i).withColumn("floor", floor)
+    df = (place_of(rows, order, "_i") if number is None else rows.withColumn("_i", number)).withColumn("floor", floor)
     fit = F.filter(bands(A_BANDS), lambda b: b["high"] >= F.col("floor"))
     a = F.when(F.size(fit) > 0, F.get(fit, (F.col("_i") % F.greatest(F.size(fit), F.lit(1))).cast("int"))).otherwise(F.struct(F.col("floor").alias("low"), F.floor(F.col("floor") * 1.25).alias("high")))
     q = F.get(bands(Q_BANDS), (F.col("_i") % len(Q_BANDS)).cast("int"))

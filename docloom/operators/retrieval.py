@@ -81,10 +81,13 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", epsilo
     A negative inverse frequency is replaced by ``epsilon`` times the mean of all of them. Counts are exact whole
     numbers; a term is one row, so frequent terms are pre-aggregated map-side.
     """
-    tokens = docs.select(F.col(key).alias("doc"), X.terms(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    lengths = tokens.select("doc", F.size("_t").cast("long").alias("len"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    postings = tokens.select("doc", F.size("_t").cast("long").alias("len"), F.explode("_t").alias("term")).groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+    # Terms are counted within each row, as runs of its sorted terms: postings need no shuffle.
+    tokens = docs.select(F.col(key).alias("doc"), F.sort_array(X.terms(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
+    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t").cast("long")).alias("mean"))
+    starts = F.filter(F.transform("_t", lambda w, i: F.when((i == 0) | (w != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    runs = tokens.select("doc", "_t", F.size("_t").cast("long").alias("len"), starts.alias("_s"))
+    entry = F.transform("_s", lambda at, k: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - at).cast("long").alias("tf")))
+    postings = runs.select("doc", "len", F.explode(entry).alias("e")).select("e.term", "doc", "len", "e.tf")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(totals.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
