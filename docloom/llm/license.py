@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A document that holds none of the keywords is never read by a rule. The others are normalised to words with
-single spaces, and each rule whose keyword is there is matched; where detections overlap, one that lies inside
+single spaces, and each rule is matched whose keyword is there and one of whose literals is, of which every match
+holds one; where detections overlap, one that lies inside
 another of no lower priority is suppressed.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` once A-Z are lower-cased. The labels of the three base
@@ -14,12 +15,17 @@ their detections; repeated rows each get a result; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.store import Workspace
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -41,21 +47,12 @@ NAMED = {
     "apache-2.0": ("apache (?:software )?license(?: version)?(?: v)? ?2(?: 0)?", "apache 2 0"),
     "apache-1.1": ("apache (?:software )?license(?: version)? 1 1", "apache 1 1"),
     "mit": ("mit license", "mit"),
-    "mit-0": ("mit no attribution(?: license)?", "mit 0"),
+    "mit-0": ("mit no attribution license", "mit 0"),
     "bsd-2-clause": ("(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) license", "bsd 2 clause"),
     "bsd-3-clause": ("(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd) license", "bsd 3 clause"),
     "bsd-4-clause": ("(?:original bsd|bsd 4 clause|4 clause bsd) license", "bsd 4 clause"),
     "bsd": ("bsd license", "bsd"),
     "isc": ("isc license", "isc"),
-    "gpl-1.0": ("(?:gnu )?(?:general public license|gpl)(?: version)?(?: v)? ?1(?: 0)?", "gpl 1 0"),
-    "gpl-2.0": ("(?:gnu )?(?:general public license|gpl)(?: version)?(?: v)? ?2(?: 0)?", "gpl 2 0"),
-    "gpl-3.0": ("(?:gnu )?(?:general public license|gpl)(?: version)?(?: v)? ?3(?: 0)?", "gpl 3 0"),
-    "gpl": ("gnu (?:general public license|gpl)", "gpl"),
-    "lgpl-2.1": ("(?:gnu )?(?:lesser general public license|lgpl)(?: version)?(?: v)? ?2 1", "lgpl 2 1"),
-    "lgpl-3.0": ("(?:gnu )?(?:lesser general public license|lgpl)(?: version)?(?: v)? ?3(?: 0)?", "lgpl 3 0"),
-    "lgpl": ("(?:gnu )?(?:lesser|library) general public license", "lgpl"),
-    "agpl-3.0": ("(?:gnu )?(?:affero general public license|agpl)(?: version)?(?: v)? ?3(?: 0)?", "agpl 3 0"),
-    "agpl": ("(?:gnu )?affero general public license", "agpl"),
     "gfdl": ("gnu free documentation license", "gfdl 1 3"),
     "mpl-1.1": ("mozilla public license(?: version)?(?: v)? ?1 1", "mpl 1 1"),
     "mpl-2.0": ("mozilla public license(?: version)?(?: v)? ?2(?: 0)?", "mpl 2 0"),
@@ -73,7 +70,7 @@ NAMED = {
     "php": ("php license", "php 3 01"),
     "ruby": ("ruby license", "ruby"),
     "wtfpl": ("do what the fuck you want to public license", "wtfpl"),
-    "unlicense": ("(?:the )?unlicense", "unlicense"),
+    "unlicense": ("(?:the )?unlicense(?: license)?", "unlicense"),
     "openssl": ("openssl license", "openssl"),
     "postgresql": ("postgresql license", "postgresql"),
     "sleepycat": ("sleepycat license", "sleepycat"),
@@ -89,13 +86,25 @@ NAMED = {
     "sspl": ("server side public license", "sspl 1 0"),
     "elastic": ("elastic license", "elastic 2 0"),
     "openrail": ("(?:creativeml )?open ?rail(?: m)? license", "openrail"),
-    "cc0": ("(?:creative commons zero|cc0)(?: 1 0)?(?: universal)?(?: license)?", "cc0 1 0"),
-    "cc-by-nc-nd": ("(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "cc by nc nd 4 0"),
-    "cc-by-nc-sa": ("(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by nc sa 4 0"),
-    "cc-by-nc": ("(?:cc by nc|creative commons attribution non ?commercial)", "cc by nc 4 0"),
-    "cc-by-nd": ("(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "cc by nd 4 0"),
-    "cc-by-sa": ("(?:cc by sa|creative commons attribution share ?alike)", "cc by sa 4 0"),
-    "cc-by": ("(?:cc by|creative commons attribution)", "cc by 4 0"),
+}
+#: label: (short form, long form, SPDX words); the longer names come first. Short forms hold the label's first word.
+TWO_NAMES = {
+    "gpl-1.0": ("(?:gnu )?gpl(?: version)?(?: v)? ?1(?: 0)?", "(?:gnu )?general public license(?: version)?(?: v)? ?1(?: 0)?", "gpl 1 0"),
+    "gpl-2.0": ("(?:gnu )?gpl(?: version)?(?: v)? ?2(?: 0)?", "(?:gnu )?general public license(?: version)?(?: v)? ?2(?: 0)?", "gpl 2 0"),
+    "gpl-3.0": ("(?:gnu )?gpl(?: version)?(?: v)? ?3(?: 0)?", "(?:gnu )?general public license(?: version)?(?: v)? ?3(?: 0)?", "gpl 3 0"),
+    "gpl": ("gnu gpl", "gnu general public license", "gpl"),
+    "lgpl-2.1": ("(?:gnu )?lgpl(?: version)?(?: v)? ?2 1", "(?:gnu )?lesser general public license(?: version)?(?: v)? ?2 1", "lgpl 2 1"),
+    "lgpl-3.0": ("(?:gnu )?lgpl(?: version)?(?: v)? ?3(?: 0)?", "(?:gnu )?lesser general public license(?: version)?(?: v)? ?3(?: 0)?", "lgpl 3 0"),
+    "lgpl": ("gnu lgpl", "(?:gnu )?(?:lesser|library) general public license", "lgpl"),
+    "agpl-3.0": ("(?:gnu )?agpl(?: version)?(?: v)? ?3(?: 0)?", "(?:gnu )?affero general public license(?: version)?(?: v)? ?3(?: 0)?", "agpl 3 0"),
+    "agpl": ("gnu agpl", "(?:gnu )?affero general public license", "agpl"),
+    "cc0": ("cc0(?: 1 0)?(?: universal)?(?: license)?", "creative commons zero(?: 1 0)?(?: universal)?(?: license)?", "cc0 1 0"),
+    "cc-by-nc-nd": ("cc by nc nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd 4 0"),
+    "cc-by-nc-sa": ("cc by nc sa", "creative commons attribution non ?commercial share ?alike", "cc by nc sa 4 0"),
+    "cc-by-nc": ("cc by nc", "creative commons attribution non ?commercial", "cc by nc 4 0"),
+    "cc-by-nd": ("cc by nd", "creative commons attribution no ?deriv(?:ative)?s", "cc by nd 4 0"),
+    "cc-by-sa": ("cc by sa", "creative commons attribution share ?alike", "cc by sa 4 0"),
+    "cc-by": ("cc by", "creative commons attribution", "cc by 4 0"),
 }
 #: Signatures of license texts and notices: (label, keyword, regex, priority, weight).
 TEXTS = (
@@ -119,15 +128,40 @@ TEXTS = (
 )
 
 
+_COMMON = {"license", "licence", "version", "under", "public", "the", "general", "software", "licensed", "released", "distributed", "published", "available", "made"}
+
+
+def literals(rule: Rule) -> list[str]:
+    """Texts of which every match of a rule holds at least one, the most telling there are.
+
+    Read off the pattern: what is optional goes, and then either a literal stretch stays or the branches of a group.
+    """
+    plain = rule.regex
+    while (cut := re.sub(r"\((?:\?:)[^()]*\)(?:\?|\{[^}]*\})", "#", plain)) != plain:
+        plain = cut
+    plain = re.sub(r"(?:\[[^\]]*\]|[a-z0-9 ])(?:\?|\{[^}]*\})|\[[^\]]*\]", "#", plain)
+    choices = [g.split("|") for g in re.findall(r"\(\?:([^()]*)\)", plain)]
+    choices = [c for c in choices if not any("#" in x for x in c)]
+    stretches = [x.strip() for x in re.split(r"#|\(\?:[^()]*\)|[()]", plain)]
+    telling = [x for x in stretches if len(x) > 2 and (set(x.split()) - _COMMON or x.count(" ") > 1)]
+    if telling:
+        return [max(telling, key=len)]
+    rare = [c for c in choices if all(set(x.split()) - _COMMON or x.count(" ") > 1 for x in c)]
+    return max(rare, key=lambda c: min(map(len, c))) if rare else [rule.keyword]
+
+
 def build_rules() -> tuple[Rule, ...]:
-    """Four signatures for each named license, then the notices; the order breaks ties."""
+    """Four signatures for each name of a license, then the notices; the order breaks ties."""
+    names = [(label, "licen", name, spdx) for label, (name, spdx) in NAMED.items()]
+    for label, (short, long, spdx) in TWO_NAMES.items():
+        first, second = ("cc", "commons") if label.startswith("cc") else ("gpl", "licen")
+        names += [(label, first, short, spdx), (label, second, long, spdx)]
     rules = []
-    for label, (name, spdx) in NAMED.items():
-        word = "cc" if label.startswith("cc") else "licen"
+    for label, word, name, spdx in names:
         rules += [
             Rule(label, "spdx", f"spdx license identifier {spdx}(?: only| or later)?", 5, 0.99),
             Rule(label, word, f"(?:licensed|released|distributed|published|available|made available) under (?:the |an |a )?(?:terms of (?:the )?)?{name}", 4, 0.9),
-            Rule(label, "licen", f"(?:license|licence) (?:is |name )?(?:the )?{name}", 3, 0.7),
+            Rule(label, word, f"(?:license|licence) (?:is |name )?(?:the )?{name}", 3, 0.7),
             Rule(label, word, name, 2, 0.5),
         ]
     return tuple(rules + [Rule(*t) for t in TEXTS])
@@ -164,11 +198,11 @@ def detections(texts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     between and of the matches, over rows as small as the matches are few.
     """
     table = F.array(*[
-        F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(_bounded(r.regex)).alias("regex"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"))
+        F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(_bounded(r.regex)).alias("regex"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*[F.lit(x) for x in literals(r)]).alias("literals"))
         for i, r in enumerate(rules)
     ])
     gated = texts.withColumn("_keywords", _keyword_gate(F.col("norm"), rules))
-    tried = gated.select("key", "norm", F.explode(F.filter(table, lambda r: F.array_contains("_keywords", r["keyword"]))).alias("r"))
+    tried = gated.select("key", "norm", F.explode(F.filter(table, lambda r: F.array_contains("_keywords", r["keyword"]) & F.exists(r["literals"], lambda x: F.contains("norm", x)))).alias("r"))
     found = tried.withColumn("_matches", F.regexp_extract_all("norm", F.col("r.regex"), F.lit(0))).filter(F.size("_matches") > 0)
     found = found.withColumn("_between", F.split("norm", F.col("r.regex"), -1))
     steps = F.transform("_matches", lambda m, i: F.struct(F.length(F.get("_between", i)).alias("gap"), F.length(m).alias("len")))
@@ -190,14 +224,17 @@ def detections(texts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def scan(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``keep`` plus n_words, n_base, first_word, last_word, base_labels, labels and score for each row."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    gate = F.lower(raw)
+    spark = df.sparkSession
+    work = Workspace(spark, "license")
     words = sorted({r.keyword for r in rules} - {"cc"})
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(gate, F.lit(w))
-    hit = hit | raw.rlike(r"(?i)cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by")
-    docs = df.select(*keep, F.regexp_count(raw, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(hit, normal(F.col(text))).alias("norm"))
+    # The texts are read once: what stays of them is a count and, where a keyword is, the normalised words.
+    read = df.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_raw"))
+    read = read.withColumn("_low", F.lower("_raw"))
+    cc = F.contains(F.col("_low"), F.lit("cc")) & F.col("_low").rlike(r"cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by")
+    hit = reduce(or_, [*[F.contains(F.col("_low"), F.lit(w)) for w in words], cc])
+    read = read.select("_row", "_raw", hit.alias("_hit"))
+    read = read.select("_row", F.size(F.array_remove(F.split("_raw", SEPARATOR), "")).cast("long").alias("n_words"), F.when(F.col("_hit"), normal(F.col("_raw"))).alias("norm"))
+    docs = work.save(read, "words").select("_row.*", "n_words", "norm")
     base = _bounded("|".join(BASE))
     docs = docs.withColumn("n_base", F.coalesce(F.regexp_count("norm", F.lit(base)), F.lit(0)).cast("long"))
     some = F.col("n_base") > 0

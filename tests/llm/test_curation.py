@@ -293,6 +293,22 @@ def test_license_base(spark, docs, rows, no_docs):
     assert license.scan(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("i", range(len(license.RULES)))
+def test_every_match_holds_keyword_and_literal(i):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    rule = license.RULES[i]
+    held = license.literals(rule)
+
+    @settings(max_examples=15, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(rule.regex, fullmatch=True))
+    def check(text):
+        assert rule.keyword in text and any(x in text for x in held)
+
+    check()
+
+
 def test_license_suppression(spark):
     texts = {
         1: "This work is licensed under the Apache License, Version 2.0.",
@@ -301,6 +317,7 @@ def test_license_suppression(spark):
         4: "Permission is hereby granted, free of charge, to any person obtaining a copy",
         5: "we saw the license of the driver",
         6: "Released into the public domain. Copyright (c) 2020 Me.",
+        7: "A Creative Commons Attribution-ShareAlike work",
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = {r.doc_id: (r.labels, r.score) for r in license.scan(df).collect()}
@@ -310,6 +327,7 @@ def test_license_suppression(spark):
     assert got[4] == ("mit", 0.9)
     assert got[5] == ("", 0.0)
     assert got[6][0] == "copyright,public-domain"
+    assert got[7][0] == "cc-by-sa"
     assert len(license.RULES) >= 200
 
 
