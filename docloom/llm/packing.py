@@ -115,7 +115,7 @@ def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
 
 
 def words_in(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", source: str = "source", cluster: Column | None = None, group: int = GROUP) -> DataFrame:
