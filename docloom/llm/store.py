@@ -33,13 +33,29 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+#: Folders of the workspaces made so far.
+_ROOTS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that operators of this process have written; call it once their results are stored."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
 class Workspace:
-    """Names for tables of one run; ``drop`` removes those that later jobs no longer read."""
+    """Names for tables of one run; ``drop`` removes those that later jobs no longer read, ``clean`` all of them."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        _ROOTS.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back, which ends its lineage."""
@@ -52,8 +68,6 @@ class Workspace:
         return self.spark.read.schema(like.schema).parquet(self.paths[name])
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names or list(self.paths):
             if name in self.paths:
-                path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-                path.getFileSystem(conf).delete(path, True)
+                _delete(self.spark, self.paths.pop(name))
