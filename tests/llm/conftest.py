@@ -19,8 +19,12 @@ DOCS = T.StructType(
 )
 
 
+def word(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+
+
 def prose(rng, n, vocabulary=400):
-    return " ".join(f"w{rng.randrange(vocabulary)}" + rng.choice(["", "", ".", ",", "é"]) for _ in range(n))
+    return " ".join(word(rng.randrange(vocabulary)) + rng.choice(["", "", ".", ",", "é"]) for _ in range(n))
 
 
 def corpus(seed=0):
