@@ -700,7 +700,7 @@ def plan_tables(spark):
 
 
 @query("course_records", """
-select * from (values ('p1', 1, '01001', 'Bắt buộc', '', '', 3.0), ('p1', 1, '01002', 'Bắt buộc', '', '', 2.5), ('p1', 1, '01003', 'Tự chọn', '', '', 2.0), ('p1', 1, '01004', 'Tự chọn', '', '', 2.0),
+select * replace (cast(credits as double) as credits) from (values ('p1', 1, '01001', 'Bắt buộc', '', '', 3.0), ('p1', 1, '01002', 'Bắt buộc', '', '', 2.5), ('p1', 1, '01003', 'Tự chọn', '', '', 2.0), ('p1', 1, '01004', 'Tự chọn', '', '', 2.0),
  ('p1', 2, '01005', 'Định hướng chuyên ngành', 'Chuyên ngành lạnh', '', 4.0), ('p1', 2, '01006', 'Định hướng chuyên ngành', 'Chuyên ngành nhiệt', '', 4.0),
  ('p1', 2, '01007', 'Định hướng chuyên ngành', '', 'Kỹ sư', 6.0), ('p2', 1, '01001', 'Bắt buộc', '', '', 3.0)) v(source, semester, code, "group", track, system, credits)""")
 def _(t):
@@ -708,7 +708,7 @@ def _(t):
 
 
 @query("program_rollup", """
-select * from (values ('p1', 2, 11.0, 17.0, true, 7, 'Kỹ thuật nhiệt', 'Điện lạnh', 'K50', 2), ('p2', 1, 2.0, 2.0, false, 1, 'Công nghệ KT ô tô', '', null, 1))
+select * replace (cast(total_credits as double) as total_credits, cast(total_credits_engineer as double) as total_credits_engineer) from (values ('p1', 2, 11.0, 17.0, true, 7, 'Kỹ thuật nhiệt', 'Điện lạnh', 'K50', 2), ('p2', 1, 2.0, 2.0, false, 1, 'Công nghệ KT ô tô', '', null, 1))
  v(source, n_semesters, total_credits, total_credits_engineer, two_systems, n_courses, nganh, chuyen_nganh, khoa_hoc, n_mismatch)""")
 def _(t):
     p = plan_tables(t._spark)[3]
