@@ -39,6 +39,8 @@ PIECE = 4 << 20
 BATCHES = 4
 #: Contexts of one key beyond which its windows are counted one by one, over all tasks, instead of together in one.
 HOT = 2048
+#: Entries or keys with over this share of all rows are marked by a broadcast, of at most as many rows as its inverse.
+HOT_SHARE = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -241,7 +243,8 @@ class IndexFamily:
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Scan a batch (key, context) against itself and all levels, then take it in.
 
-        Returns what the scan found: whole (key, context) met twice, and split (key, contexts) with several contexts.
+        Returns what the scan found: whole (key, context) met twice, and split (key, contexts) with several contexts; both
+        with n, the rows met so far.
         """
         i, work = self.n, self.work
         own = batch.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))
@@ -249,9 +252,9 @@ class IndexFamily:
         for level in self.levels.values():
             met = met.unionByName(level.select("key", "context", "n", F.lit(False).alias("new")))
         met = work.save(met.groupBy("key", "context").agg(F.sum("n").alias("n"), F.max("new").alias("new")), f"met{i}")
-        whole = work.save(met.filter("new and n > 1").select("key", "context"), f"whole{i}")
-        keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.max("new").alias("new"))
-        split = work.save(keys.filter("new and contexts > 1").select("key", "contexts"), f"split{i}")
+        whole = work.save(met.filter("new and n > 1").select("key", "context", "n"), f"whole{i}")
+        keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"), F.max("new").alias("new"))
+        split = work.save(keys.filter("new and contexts > 1").select("key", "contexts", "n"), f"split{i}")
         # as in a binary counter, the batch carries over every full level
         carried = [j for j in range(len(self.levels) + 1) if all(k in self.levels for k in range(j))][-1]
         if carried == len(self.levels):  # all levels are full: what has just met is their merge
@@ -281,11 +284,24 @@ def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES) ->
     whole, split = found[0]
     for w, s in found[1:]:
         whole, split = whole.unionByName(w), split.unionByName(s)
-    whole, split = whole.distinct().withColumn("whole", F.lit(True)), split.groupBy("key").agg(F.max("contexts").alias("contexts"))
-
-    marked = index.join(whole, ["key", "context"], "left").join(split, "key", "left").filter("whole or contexts > 1")
-    sizes = F.coalesce("contexts", F.lit(1))
-    marked = work.save(marked.select("doc", "hash", "first", "last", "key", "context", F.coalesce("whole", F.lit(False)).alias("whole"), (sizes > 1).alias("split"), (sizes > HOT).alias("hot")), "marked")
+    whole = whole.groupBy("key", "context").agg(F.max("n").alias("n"))
+    split = split.groupBy("key").agg(F.max("contexts").alias("contexts"), F.max("n").alias("n"))
+
+    # Rows of hot entries and keys are marked first, by broadcasts of at most HOT_SHARE rows; in the joins for the
+    # others they go by fingerprints of their own, which spread and meet nothing.
+    floor = index.count() / HOT_SHARE
+    hot_whole = whole.filter(F.col("n") > floor).select("key", "context", F.lit(True).alias("_hot_whole"))
+    hot_split = split.filter(F.col("n") > floor).select("key", F.col("contexts").alias("_hot_contexts"))
+    rows = index.join(F.broadcast(hot_whole), ["key", "context"], "left").join(F.broadcast(hot_split), "key", "left")
+    own = F.xxhash64("doc", "hash", "first", "last")
+    rows = rows.withColumn("_c", F.when(F.col("_hot_whole").isNotNull(), own).otherwise(F.col("context"))).withColumn("_k", F.when(F.col("_hot_contexts").isNotNull(), own).otherwise(F.col("key")))
+    others = whole.filter(F.col("n") <= floor).select(F.col("key").alias("_wk"), F.col("context").alias("_wc"), F.lit(True).alias("whole"))
+    rows = rows.join(others, (F.col("key") == F.col("_wk")) & (F.col("_c") == F.col("_wc")), "left")
+    rows = rows.join(split.filter(F.col("n") <= floor).select(F.col("key").alias("_sk"), "contexts"), F.col("_k") == F.col("_sk"), "left")
+    is_whole = F.coalesce("_hot_whole", "whole", F.lit(False))
+    sizes = F.coalesce("_hot_contexts", "contexts", F.lit(1))
+    marked = rows.filter(is_whole | (sizes > 1)).select("doc", "hash", "first", "last", "key", "context", is_whole.alias("whole"), (sizes > 1).alias("split"), (sizes > HOT).alias("hot"))
+    marked = work.save(marked, "marked")
     work.drop("index", *[n for n in list(work.paths) if n not in ("marked",)])
 
     # of wholly removed entries in split keys one of each context is enough to compare the others with

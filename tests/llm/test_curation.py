@@ -195,6 +195,7 @@ def test_suffix_family(docs, rows, batches):
 
 def test_suffix_family_hot_keys(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_family, "HOT", 1)
+    monkeypatch.setattr(suffix_family, "HOT_SHARE", 10**9)
     want = Counter(zip([r[0] for r in rows], cut([r[1] for r in rows])))
     assert Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in suffix_family.cut(docs).collect()) == want
 
