@@ -102,7 +102,10 @@ def bm25(questions: DataFrame, index: Index, k: int = LEXICAL, k1: float = 1.5,
     """
     asked = questions.select("qid", F.explode(X.terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = asked.join(index.frequencies, "term")
-    hits = weighed.join(index.postings, "term").crossJoin(F.broadcast(index.totals))
+    # the questions' terms go to the postings if their checked size allows, and never the other way round
+    size = questions.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    weighed = F.broadcast(weighed) if size <= QUERY_BYTES else weighed.hint("merge")
+    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = hits.groupBy("qid", "doc").agg(F.sum(part).alias("bm25"))
     if digits is not None:
