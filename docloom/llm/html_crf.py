@@ -9,7 +9,7 @@ writes pages of many layouts and knows which of their blocks are the article. Th
 no word of theirs is learnt; class names count by what they say (``CLASS_WORDS``).
 
 Edge cases: null or empty html has the empty text; text outside any element is a block; scripts, styles, comments,
-the head and what the end of a cut page leaves open are never text; an unclosed comment or script runs to the end;
+titles and what the end of a cut page leaves open are never text; end tags that HTML lets out are not missed; an unclosed comment or script runs to the end;
 pages of any length are decoded whole; repeated rows are decoded alike; an empty table gives an empty result; input
 columns other than ``keep`` and the html are not read.
 """
@@ -33,7 +33,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object title textarea head".split())
+RAW = frozenset("script style noscript template svg iframe object title textarea".split())
 #: What an opening tag ends, unless one of its limits comes first.
 CLOSES = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 LIMITS = frozenset("article aside blockquote body div dl fieldset footer form header li main nav ol section table td th ul".split())

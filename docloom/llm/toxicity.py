@@ -253,7 +253,8 @@ def train(rows: list[tuple[bytes, int]], passes: tuple[int, int] = (1, 4), batch
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Is the row's label kept for the test? A null key's is not learnt from, but is not held out either."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: dict[int, int] = TRAIN_DOCS) -> list[tuple[bytes, int]]:

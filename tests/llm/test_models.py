@@ -41,6 +41,7 @@ def test_likelihood_gradient_is_that_of_brute_force():
 def test_blocks():
     page = "<body><p>a &amp; b<br>c<p>d <b>e</b>f<!-- no --><script>x='</p>'</script><ul><li><a href='>'>g</a><li>h</ul>tail < 5 &lt"
     assert [b[1] for b in html_crf.leaf_blocks(page)] == ["a & b c", "d ef", "g", "h", "tail < 5 <"]
+    assert [b[1] for b in html_crf.leaf_blocks("<html><head><meta x><title>t</title><body><p>x<p>y</body>")] == ["x", "y"]
     assert html_crf.leaf_blocks(None) == [] and html_crf.leaf_blocks("") == []
     assert [b[1] for b in html_crf.leaf_blocks("<div>x</div><p clas")] == ["x"]
     assert [b[1] for b in html_crf.leaf_blocks("<div>x</div><!-- open <p>y</p>")] == ["x"]
