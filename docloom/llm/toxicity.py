@@ -34,20 +34,20 @@ TRAIN_DOCS, TRAIN_WINDOWS = {0: 4000, 1: 2000}, 8
 GRAMS = (3, 4, 5)
 GRAM_ROWS, WORD_ROWS = 1 << 15, 1 << 14
 DIM, HIDDEN = 16, 8
-SLICE = 1 << 20
+SLICE = 4 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the embedding table for each distinct word's parts, and the number of the word each is of.
+def gram_ids(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the embedding table for each distinct word's parts, with how many each word has.
 
-    The words' own rows come first, then runs of each length in turn.
+    The words' own rows come first, then runs of each length in turn; rows stand in order of word.
     """
     size = np.array([len(w) + 2 for w in words], np.int64)
     begin = np.cumsum(size) - size
     data = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64)
     whole = np.fromiter((zlib.crc32(w) & (WORD_ROWS - 1) for w in words), np.int64, len(words)) + GRAM_ROWS
-    rows, owners = [whole], [np.arange(len(words))]
+    parts = [(whole, np.ones(len(words), np.int64))]
     for n in GRAMS:
         count = np.maximum(size - n + 1, 0)
         owner = np.repeat(np.arange(len(words)), count)
@@ -56,9 +56,8 @@ def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for j in range(n):
             h = (h ^ data[at + j]) * _MULT
             h ^= h >> np.uint64(29)
-        rows.append((h >> np.uint64(20)).astype(np.int64) & (GRAM_ROWS - 1))
-        owners.append(owner)
-    return np.concatenate(rows), np.concatenate(owners)
+        parts.append(((h >> np.uint64(20)).astype(np.int64) & (GRAM_ROWS - 1), count))
+    return parts
 
 
 def _sum_by(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -123,12 +122,15 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Vectors of distinct words (row 0: no word), and what their gradient needs."""
-        rows, owner = gram_ids(words)
-        count = np.bincount(owner, minlength=len(words)).astype(np.float32)
-        scale = 1 / np.sqrt(np.maximum(count, 1))
+        parts = gram_ids(words)
         x = np.zeros((len(words) + 1, DIM), np.float32)
-        x[1:] = _sum_by(self.p["table"][rows], owner, len(words)) * scale[:, None]
-        return x, rows, owner, scale
+        for rows, count in parts:
+            some = np.flatnonzero(count)
+            if some.size:
+                x[1 + some] += np.add.reduceat(self.p["table"][rows], (np.cumsum(count) - count)[some], axis=0)
+        scale = (1 / np.sqrt(np.maximum(sum(c for _, c in parts), 1))).astype(np.float32)
+        x[1:] *= scale[:, None]
+        return x, np.concatenate([r for r, _ in parts]), np.concatenate([np.repeat(np.arange(len(words)), c) for _, c in parts]), scale
 
     def forward(self, gates: np.ndarray, codes: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list | None]:
         """Logits of windows; gates: (2, words, 3 * HIDDEN) input parts of the gates."""
