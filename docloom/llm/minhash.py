@@ -82,8 +82,9 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
         out[at[new]] = mix(key[new] + np.uint64((done + 1) * int(_STEP) % (1 << 64)))
         filled[at[new]] = True
         done += rounds
-    for b in np.flatnonzero(~filled):
-        out[b] = mix(mix(elements ^ _SEEDS[bins + b]).min() + _STEP)
+    rest = np.flatnonzero(~filled)
+    if rest.size:
+        out[rest] = mix(mix(elements[None, :] ^ _SEEDS[bins + rest][:, None]).min(axis=1) + _STEP)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
