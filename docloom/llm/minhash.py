@@ -6,9 +6,9 @@ into one bin, so that every coordinate fills. Two sketches agree in a coordinate
 Jaccard similarity, concentrated at least as well as independent draws.
 
 Banding. Documents with one shingle set are one class. Classes that agree in a whole band are candidates; with
-32 bands of 4 coordinates, a pair at similarity 0.85 is missed with probability 6e-11. The candidates'
+32 bands of 4 coordinates, a pair at similarity 0.85 is missed with probability 6e-11 (5e-8 at 0.8). The candidates'
 connected parts are compared inside tasks, in blocks of bounded size; a pair whose sketches agree in so few
-coordinates that a similarity of 0.85 is six standard deviations away is not verified. All others are, on full
+coordinates that the similarity asked for is six standard deviations away is not verified. All others are, on full
 shingle sets, unless they are already joined. Only joining links leave the tasks, fewer than there are classes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` once A-Z are lower-cased; the set is all runs of ``width`` words, or the whole
@@ -155,11 +155,11 @@ def link_block(ids: list[int], side: np.ndarray, texts: list[bytes], percent: in
     return links
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_batches(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows (block, side, doc_id, text), sorted by block."""
 
     def flush(rows: list) -> pa.RecordBatch:
-        links = link_block([r[2] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows]) if len(rows) > 1 else []
+        links = link_block([r[2] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows], percent) if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     held: list = []
@@ -173,8 +173,11 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush(held)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept (doc_id = component_id), for each row."""
+def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept (doc_id = component_id), for each row.
+
+    Sets with a similarity of ``percent`` or more are linked.
+    """
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark, "minhash")
@@ -200,7 +203,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # never a broadcast, whose size would depend on the input: candidates grow with it
     blocks = members.hint("shuffle_merge").join(rows, "doc_id").select("block", "side", "doc_id", "text").repartition(max(n, 24), "block").sortWithinPartitions("block")
-    links = work.save(blocks.mapInArrow(_link_batches, "a bigint, b bigint"), "links")
+    links = work.save(blocks.mapInArrow(lambda rows: _link_batches(rows, percent), "a bigint, b bigint"), "links")
     joined = connected_components(links, work, "joined")
 
     found = classes.join(joined, classes["rep"] == joined["node"], "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
@@ -211,10 +214,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the least doc_id, with its own columns; repeated rows go too."""
     # one shuffle of the rows by one key serves the join and the removal of repeated rows; a null id has a key too
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    kept = near_duplicates(docs, text).filter("kept").select(key("doc_id").alias("_key")).distinct()
+    kept = near_duplicates(docs, text, percent).filter("kept").select(key("doc_id").alias("_key")).distinct()
     rows = docs.select(key("doc_id").alias("_key"), F.struct(*docs.columns).alias("_row"))
     return rows.join(kept.hint("shuffle_merge"), "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
