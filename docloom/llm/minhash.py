@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
@@ -109,7 +109,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
         flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
         made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), made], ["doc_id", "n_shingles", "set_key", "bands"])
+        out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), made, *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "set_key", "bands", *batch.schema.names[2:]])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -173,16 +174,20 @@ def _link_batches(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) ->
         yield flush(held)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, carry: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept (doc_id = component_id), for each row.
 
-    Sets with a similarity of ``percent`` or more are linked.
+    Sets with a similarity of ``percent`` or more are linked. ``carry``, a struct made of each row, comes along as _row.
     """
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    sketched = work.save(rows.mapInArrow(_sketch_batches, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"), "sketched")
+    schema, own, whole = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>", [], rows
+    if carry is not None:
+        whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), carry.alias("_row"))
+        schema, own = f"{schema}, _row {whole.schema['_row'].dataType.simpleString()}", ["_row"]
+    sketched = work.save(whole.mapInArrow(_sketch_batches, schema), "sketched")
 
     # classes of equal sets, each under its least doc_id
     classes = sketched.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -207,9 +212,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     joined = connected_components(links, work, "joined")
 
     found = classes.join(joined, classes["rep"] == joined["node"], "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
-    out = sketched.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
+    out = sketched.select("doc_id", "n_shingles", "set_key", *own).join(found, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
-    out = work.save(out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")), "result")
+    out = work.save(out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), *own), "result")
     work.drop(*[name for name in list(work.paths) if name != "result"])
     return out
 

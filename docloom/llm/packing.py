@@ -13,7 +13,7 @@ Documents are packed in groups of about ``GROUP`` pieces, by hash, in parallel;
 groups. Only lengths and keys move, never texts.
 
 Edge cases: a null or empty text takes the place of its end mark alone; a null source or cluster conflicts with
-nothing; repeated rows are pieces of their own (of one cluster, by default); pieces of one document may share a bin
+nothing; repeated rows are pieces of their own (of one cluster); pieces of one document may share a bin
 with no other of its source; an empty table gives an empty result; input columns other than those named are not read.
 """
 
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.minhash import near_duplicates
 from docloom.llm.store import ship
 
 CAPACITY = 2048
 GROUP = 20_000
+PERCENT = 80
 HOT = 32
 SCHEMA = "doc_id bigint, piece int, bin bigint, slot int, start bigint, length bigint, source string, cluster bigint"
 
@@ -118,16 +120,16 @@ def words_in(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", source: str = "source", cluster: Column | None = None, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", source: str = "source", cluster: Column | None = None, group: int = GROUP, words: Column | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, bin, slot in it, start (in words), length, source, cluster.
 
     ``length`` counts words and an end mark. ``cluster`` says which documents must not meet; by default those
-    with one text do not.
+    with one text do not. ``words`` is their length; by default that of the text.
     """
     spark = docs.sparkSession
     ship(spark)
     own = F.xxhash64(F.col(text)) if cluster is None else cluster.cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("cluster"), words_in(F.col(text)).alias("_n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("cluster"), (words_in(F.col(text)) if words is None else words).alias("_n"))
     most = capacity - 1
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / most).cast("int") - 1, F.lit(0)))))
     rows = rows.withColumn("start", F.col("piece").cast("long") * most).withColumn("length", F.least(F.lit(most).cast("long"), F.col("_n") - F.col("start")) + 1)
@@ -136,6 +138,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", source:
     return rows.drop("_n").groupBy("group").applyInArrow(lambda t: _pack_group(t, capacity), SCHEMA)
 
 
+def pack_near(docs: DataFrame, capacity: int = CAPACITY, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+    """``pack`` with the components of near duplicates as clusters; texts without words meet their copies only."""
+    copy = F.xxhash64("text")
+    carry = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), copy.alias("copy"), words_in(F.col("text")).alias("n"))
+    # rows without an id are compared too, each text under a number of its own
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), copy).alias("doc_id"), "text", carry.alias("_own"))
+    near = near_duplicates(named, percent=percent, carry=F.col("_own"))
+    rows = near.select("_row.*", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_row.copy")).alias("component"))
+    return pack(rows, capacity, cluster=F.col("component"), group=group, words=F.col("n"))
+
+
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Bins, pieces and the share of the capacity that is used."""
     return packed.agg(

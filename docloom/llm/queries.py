@@ -189,9 +189,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.llm.packing import pack
+    from docloom.llm.packing import pack_near
 
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack_near(_table(spark, sf_dir, "documents"))
 
 
 @_query("op1_html")

@@ -4,7 +4,7 @@ from collections import Counter
 
 from test_curation import multiset, shingle_set
 
-from docloom.llm import minhash
+from docloom.llm import minhash, packing
 
 
 def components(texts, percent):
@@ -33,3 +33,31 @@ def test_near_duplicates_at_another_percent(docs, rows):
     assert want != components(texts, 85)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=80).collect()} == want
     assert multiset(minhash.deduplicate(docs, percent=80), "doc_id") == Counter((i,) for i, c in want.items() if i == c)
+
+
+def test_near_copies_share_no_bin(spark, docs, rows):
+    """Copies and near copies of different sources, with and without ids."""
+    got = packing.pack_near(docs, capacity=4096).collect()
+    texts = {r[0]: r[1] for r in rows}
+    want = components(texts, 80)
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in packing.pack(docs, capacity=4096).collect())
+    for b in set(r.bin for r in got):
+        held = [r for r in got if r.bin == b]
+        for key in ([r.source for r in held if r.source is not None], [want[r.doc_id] for r in held], [texts[r.doc_id] for r in held]):
+            assert len(key) == len(set(key))
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["other"])
+    some = spark.createDataFrame([(1, " ".join(words), "a"), (2, near, "b"), (None, near + " x", "c"), (None, near + " y", "d"), (3, "", "e"), (4, "", "f"), (5, None, "g")], "doc_id bigint, text string, source string")
+    packed = packing.pack_near(some).collect()
+    by_source = {r.source: r.bin for r in packed}
+    assert len({by_source[s] for s in "abcd"}) == 4 and by_source["e"] != by_source["f"]
+    assert {(r.doc_id, r.source) for r in packed} == {(r.doc_id, r.source) for r in some.collect()}
+
+
+def test_op9_packing_parts_near_copies(spark, tmp_path):
+    from docloom.llm.queries import QUERIES
+
+    words = [f"w{i}" for i in range(60)]
+    some = [(1, " ".join(words), "a"), (2, " ".join(words[:-1] + ["other"]), "b")]
+    spark.createDataFrame(some, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert len({r.bin for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()}) == 2
