@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.minhash import near_duplicates
-from docloom.llm.store import ship
+from docloom.llm.store import Workspace, ship
 
 CAPACITY = 2048
 GROUP = 20_000
@@ -130,10 +130,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", source:
     ship(spark)
     own = F.xxhash64(F.col(text)) if cluster is None else cluster.cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("cluster"), (words_in(F.col(text)) if words is None else words).alias("_n"))
-    most = capacity - 1
+    # written once without the texts: pieces are what fills the groups, so they are counted first
+    rows, most = Workspace(spark, "packing").save(rows, "rows"), capacity - 1
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / most).cast("int") - 1, F.lit(0)))))
     rows = rows.withColumn("start", F.col("piece").cast("long") * most).withColumn("length", F.least(F.lit(most).cast("long"), F.col("_n") - F.col("start")) + 1)
-    n_groups = max(1, math.ceil(docs.count() / group))
+    n_groups = max(1, math.ceil(rows.count() / group))
     rows = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(77), "doc_id", "piece"), F.lit(n_groups)))
     return rows.drop("_n").groupBy("group").applyInArrow(lambda t: _pack_group(t, capacity), SCHEMA)
 

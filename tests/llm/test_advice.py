@@ -61,3 +61,9 @@ def test_op9_packing_parts_near_copies(spark, tmp_path):
     some = [(1, " ".join(words), "a"), (2, " ".join(words[:-1] + ["other"]), "b")]
     spark.createDataFrame(some, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert len({r.bin for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()}) == 2
+
+
+def test_groups_are_counted_in_pieces(spark):
+    long = spark.createDataFrame([(1, " ".join(["w"] * 12_700), "a")], "doc_id bigint, text string, source string")
+    got = packing.pack(long, capacity=128, group=20).collect()
+    assert len(got) == 100 and len({r.bin >> 32 for r in got}) == 5
