@@ -1,15 +1,15 @@
-"""Suffix-array deduplication with a logarithmic index family.
+"""Deduplication of repeated bytes with a logarithmic index family.
 
 A byte goes where a string of ``LENGTH`` bytes around it also starts anywhere else.
 
-Sparse suffix arrays. Among the 32-byte strings of every window of LENGTH bytes, the one with the least hash (the
+Sparse suffixes. Among the 32-byte strings of every window of LENGTH bytes, the one with the least hash (the
 leftmost of equals) is the window's anchor; equal windows have their anchors at equal places, so suffixes need be
 indexed at anchors only. Windows of one anchor are split in two by where the anchor stands, so that all windows
 of an entry share at least 216 bytes with it: an entry is (key: fingerprint of those bytes; context: fingerprint
-of all bytes its windows cover). Suffixes are ordered by fingerprint of their first 216 bytes instead of by the
-bytes, which keeps equal ones next to each other, and that is all a merge needs.
+of all bytes its windows cover). No suffix array is made and nothing is ordered: entries are counted by their
+fingerprints, and grouping brings equal ones together.
 
-Index family. New batches get their sorted entries, which are merged with those of the existing levels: an entry
+Index family. New batches get their counted entries, which are grouped with those of the existing levels: an entry
 met twice is a long match as a whole; a key met with two contexts is a match of at least 216 bytes whose extent
 is settled on the bytes. Then levels of equal size merge, so that n batches leave at most log2(n) levels.
 
