@@ -7,9 +7,8 @@ Jaccard similarity, concentrated at least as well as independent draws.
 
 Banding. Documents with one shingle set are one class. Classes that agree in a whole band are candidates; with
 32 bands of 4 coordinates, a pair at similarity 0.85 is missed with probability 6e-11 (5e-8 at 0.8). The candidates'
-connected parts are compared inside tasks, in blocks of bounded size; a pair whose sketches agree in so few
-coordinates that the similarity asked for is six standard deviations away is not verified. All others are, on full
-shingle sets, unless they are already joined. Only joining links leave the tasks, fewer than there are classes.
+connected parts are compared inside tasks, in blocks of bounded size: all pairs of fitting sizes on full shingle
+sets, by an index from shingles to members, unless they are already joined. Only joining links leave the tasks, fewer than there are classes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` once A-Z are lower-cased; the set is all runs of ``width`` words, or the whole
 sequence if it is shorter.
@@ -21,7 +20,6 @@ it has any; an empty table gives an empty result; only doc_id and the text are r
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +35,8 @@ WIDTH = 5
 BINS, BAND = 128, 4
 PERCENT = 85
 BLOCK = 4096
+#: Entries of a block's index that are looked up at once.
+STEP = 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,16 +113,6 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "set_key", "bands", *batch.schema.names[2:]])
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """100 * intersection >= percent * union, on sorted sets."""
-    if a.size > b.size:
-        a, b = b, a
-    if 100 * a.size < percent * b.size:
-        return False
-    same = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), b.size - 1)] == a))
-    return 100 * same >= percent * (a.size + b.size - same)
-
-
 def link_block(ids: list[int], side: np.ndarray, texts: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join all of a block's members that are joined at all.
 
@@ -132,10 +122,17 @@ def link_block(ids: list[int], side: np.ndarray, texts: list[bytes], percent: in
     """
     sets = [shingles(t) for t in texts]
     sizes = np.array([s.size for s in sets])
-    marks = np.stack([sketch(s) for s in sets])
     across = bool(side.any() and not side.all())
-    j = percent / 100
-    floor = BINS * (j - 6 * math.sqrt(j * (1 - j) / BINS))
+    # the members of shingle e, less those found gone when it was last made: owners[starts[e] : starts[e + 1]]
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    of = np.cumsum(np.concatenate(([False], flat[1:] != flat[:-1])), dtype=np.int32)[: flat.size]
+    mine, owners = np.empty(flat.size, np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+    mine[order] = of
+    mine, n = np.split(mine, np.cumsum(sizes)[:-1]), int(of.max(initial=-1)) + 1
+    starts, indexed = np.searchsorted(of, np.arange(n + 1)), len(ids)
+    del flat, order, sets
     links, left, wave = [], np.ones(len(ids), bool), []
     # across two sides, a reached member still has to meet the other side's members, so both are kept in turn
     for begin in range(len(ids)):
@@ -147,12 +144,22 @@ def link_block(ids: list[int], side: np.ndarray, texts: list[bytes], percent: in
             i = wave.pop()
             rest = np.flatnonzero(left & (side != side[i]) if across else left)
             rest = rest[(100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
-            rest = rest[(marks[rest] == marks[i]).sum(axis=1) >= floor]
-            for k in rest.tolist():
-                if similar(sets[i], sets[k], percent):
-                    links.append((ids[i], ids[k]))
-                    left[k] = False
-                    wave.append(k)
+            if not rest.size:
+                continue
+            if 2 * np.count_nonzero(left) < indexed:
+                stay = left[owners]
+                of, owners, indexed = of[stay], owners[stay], np.count_nonzero(left)
+                starts = np.searchsorted(of, np.arange(n + 1))
+            same = np.zeros(len(ids), np.int64)
+            for part in np.array_split(mine[i], 1 + mine[i].size * indexed // STEP):
+                many = starts[part + 1] - starts[part]
+                at = np.repeat(starts[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                same += np.bincount(owners[at], minlength=len(ids))
+            same = same[rest]
+            for k in rest[100 * same >= percent * (sizes[i] + sizes[rest] - same)].tolist():
+                links.append((ids[i], ids[k]))
+                left[k] = False
+                wave.append(k)
     return links
 
 

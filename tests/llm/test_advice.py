@@ -1,7 +1,9 @@
 """What the advice of round 1 asked for, against brute force."""
 
+import random
 from collections import Counter
 
+import numpy as np
 from test_curation import multiset, shingle_set
 
 from docloom.llm import minhash, packing
@@ -67,3 +69,30 @@ def test_groups_are_counted_in_pieces(spark):
     long = spark.createDataFrame([(1, " ".join(["w"] * 12_700), "a")], "doc_id bigint, text string, source string")
     got = packing.pack(long, capacity=128, group=20).collect()
     assert len(got) == 100 and len({r.bin >> 32 for r in got}) == 5
+
+
+def test_links_do_not_depend_on_sketches(rows, monkeypatch):
+    """Block by block against pairwise comparison, also with sketches that agree nowhere."""
+    rng = random.Random(3)
+    texts = [t for t in {r[0]: r[1] for r in rows}.values() if t and t.split()]
+    monkeypatch.setattr(minhash, "STEP", 5000, raising=False)
+    marks = iter(range(1, 1 << 20))
+    monkeypatch.setattr(minhash, "sketch", lambda s: np.full(minhash.BINS, next(marks), np.uint32))
+    sets = [shingle_set(t) for t in texts]
+    alike = lambda a, b, percent: 100 * len(a & b) >= percent * len(a | b)
+    for percent in (80, 85):
+        for side in (np.zeros(len(texts), int), np.array([rng.randrange(2) for _ in texts])):
+            ids = list(range(len(texts)))
+            across = bool(side.any())
+            pairs = [(a, b) for a in ids for b in ids if a < b and (not across or side[a] != side[b]) and alike(sets[a], sets[b], percent)]
+            links = minhash.link_block(ids, side, [t.encode() for t in texts], percent)
+            assert all((min(x), max(x)) in pairs for x in links) and pairs
+            assert joined(links, ids) == joined(pairs, ids)
+
+
+def joined(links, ids):
+    up = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    return up
