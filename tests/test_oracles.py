@@ -1,6 +1,9 @@
 """Every query against its SQL, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -58,3 +61,16 @@ def test_library_does_not_import_the_training_operators():
         for n in names:
             if n.endswith(".py"):
                 assert "docloom.llm" not in open(os.path.join(folder, n)).read()
+
+
+@pytest.mark.parametrize("gone", [["docloom/llm", "tests/llm"], ["docloom/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_the_training_operators(tmp_path, gone):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".*"))
+    for path in gone:
+        shutil.rmtree(copy / path, ignore_errors=True)
+        (copy / path).unlink(missing_ok=True)
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries()))"], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert "'hybrid_rrf'" in said.stdout and "'pipeline'" not in said.stdout and ("'op1_html'" in said.stdout) == ("docloom/llm" not in gone)
