@@ -19,7 +19,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.store import Workspace
+
 SEED = 20_240_607
+#: Bytes of text of a bucket, about, and the cells of a shard that buckets are made of.
+BUCKET_BYTES = 8 << 20
+CELLS = 1 << 14
 OUTPUTS = ("shard", "slot", "grown_shard", "bucket")
 
 
@@ -40,39 +45,45 @@ def grown_shard_of(key: str, n_shards: int, seed: int = SEED) -> Column:
 
 
 def external_shuffle(
-    df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = 24 << 20
+    df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """All columns of ``df`` plus shard, slot (gapless from 0 in each shard), grown_shard and bucket.
 
-    The number of buckets follows the bytes of ``text``. A bucket holds the records of one key together
-    with others, so only a single key that fills a bucket alone can make one larger than ``bucket_bytes``;
-    its records are sorted with spilling, and only row numbers are ever held in an array.
+    A record's cell is its shard and a hash of its key and text; a bucket is a run of cells of one shard, as many as
+    the bytes of ``text`` ask for. Equal keys with different texts spread over the buckets of their shard, so only rows
+    that are equal in both can make a bucket larger than ``bucket_bytes``; its records are sorted with spilling, and
+    only row numbers are ever held in an array.
     """
+    spark = df.sparkSession
+    work = Workspace(spark, "shards")
     df = df.drop(*OUTPUTS)
-    total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)).first()[0] or 0
-    per_shard = max(1, math.ceil(total / n_shards / bucket_bytes))
 
-    def scattered(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("shard", shard_of(key, n_shards, seed))
-        return rows.withColumn(
-            "bucket", F.col("shard") * F.lit(per_shard) + F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(per_shard)).cast("int")
-        )
+    def celled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("shard", shard_of(key, n_shards, seed)).withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(CELLS)).cast("int"))
+
+    sized = celled(df.select(key, text)).withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
+    cells = work.save(sized.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_bytes")), "cells")
+    total = cells.agg(F.sum("_bytes")).first()[0] or 0
+    per_shard = min(CELLS, max(1, math.ceil(total / n_shards / bucket_bytes)))
+    bucket = F.col("shard") * F.lit(per_shard) + F.floor(F.col("_cell") * F.lit(float(per_shard)) / F.lit(float(CELLS))).cast("int")
 
     # The permutations: one row for each bucket, in a fixed place and order, so that a task run again draws the same.
-    sizes = scattered(df.select(key)).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = cells.withColumn("bucket", bucket).groupBy("shard", "bucket").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    places = min(n_shards * per_shard, 200)
+    places = n_shards * per_shard
     orders = (
         sizes.repartition(places, "bucket")
         .sortWithinPartitions("bucket")
         .select(F.col("bucket").alias("_bucket"), "_start", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), seed).alias("_order"))
     )
 
+    # both sides are dealt alike by bucket, to a stated number of tasks, so the records move once
     in_bucket = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 2), F.col(key)), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    numbered = scattered(df).withColumn("_rn", F.row_number().over(in_bucket))
+    scattered = celled(df).withColumn("bucket", bucket).drop("_cell").repartition(places, "bucket")
+    numbered = scattered.withColumn("_rn", F.row_number().over(in_bucket))
     return (
-        numbered.join(orders, F.col("bucket") == F.col("_bucket"))
+        numbered.join(orders.hint("merge"), F.col("bucket") == F.col("_bucket"))
         .withColumn("slot", F.col("_start") + F.element_at("_order", F.col("_rn")))
         .withColumn("grown_shard", grown_shard_of(key, n_shards, seed))
         .drop("_bucket", "_start", "_order", "_rn")

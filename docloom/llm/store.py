@@ -1,11 +1,12 @@
 """Tables written between jobs, in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Where that is unset (tests, notebooks) a local
-temporary folder is made and set once for the session.
+The folder is ``spark.checkpoint.dir`` of the session. Where that is unset and the session runs in one process
+(tests, notebooks) a local temporary folder is made and set once; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -42,12 +46,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove all tables that operators of this process have written; call it once their results are stored."""
-    while _ROOTS:
+def mark() -> int:
+    """A point in time for ``clean``."""
+    return len(_ROOTS)
+
+
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables that operators of this process have written (since a ``mark``); call it once their results are stored."""
+    while len(_ROOTS) > since:
         _delete(spark, _ROOTS.pop())
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Workspace:
     """Names for tables of one run; ``drop`` removes those that later jobs no longer read, ``clean`` all of them."""
 
