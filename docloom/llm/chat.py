@@ -4,8 +4,11 @@ A record is JSON text. The nested paths of its fields, without their types, are
 one of the declared layouts, and that layout's mapping turns the record into canonical (role, text) turns.
 Turns are then set in a template whose control strings are escaped inside texts, reversibly.
 
+Rows of a table are fingerprinted by their field names; their text and role are read from the columns, so they go
+through no parser, have no limit of length, and keep their roles as they are.
+
 Edge cases: null text or role reads as empty; a record whose fingerprint no layout declares keeps its row with
-layout null and no turns; an empty turn list formats to an empty string; conversations with equal turn numbers
+layout null and no turns; one beyond the parser's limit of ``PARSER_LIMIT`` characters that it cannot read is an error; an empty turn list formats to an empty string; conversations with equal turn numbers
 order them by role and text; a conversation is one output row, so its turns meet in one task by definition.
 """
 
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Characters of a string beyond which JSON parsers give up.
+PARSER_LIMIT = 20_000_000
 
 #: Names that data sets give to the canonical roles.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
@@ -140,7 +145,9 @@ def _turns(layout: Layout, record: Column) -> Column:
 
 def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``df`` with layout (name or null), fingerprint and turns, from the JSON text in ``record``."""
-    df = df.drop("layout", "fingerprint", "turns").withColumn("fingerprint", fingerprint(F.col(record)))
+    lost = F.raise_error(F.concat(F.lit("record too long to be read as JSON: characters "), F.length(record).cast("string")))
+    marked = F.coalesce(fingerprint(F.col(record)), F.when(F.length(record) > PARSER_LIMIT, lost))
+    df = df.drop("layout", "fingerprint", "turns").withColumn("fingerprint", marked)
     name, turns = F.lit(None).cast("string"), F.expr(f"cast(array() as {TURNS})")
     for layout in layouts:
         hit = F.col("fingerprint").isin(layout.fingerprints())
@@ -194,10 +201,26 @@ def format_turns(df: DataFrame) -> DataFrame:
     return df.withColumn("formatted", render(F.col("turns"))).withColumn("loss_mask", loss_mask(F.col("turns")))
 
 
+def canonical_rows(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``df``, one turn in a row, with layout, fingerprint and turns; the record is the row, its paths the column names.
+
+    A row of short stand-ins is fingerprinted in the place of the values; these are read from the layout's columns.
+    """
+    df = df.drop("layout", "fingerprint", "turns")
+    stand_in = F.to_json(F.struct(*[F.lit("-").alias(c) for c in df.columns]))
+    out = df.withColumn("fingerprint", fingerprint(stand_in))
+    name, turns = F.lit(None).cast("string"), F.expr(f"cast(array() as {TURNS})")
+    for layout in layouts:
+        if layout.role_at in df.columns and layout.text_at in df.columns:
+            hit = F.col("fingerprint").isin(layout.fingerprints())
+            said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (layout.role_at, layout.text_at)]
+            name = F.when(hit, F.lit(layout.name)).otherwise(name)
+            turns = F.when(hit, F.array(F.struct(said[0].alias("role"), said[1].alias("text")))).otherwise(turns)
+    return out.withColumn("layout", name).withColumn("turns", turns)
+
+
 def format_conversations(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Rows (conv_id, turn, role, text) to one row for each conversation: conv_id, turns, formatted, loss_mask."""
-    rows = rows.select(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"))
-    record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
-    mapped = canonical(rows.select("conv_id", "turn", record.alias("record")), "record", layouts)
+    mapped = canonical_rows(rows.select("conv_id", "turn", "role", "text"), layouts)
     turns = F.sort_array(F.collect_list(F.struct(F.col("turn"), F.col("turns"))))
     return format_turns(mapped.groupBy("conv_id").agg(F.flatten(F.transform(turns, lambda x: x["turns"])).alias("turns")))

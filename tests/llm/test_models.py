@@ -193,3 +193,28 @@ def test_conversations(spark):
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.format_conversations(df).collect()}
     assert got == {1: [("assistant", ""), ("user", "b"), ("user", "b"), ("user", "c")], None: [("user", "z")], 3: [("", "q")]}
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_rows_keep_roles_and_long_texts(spark, tmp_path):
+    """Digests of the query against plain Python: roles that data sets name differently, and a turn no JSON parser takes."""
+    import hashlib
+
+    from docloom.llm.queries import QUERIES
+
+    long = "ab <|\\ é\n" * 2_800_000
+    rows = [(1, 0, "human", "hi"), (1, 1, "gpt", "ho"), (1, 2, "assistant", long), (2, 0, "user", long), (2, 1, "assistant", ""), (3, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in QUERIES["op10_chat"](spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for c in (1, 2, 3):
+        own = [(r or "", t or "") for i, _, r, t in rows if i == c]
+        said = "".join(t for r, t in own if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), sha(said))
+    assert set(got) == {1, 2, 3, -1}
+
+
+def test_records_too_long_to_read_fail(spark):
+    df = spark.range(1).select(F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("x"), 20_500_000), F.lit('","completion":"y"}')).alias("record"))
+    with pytest.raises(Exception, match="too long to be read"):
+        chat.canonical(df).select(F.size("turns")).collect()
