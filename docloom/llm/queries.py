@@ -172,10 +172,10 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_suffixes")
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.llm.suffix_family import cut
+    from docloom.llm.suffix_family import WORDS, cut
 
-    out = cut(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = cut(_table(spark, sf_dir, "documents"), passages=WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeat_words")
 
 
 @_query("op8_toxicity")

@@ -1,19 +1,23 @@
-"""Deduplication of repeated bytes with a logarithmic index family.
+"""Deduplication of repeated passages with a logarithmic family of sparse suffix arrays.
 
-A byte goes where a string of ``LENGTH`` bytes around it also starts anywhere else.
+A symbol goes where a run of ``length`` symbols around it also starts anywhere else. Symbols are the bytes of a text
+or its words (``[^\\x20\\x09-\\x0D]+``, verbatim); figures below are those for bytes.
 
-Sparse suffixes. Among the 32-byte strings of every window of LENGTH bytes, the one with the least hash (the
+Sparse suffixes. Among the 32-byte strings of every window of 400 bytes, the one with the least hash (the
 leftmost of equals) is the window's anchor; equal windows have their anchors at equal places, so suffixes need be
 indexed at anchors only. Windows of one anchor are split in two by where the anchor stands, so that all windows
 of an entry share at least 216 bytes with it: an entry is (key: fingerprint of those bytes; context: fingerprint
-of all bytes its windows cover). No suffix array is made and nothing is ordered: entries are counted by their
-fingerprints, and grouping brings equal ones together.
+of all bytes its windows cover; n: how often it was met; doc and first: one place where it stands).
 
-Index family. New batches get their counted entries, which are grouped with those of the existing levels: an entry
-met twice is a long match as a whole; a key met with two contexts is a match of at least 216 bytes whose extent
-is settled on the bytes. Then levels of equal size merge, so that n batches leave at most log2(n) levels.
+Suffix arrays. They are sparse, and sorted by (key, context), not by the bytes themselves: any order does in which
+suffixes that share 216 bytes stand together. Each task sorts the entries of its shard and joins equal ones; the
+batch's array is dealt out by ranges of (key, context), so that a key with very many contexts goes to several tasks.
 
-Edge cases: null and empty texts have no bytes; texts under LENGTH bytes keep all; rows repeated in full are
+Index family. A new batch's array is merged with those of all levels in one sorted scan: entries that fall
+together are long matches as a whole, and neighbours that share a key only are matches of at least 216 bytes
+whose extent is settled on the bytes. Then levels of equal size merge, so that n batches leave at most log2(n) levels.
+
+Edge cases: null and empty texts have no symbols; texts under ``length`` symbols keep all; rows repeated in full are
 documents of their own and remove each other; rows that share a doc_id are told apart by their text; texts of any
 length are taken in overlapping pieces; an empty table gives an empty result; only doc_id and text are read.
 """
@@ -21,6 +25,7 @@ length are taken in overlapping pieces; an empty table gives an empty result; on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.store import Workspace, ship
+from docloom.llm.store import Workspace, ship, sweep
 
 LENGTH = 400
-SAMPLE = 32
-WINDOW = LENGTH - SAMPLE + 1
-HALF = WINDOW // 2
-SHARED = LENGTH - HALF
-PIECE = 4 << 20
+#: Symbols of a text that are indexed at once. A symbol takes some hundred bytes meanwhile.
+PIECE = 1 << 18
+#: Entries that a task sorts at once.
+SHARD = 1 << 18
 BATCHES = 4
 #: Contexts of one key beyond which its windows are counted one by one, over all tasks, instead of together in one.
 HOT = 2048
@@ -44,20 +48,44 @@ HOT_SHARE = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What texts are sequences of: the length of a repeated run, that of an anchor, and the bytes of a symbol's code."""
+
+    name: str
+    length: int
+    sample: int
+    code: int
+
+    @property
+    def window(self) -> int:
+        return self.length - self.sample + 1
+
+    @property
+    def half(self) -> int:
+        return self.window // 2
+
+
+BYTES = Unit("bytes", LENGTH, 32, 1)
+WORDS = Unit("words", 50, 8, 8)
+
+
 def _table(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 _BYTES, _BYTES2 = _table(11), _table(12)
 _BASE, _BASE2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LETTERS = np.where(_SPACE, np.uint64(0), _BYTES)
 
 
-def rolling(data: np.ndarray, length: int, table: np.ndarray = _BYTES, base: np.uint64 = _BASE) -> np.ndarray:
-    """Hash of each run of ``length`` bytes, by doubling; runs of powers of two are joined."""
+def rolling(data: np.ndarray, length: int, table: np.ndarray | None = _BYTES, base: np.uint64 = _BASE) -> np.ndarray:
+    """Hash of each run of ``length`` symbols, by doubling; runs of powers of two are joined."""
     if data.size < length:
         return np.empty(0, np.uint64)
     n = data.size - length + 1
-    step, have, out, done, power = 1, table[data], None, 0, int(base)
+    step, have, out, done, power = 1, data if table is None else table[data], None, 0, int(base)
     while step <= length:
         times = np.uint64(power)
         if length & step:
@@ -83,119 +111,224 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def entries(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Index entries of a few texts: text number, first and last window start, key, context."""
-    begin = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    joined = b"".join(texts)
-    data = np.frombuffer(joined, np.uint8)
-    if data.size < LENGTH:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
-    h = rolling(data, SAMPLE) * _ODD
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and stop."""
+    gap = np.concatenate(([True], _SPACE[np.frombuffer(text, np.uint8)], [True]))
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """A 64-bit fingerprint of each word, its length included."""
+    out, begin = [], 0
+    while begin < len(text):  # in stretches that end with a word
+        end = begin + PIECE
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        data = np.frombuffer(text, np.uint8, min(end, len(text)) - begin, begin)
+        start, stop = word_spans(text[begin:end])
+        if start.size:
+            size = stop - start
+            at = np.zeros(data.size, np.int64)  # place in the word
+            at[start[0] :] = np.arange(start[0], data.size) - np.repeat(start, np.diff(np.append(start, data.size)))
+            powers = np.multiply.accumulate(np.full(int(at.max()) + 1, _BASE2))
+            h = np.add.reduceat(_LETTERS[data] * powers[at], start) + size.astype(np.uint64)
+            h = (h ^ (h >> np.uint64(29))) * _ODD
+            out.append(h ^ (h >> np.uint64(32)))
+        begin = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def symbols(text: bytes, unit: Unit) -> np.ndarray:
+    return np.frombuffer(text, np.uint8) if unit.code == 1 else word_codes(text)
+
+
+def entries(parts: list[np.ndarray], unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """Index entries of a few sequences: number of the sequence, first and last window start, key, context."""
+    length, sample, half = unit.length, unit.sample, unit.half
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in parts]))).astype(np.int64)
+    data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
+    nothing = tuple(np.empty(0, np.int64) for _ in range(5))
+    if data.size < length:
+        return nothing
+    h = rolling(data, sample, _BYTES if unit.code == 1 else None)
+    h *= _ODD
     place = np.uint64((1 << 24) - 1)
-    anchor = (sliding_min((h & ~place) | np.arange(h.size, dtype=np.uint64), WINDOW) & place).astype(np.int64)
+    h &= ~place
+    h |= np.arange(h.size, dtype=np.uint64)
+    anchor = (sliding_min(h, unit.window) & place).astype(np.int32)
+    del h
     keep = np.zeros(anchor.size, bool)
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-        if b - a >= LENGTH:
-            keep[a : b - LENGTH + 1] = True
+        if b - a >= length:
+            keep[a : b - length + 1] = True
     starts = np.flatnonzero(keep)
     if not starts.size:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
-    at = anchor[starts]
+        return nothing
+    at = anchor[starts].astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))))
     lo, hi, at = starts[new], starts[np.concatenate((new[1:], [starts.size])) - 1], at[new]
     # windows that start close before their anchor share what follows it, the others what precedes it
-    near, far = np.maximum(lo, at - HALF), np.minimum(hi, at - HALF - 1)
+    near, far = np.maximum(lo, at - half), np.minimum(hi, at - half - 1)
     r, f = near <= hi, lo <= far
     first, last = np.concatenate((near[r], lo[f])), np.concatenate((hi[r], far[f]))
     a, side = np.concatenate((at[r], at[f])), np.concatenate((np.zeros(r.sum(), int), np.ones(f.sum(), int)))
-    digest, view = xxhash.xxh3_64_intdigest, memoryview(joined)
-    low = np.where(side == 0, a, a - HALF - 1)
-    top = np.where(side == 0, a + SHARED, a + SAMPLE)
-    key = np.array([digest(view[x:y], s) for x, y, s in zip(low.tolist(), top.tolist(), side.tolist(), strict=True)], np.uint64)
-    context = np.array([digest(view[x : y + LENGTH], z) for x, y, z in zip(first.tolist(), last.tolist(), (a - first).tolist(), strict=True)], np.uint64)
+    low = np.where(side == 0, a, a - half - 1)
+    top = np.where(side == 0, a + length - half, a + sample)
+    digest, view, c = xxhash.xxh3_64_intdigest, memoryview(data.tobytes()), unit.code
+    key = np.array([digest(view[c * x : c * y], s) for x, y, s in zip(low.tolist(), top.tolist(), side.tolist(), strict=True)], np.uint64)
+    context = np.array([digest(view[c * x : c * (y + length)], z) for x, y, z in zip(first.tolist(), last.tolist(), (a - first).tolist(), strict=True)], np.uint64)
     number = np.searchsorted(begin, first, side="right") - 1
     return number, first - begin[number], last - begin[number], key.view(np.int64), context.view(np.int64)
 
 
-def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Parts of a text that hold each window once, with their offsets."""
-    for i in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-        yield i, text[i : i + PIECE + LENGTH - 1] if len(text) > PIECE else text
+def _pieces(sequence: np.ndarray, unit: Unit) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts of a sequence that hold each window once, with their offsets."""
+    for i in range(0, max(1, len(sequence) - unit.length + 1), PIECE):
+        yield i, sequence[i : i + PIECE + unit.length - 1]
 
 
-def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
     """Rows (doc, hash, text) to entries (doc, hash, first, last, key, context)."""
     for batch in batches:
         docs, hashes = (np.asarray(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
         held, owner, offset, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            number, first, last, key, context = entries(held)
+            number, first, last, key, context = entries(held, unit)
             row, off = np.array(owner, np.int64)[number], np.array(offset, np.int64)[number]
             columns = [docs[row], hashes[row], first + off, last + off, key, context]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "hash", "first", "last", "key", "context"])
 
         for i, t in enumerate(batch.column(2)):
             text = t.as_py()
-            if text is None or len(text) < LENGTH:
+            if text is None or len(text) < unit.length:
+                continue
+            sequence = symbols(text, unit)
+            if sequence.size < unit.length:
                 continue
-            for off, piece in _pieces(text):
-                if held and size + len(piece) > PIECE:
+            for off, piece in _pieces(sequence, unit):
+                if held and size + piece.size > PIECE:
                     yield flush()
                     held, owner, offset, size = [], [], [], 0
                 held.append(piece)
                 owner.append(i)
                 offset.append(off)
-                size += len(piece)
+                size += piece.size
         if held:
             yield flush()
 
 
-def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, hash, text, list of entries) to (key, whole, doc, hash, first, bytes, hot)."""
-    names = ["key", "whole", "doc", "hash", "first", "bytes", "hot"]
+#: An entry of a suffix array: what it is sorted by, how often it was met, whether the last batch has it, and one place of it.
+ENTRY = ("key", "context", "n", "new", "doc", "first")
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for i in range(len(ENTRY))]
+
+
+def _joined(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted entries with equal neighbours made one: n is added up, new if any is, the place is the first one's."""
+    key, context, n, new, doc, first = columns
+    heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))))
+    return [key[heads], context[heads], np.add.reduceat(n, heads), np.maximum.reduceat(new, heads), doc[heads], first[heads]]
+
+
+def _array_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ENTRY to the suffix arrays of shards of at most SHARD entries."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        key, context, _, _, doc, first = columns
+        order = np.lexsort((first, doc, context, key))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _joined([c[order] for c in columns])], ENTRY)
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_columns(batch))
+            size += batch.num_rows
+        if size >= SHARD:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sorted scan over merged arrays: rows of ENTRY with equal ones joined, and near.
+
+    near: a neighbour has the same key; also set for the first and last row of a task, whose neighbours are elsewhere.
+    """
+
+    def made(columns: list[np.ndarray], near: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(near)], [*ENTRY, "near"])
+
+    last, before = None, True  # the row not yet given out, and whether the one ahead of it has its key
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = _columns(batch)
+        if last is not None:
+            columns = [np.concatenate(c) for c in zip(last, columns, strict=True)]
+        columns = _joined(columns)
+        same = columns[0][1:] == columns[0][:-1]
+        ahead = np.concatenate(([before], same))
+        last, before = [c[-1:] for c in columns], bool(ahead[-1])
+        if same.size:
+            yield made([c[:-1] for c in columns], ahead[:-1] | same)
+    if last is not None:
+        yield made(last, np.array([True]))
+
+
+def _context_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, hash, text, list of entries) to (key, whole, doc, hash, first, codes, hot)."""
+    names = ["key", "whole", "doc", "hash", "first", "codes", "hot"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         size = 0
         for doc, h, text, parts in zip(*batch.columns, strict=True):
-            doc, h, text = doc.as_py(), h.as_py(), text.as_py()
+            doc, h, sequence = doc.as_py(), h.as_py(), symbols(text.as_py(), unit)
             for p in parts.as_py():
-                row = (p["key"], p["whole"], doc, h, p["first"], text[p["first"] : p["last"] + LENGTH], p["hot"])
+                row = (p["key"], p["whole"], doc, h, p["first"], sequence[p["first"] : p["last"] + unit.length].tobytes(), p["hot"])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
                 size += len(row[5])
-            if size > PIECE:
+            if size > 8 * PIECE:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
                 out, size = [[] for _ in names], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
-def _windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(contexts: list[bytes], unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two fingerprints of every window of every context, and how many each has."""
-    begin = np.concatenate(([0], np.cumsum([len(c) for c in contexts]))).astype(np.int64)
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    keep = np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in zip(begin[:-1], begin[1:], strict=True)])
-    return rolling(data, LENGTH)[keep], rolling(data, LENGTH, _BYTES2, _BASE2)[keep], np.diff(begin) - LENGTH + 1
+    length = unit.length
+    begin = np.concatenate(([0], np.cumsum([len(c) // unit.code for c in contexts]))).astype(np.int64)
+    data = np.frombuffer(b"".join(contexts), np.uint8 if unit.code == 1 else np.uint64)
+    keep = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(begin[:-1], begin[1:], strict=True)])
+    one = rolling(data, length, _BYTES if unit.code == 1 else None)[keep]
+    two = rolling(data if unit.code == 1 else data ^ (data >> np.uint64(31)), length, _BYTES2 if unit.code == 1 else None, _BASE2)[keep]
+    return one, two, np.diff(begin) - length + 1
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
     """Rows of _context_batches to their windows: (doc, hash, start, whole, and two fingerprints)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch.to_pydict()
-        one, two, counts = _windows(rows["bytes"])
-        owner = np.repeat(np.arange(counts.size), counts)
-        start = np.array(rows["first"], np.int64)[owner] + np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
-        columns = [pa.array(np.array(rows[c], np.int64)[owner]) for c in ("doc", "hash")]
-        columns += [pa.array(start), pa.array(np.array(rows["whole"], bool)[owner]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "hash", "start", "whole", "one", "two"])
-
-
-def shared_windows(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context, which of its windows of LENGTH bytes also stand in another one (or twice)."""
-    one, two, counts = _windows(contexts)
+    for whole in batches:
+        step = max(1, PIECE // (4 * unit.length))
+        for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+            rows = batch.to_pydict()
+            one, two, counts = _windows(rows["codes"], unit)
+            owner = np.repeat(np.arange(counts.size), counts)
+            start = np.array(rows["first"], np.int64)[owner] + np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [pa.array(np.array(rows[c], np.int64)[owner]) for c in ("doc", "hash")]
+            columns += [pa.array(start), pa.array(np.array(rows["whole"], bool)[owner]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "hash", "start", "whole", "one", "two"])
+
+
+def shared_windows(contexts: list[bytes], unit: Unit = BYTES) -> list[np.ndarray]:
+    """For each context, which of its windows also stand in another one (or twice)."""
+    one, two, counts = _windows(contexts, unit)
     by = np.argsort(one, kind="stable")
     same = (one[by[1:]] == one[by[:-1]]) & (two[by[1:]] == two[by[:-1]])
     twice = np.zeros(one.size, bool)
@@ -204,24 +337,24 @@ def shared_windows(contexts: list[bytes]) -> list[np.ndarray]:
     return np.split(twice, np.cumsum(counts)[:-1])
 
 
-def _extent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extent_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
     """Rows of _context_batches, sorted by key, to removed ranges (doc, hash, start, stop)."""
 
     def flush(rows: list) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
-        for row, hit in zip(rows, shared_windows([r[5] for r in rows]), strict=True):
+        for row, hit in zip(rows, shared_windows([r[5] for r in rows], unit), strict=True):
             if row[1]:  # wholly removed already
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for column, x in zip(out, (row[2], row[3], row[4] + a, row[4] + b - 1 + LENGTH), strict=True):
+                for column, x in zip(out, (row[2], row[3], row[4] + a, row[4] + b - 1 + unit.length), strict=True):
                     column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "hash", "start", "stop"])
 
     held, size, key = [], 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[0] != key and size > PIECE // 2:
+            if held and row[0] != key and size > PIECE * unit.code:
                 yield flush(held)
                 held, size = [], 0
             held.append(row)
@@ -232,7 +365,7 @@ def _extent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class IndexFamily:
-    """Levels of entry counts (key, context, n); level i holds 2**i batches or nothing."""
+    """Levels, each a suffix array: rows of ENTRY sorted by (key, context). Level i holds 2**i batches or nothing."""
 
     def __init__(self, work: Workspace):
         self.work = work
@@ -240,31 +373,36 @@ class IndexFamily:
         self.names: dict[int, str] = {}
         self.n = 0
 
+    def merge(self, arrays: list[DataFrame], name: str) -> DataFrame:
+        """One sorted array of several: dealt out by ranges, brought in order within them, and scanned once."""
+        rows = arrays[0]
+        for more in arrays[1:]:
+            rows = rows.unionByName(more)
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartitionByRange(n, "key", "context").sortWithinPartitions("key", "context", "doc", "first")
+        return self.work.save(dealt.mapInArrow(_scan_batches, "key bigint, context bigint, n bigint, new bigint, doc bigint, first bigint, near boolean"), name)
+
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Scan a batch (key, context) against itself and all levels, then take it in.
+        """Merge-scan a batch (key, context, doc, first) with all levels, then take it in.
 
         Returns what the scan found: whole (key, context) met twice, and split (key, contexts) with several contexts; both
         with n, the rows met so far.
         """
         i, work = self.n, self.work
-        own = batch.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))
-        met = own.select("key", "context", "n", F.lit(True).alias("new"))
-        for level in self.levels.values():
-            met = met.unionByName(level.select("key", "context", "n", F.lit(False).alias("new")))
-        met = work.save(met.groupBy("key", "context").agg(F.sum("n").alias("n"), F.max("new").alias("new")), f"met{i}")
-        whole = work.save(met.filter("new and n > 1").select("key", "context", "n"), f"whole{i}")
-        keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"), F.max("new").alias("new"))
-        split = work.save(keys.filter("new and contexts > 1").select("key", "contexts", "n"), f"split{i}")
+        own = batch.withColumn("n", F.lit(1).cast("long")).withColumn("new", F.lit(1).cast("long")).select(*ENTRY)
+        own = own.mapInArrow(_array_batches, "key bigint, context bigint, n bigint, new bigint, doc bigint, first bigint")
+        held = [level.withColumn("new", F.lit(0).cast("long")).select(*ENTRY) for level in self.levels.values()]
+        met = self.merge([own, *held], f"met{i}")
+        whole = work.save(met.filter("new = 1 and n > 1").select("key", "context", "n"), f"whole{i}")
+        keys = met.filter("near").groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"), F.max("new").alias("new"))
+        split = work.save(keys.filter("new = 1 and contexts > 1").select("key", "contexts", "n"), f"split{i}")
         # as in a binary counter, the batch carries over every full level
         carried = [j for j in range(len(self.levels) + 1) if all(k in self.levels for k in range(j))][-1]
         if carried == len(self.levels):  # all levels are full: what has just met is their merge
-            merged, name = met.select("key", "context", "n"), f"met{i}"
+            merged, name = met, f"met{i}"
         else:
-            parts = own
-            for j in range(carried):
-                parts = parts.unionByName(self.levels[j].select("key", "context", "n"))
             name = f"level{i}"
-            merged = work.save(parts.groupBy("key", "context").agg(F.sum("n").alias("n")), name)
+            merged = self.merge([own, *[self.levels[j].select(*ENTRY) for j in range(carried)]], name)
             work.drop(f"met{i}")
         for j in range(carried):
             self.levels.pop(j)
@@ -274,13 +412,13 @@ class IndexFamily:
         return whole, split
 
 
-def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES) -> DataFrame:
-    """``docs`` (doc, hash, text) to ranges of bytes to remove: doc, hash, start, stop; they may overlap."""
-    made = docs.mapInArrow(_index_batches, "doc bigint, hash bigint, first bigint, last bigint, key bigint, context bigint")
+def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES, unit: Unit = BYTES) -> DataFrame:
+    """``docs`` (doc, hash, text) to ranges of symbols to remove: doc, hash, start, stop; they may overlap."""
+    made = docs.mapInArrow(lambda rows: _index_batches(rows, unit), "doc bigint, hash bigint, first bigint, last bigint, key bigint, context bigint")
     made = made.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
     index = work.save(made, "index")
     family = IndexFamily(work)
-    found = [family.add(index.filter(F.col("batch") == b).select("key", "context")) for b in range(batches)]
+    found = [family.add(index.filter(F.col("batch") == b).select("key", "context", "doc", "first")) for b in range(batches)]
     whole, split = found[0]
     for w, s in found[1:]:
         whole, split = whole.unionByName(w), split.unionByName(s)
@@ -302,7 +440,8 @@ def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES) ->
     sizes = F.coalesce("_hot_contexts", "contexts", F.lit(1))
     marked = rows.filter(is_whole | (sizes > 1)).select("doc", "hash", "first", "last", "key", "context", is_whole.alias("whole"), (sizes > 1).alias("split"), (sizes > HOT).alias("hot"))
     marked = work.save(marked, "marked")
-    work.drop("index", *[n for n in list(work.paths) if n not in ("marked",)])
+    work.drop(*[n for n in list(work.paths) if n != "marked"])
+    sweep(docs.sparkSession)
 
     # of wholly removed entries in split keys one of each context is enough to compare the others with
     place = F.struct("doc", "hash", "first", "last")
@@ -310,70 +449,96 @@ def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES) ->
     rest = marked.filter("split and not whole").select("doc", "hash", "first", "last", "key", "whole", "hot")
     asked = one.unionByName(rest).groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "whole", "first", "last", "hot")).alias("parts"))
     texts = docs.join(asked, ["doc", "hash"]).dropDuplicates(["doc", "hash"]).select("doc", "hash", "text", "parts")
-    contexts = work.save(texts.mapInArrow(_context_batches, "key bigint, whole boolean, doc bigint, hash bigint, first bigint, bytes binary, hot boolean"), "contexts")
+    contexts = work.save(texts.mapInArrow(lambda rows: _context_batches(rows, unit), "key bigint, whole boolean, doc bigint, hash bigint, first bigint, codes binary, hot boolean"), "contexts")
     n = max(24, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     few = contexts.filter("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key")
-    settled = few.mapInArrow(_extent_batches, "doc bigint, hash bigint, start bigint, stop bigint")
+    settled = few.mapInArrow(lambda rows: _extent_batches(rows, unit), "doc bigint, hash bigint, start bigint, stop bigint")
     # windows of hot keys are counted by their own fingerprints, added up before they move
-    windows = contexts.filter("hot").mapInArrow(_window_batches, "doc bigint, hash bigint, start bigint, whole boolean, one bigint, two bigint")
+    windows = contexts.filter("hot").mapInArrow(lambda rows: _window_batches(rows, unit), "doc bigint, hash bigint, start bigint, whole boolean, one bigint, two bigint")
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
-    hot = windows.filter("not whole").join(twice, ["one", "two"], "left_semi").select("doc", "hash", "start", (F.col("start") + LENGTH).alias("stop"))
+    hot = windows.filter("not whole").join(twice, ["one", "two"], "left_semi").select("doc", "hash", "start", (F.col("start") + unit.length).alias("stop"))
     settled = settled.unionByName(hot)
-    full = marked.filter("whole").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
-    return work.save(full.unionByName(settled), "ranges")
+    full = marked.filter("whole").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + unit.length).alias("stop"))
+    ranges = work.save(full.unionByName(settled), "ranges")
+    work.drop("marked", "contexts")
+    sweep(docs.sparkSession)
+    return ranges
+
+
+def _runs(ranges: list | None) -> list[list[int]]:
+    """Ranges that overlap or touch made one, in order."""
+    out: list[list[int]] = []
+    for r in sorted((r["start"], r["stop"]) for r in ranges or ()):
+        if out and r[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], r[1])
+        else:
+            out.append([*r])
+    return out
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
-    """Adds n_bytes, spans and the bytes (or characters) that stay to rows (row, text, ranges)."""
-    names = ["_row", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+def _cut_batches(batches: Iterator[pa.RecordBatch], as_text: bool, unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text, ranges, passages) to what is cut, what stays, and the words in repeated passages."""
+    names = ["_row", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_left", "n_repeat_words"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.string() if as_text else pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.string() if as_text else pa.binary(), pa.int64(), pa.int64()]
     for batch in batches:
         out: list[list] = [[] for _ in kinds]
-        for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
-            text = text.as_py() or b""
-            spans: list[list[int]] = []
-            for r in sorted((r["start"], r["stop"]) for r in ranges.as_py() or ()):
-                if spans and r[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], r[1])
-                else:
-                    spans.append([*r])
+        for text, ranges, passages in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+            text, spans = text.as_py() or b"", _runs(ranges.as_py())
+            left = len(text) - sum(b - a for a, b in spans)
+            if spans and unit.code > 1:
+                start, stop = word_spans(text)
+                left = start.size - sum(b - a for a, b in spans)
+                spans = [[int(start[a]), int(stop[b - 1])] for a, b in spans]
             kept, upto = [], 0
             for a, b in spans:
                 kept.append(text[upto:a])
                 upto = b
             kept.append(text[upto:])
             stays = b"".join(kept)
-            row = (len(text), sum(b - a for a, b in spans), len(spans), [{"start": a, "stop": b} for a, b in spans], stays.decode("utf-8", "ignore") if as_text else stays)
+            row = (
+                len(text), sum(b - a for a, b in spans), len(spans), [{"start": a, "stop": b} for a, b in spans],
+                stays.decode("utf-8", "ignore") if as_text else stays, left, sum(b - a for a, b in _runs(passages.as_py())),
+            )
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
 
-def cut(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", batches: int = BATCHES, as_text: bool = False) -> DataFrame:
-    """``keep`` plus n_bytes, n_removed, n_spans, spans and kept (the remaining bytes, or characters), for each row."""
+def cut(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", batches: int = BATCHES, as_text: bool = False, unit: Unit = BYTES, passages: Unit | None = None
+) -> DataFrame:
+    """``keep`` plus n_bytes, n_removed, n_spans, spans, kept (the remaining bytes, or characters) and n_left (symbols), for each row.
+
+    ``spans`` are in bytes. With ``passages`` also n_repeat_words: the words in repeated runs of that unit, which stay.
+    """
     spark = docs.sparkSession
     ship(spark)
-    work = Workspace(spark, "suffixes")
     own = F.struct(*[F.col(c) for c in keep])
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"),
         F.col(text).cast("binary").alias("text"), own.alias("_row"),
     )
-    ranges = removed_ranges(rows.select("doc", "hash", "text"), work, batches)
-    lists = ranges.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = rows.join(lists, ["doc", "hash"], "left").select("_row", "text", "ranges")
-    schema = f"_row {joined.schema['_row'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}"
-    return joined.mapInArrow(lambda rows: _cut_batches(rows, as_text), schema).select("_row.*", "n_bytes", "n_removed", "n_spans", "spans", "kept")
+    joined = rows
+    for name, kind in (("ranges", unit), ("passages", passages)):
+        if kind is None:
+            joined = joined.withColumn(name, F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
+            continue
+        found = removed_ranges(rows.select("doc", "hash", "text"), Workspace(spark, f"suffixes-{kind.name}"), batches, kind)
+        joined = joined.join(found.groupBy("doc", "hash").agg(F.collect_set(F.struct("start", "stop")).alias(name)), ["doc", "hash"], "left")
+    joined = joined.select("_row", "text", "ranges", "passages")
+    columns = f"n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}, n_left bigint"
+    out = joined.mapInArrow(lambda rows: _cut_batches(rows, as_text, unit), f"_row {joined.schema['_row'].dataType.simpleString()}, {columns}, n_repeat_words bigint")
+    return out.select("_row.*", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_left", *(["n_repeat_words"] if passages else []))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text``; a character that a cut splits goes with it.
+def remove_repeats(docs: DataFrame, text: str = "text", batches: int = BATCHES, unit: Unit = BYTES) -> DataFrame:
+    """``docs`` with the repeated runs cut out of ``text``; a character that a cut splits goes with it.
 
     Documents of which nothing stays are dropped; other columns are kept as they are.
     """
     own = docs.columns
     others = [c for c in own if c != text]
     packed = docs.select("doc_id", text, F.struct(*[F.col(c) for c in others]).alias("_others"))
-    out = cut(packed, ("_others",), text, batches, as_text=True).filter("n_bytes = 0 or n_removed < n_bytes")
+    out = cut(packed, ("_others",), text, batches, as_text=True, unit=unit).filter("n_spans = 0 or n_left > 0")
     return out.select("_others.*", F.col("kept").alias(text)).select(*own)

@@ -1,6 +1,7 @@
 """The deduplicating, filtering and packing operators against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -445,3 +446,83 @@ def test_crc_is_of_utf8(spark, sf):
     got = {r.doc_id: (r.size, r.text_crc32) for r in QUERIES["op6_shards"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         assert got[r.doc_id] == (len(r.text.encode()) + 8, zlib.crc32(r.text.encode()))
+
+
+# ---- repeated passages, in words
+
+
+def cut_words(texts, n=50):
+    """n_repeat_words of each text, and what stays of it."""
+    seen, out = Counter(), []
+    for t in texts:
+        w = split(t)
+        seen.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for t in texts:
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        w, gone = split(t), set()
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                gone.update(range(i, i + n))
+        kept, upto = "", 0
+        for i in sorted(gone):
+            if i - 1 not in gone:
+                kept += (t or "")[upto : places[i][0]]
+            upto = places[i][1]
+        out.append((len(gone), len(w), kept + (t or "")[upto:]))
+    return out
+
+
+def passages(seed=11):
+    rng = random.Random(seed)
+    p = [" ".join("w%d" % rng.randrange(300) for _ in range(n)) for n in (49, 50, 51, 60, 130)]
+    some = lambda n: " ".join("x%d" % rng.randrange(10**6) for _ in range(n))
+    texts = [f"{some(20)} {q}\n{some(30)}" for q in p for _ in range(3)] + [p[4], " " + p[4][200:] + "\t\n " + some(5), some(400), "a " * 200, "b" * 5000, None, ""]
+    return texts + [some(70_000)] + [some(10) + " " + p[3].replace(" ", "\n") + " é " + some(60)]
+
+
+def test_passages_of_words(spark):
+    texts = passages()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = cut_words(texts)
+    both = {r.doc_id: r for r in suffix_family.cut(df, passages=suffix_family.WORDS).collect()}
+    assert [both[i].n_repeat_words for i in range(len(texts))] == [w[0] for w in want]
+    assert [(both[i].n_bytes, both[i].n_removed, both[i].n_spans, bytes(both[i].kept)) for i in range(len(texts))] == cut(texts)
+    left = {r.doc_id: r.text or "" for r in suffix_family.remove_repeats(df, unit=suffix_family.WORDS).collect()}
+    assert left == {i: kept for i, (gone, n, kept) in enumerate(want) if gone == 0 or gone < n}
+
+
+def test_passages_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(suffix_family, "HOT", 1)
+    texts = passages(12)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_repeat_words for r in suffix_family.cut(df, passages=suffix_family.WORDS).collect()}
+    assert [got[i] for i in range(len(texts))] == [w[0] for w in cut_words(texts)]
+
+
+def test_word_codes_by_pieces(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abé") for _ in range(rng.choice([1, 3, 40, 3000]))) for _ in range(60)).encode() + b"  \n"
+    want = suffix_family.word_codes(text)
+    for piece in (1, 7, 100):
+        monkeypatch.setattr(suffix_family, "PIECE", piece)
+        assert np.array_equal(suffix_family.word_codes(text), want)
+    assert len(set(want.tolist())) == len(set(text.split())) and want.size == len(text.split())
+    assert len(set(suffix_family.word_codes(b"ab ba aab aba a aa aaa").tolist())) == 7
+
+
+def test_arrays_are_sorted_and_scanned():
+    """Shards, their arrays and the merge-scan against a plain count."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 6, 500), rng.integers(0, 4, 500), np.ones(500, int), rng.integers(0, 2, 500), rng.integers(0, 50, 500), rng.integers(0, 9, 500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 70], pa.int64()) for c in rows], suffix_family.ENTRY) for i in range(0, 500, 70)]
+    made = list(suffix_family._array_batches(iter(batches)))
+    assert len(made) == 1 and made[0].num_rows == 24
+    order = np.lexsort((rows[1], rows[0]))
+    dealt = [pa.RecordBatch.from_arrays([pa.array(c[order][i : i + 70], pa.int64()) for c in rows], suffix_family.ENTRY) for i in range(0, 500, 70)]
+    scanned = [r for b in suffix_family._scan_batches(iter(dealt)) for r in b.to_pylist()]
+    want = Counter(zip(rows[0].tolist(), rows[1].tolist()))
+    assert [((r["key"], r["context"]), r["n"]) for r in scanned] == sorted(want.items()) and all(r["near"] for r in scanned)
+    alone = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 3, 5, 6], pa.int64())] + [pa.array([1] * 4 + [7, 7], pa.int64())] * 5, suffix_family.ENTRY)
+    assert [(r["key"], r["n"], r["near"]) for b in suffix_family._scan_batches(iter([alone])) for r in b.to_pylist()] == [(1, 1, True), (2, 1, False), (3, 2, False), (5, 7, False), (6, 7, True)]
