@@ -7,7 +7,8 @@ Sparse suffixes. Among the 32-byte strings of every window of 400 bytes, the one
 leftmost of equals) is the window's anchor; equal windows have their anchors at equal places, so suffixes need be
 indexed at anchors only. Windows of one anchor are split in two by where the anchor stands, so that all windows
 of an entry share at least 216 bytes with it: an entry is (key: fingerprint of those bytes; context: fingerprint
-of all bytes its windows cover; n: how often it was met; doc and first: one place where it stands).
+of all bytes its windows cover; n: how often it was met; doc and first: one place where it stands). Words have
+anchors of 8 in windows of 50; few of these stand twice by chance, so the anchor alone is the key.
 
 Suffix arrays. They are sparse, and sorted by (key, context), not by the bytes themselves: any order does in which
 suffixes that share 216 bytes stand together. Each task sorts the entries of its shard and joins equal ones; the
@@ -50,12 +51,17 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Unit:
-    """What texts are sequences of: the length of a repeated run, that of an anchor, and the bytes of a symbol's code."""
+    """What texts are sequences of: the length of a repeated run, that of an anchor, and the bytes of a symbol's code.
+
+    ``sides``: whether the windows of an anchor are split in two, so that more than the anchor is shared.
+    """
 
     name: str
     length: int
     sample: int
     code: int
+    sides: bool
+    seed: int
 
     @property
     def window(self) -> int:
@@ -66,8 +72,8 @@ class Unit:
         return self.window // 2
 
 
-BYTES = Unit("bytes", LENGTH, 32, 1)
-WORDS = Unit("words", 50, 8, 8)
+BYTES = Unit("bytes", LENGTH, 32, 1, True, 0)
+WORDS = Unit("words", 50, 8, 8, False, 2)
 
 
 def _table(seed: int) -> np.ndarray:
@@ -168,15 +174,16 @@ def entries(parts: list[np.ndarray], unit: Unit = BYTES) -> tuple[np.ndarray, ..
     at = anchor[starts].astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))))
     lo, hi, at = starts[new], starts[np.concatenate((new[1:], [starts.size])) - 1], at[new]
-    # windows that start close before their anchor share what follows it, the others what precedes it
-    near, far = np.maximum(lo, at - half), np.minimum(hi, at - half - 1)
-    r, f = near <= hi, lo <= far
-    first, last = np.concatenate((near[r], lo[f])), np.concatenate((hi[r], far[f]))
-    a, side = np.concatenate((at[r], at[f])), np.concatenate((np.zeros(r.sum(), int), np.ones(f.sum(), int)))
-    low = np.where(side == 0, a, a - half - 1)
-    top = np.where(side == 0, a + length - half, a + sample)
+    if unit.sides:  # windows that start close before their anchor share what follows it, the others what precedes it
+        near, far = np.maximum(lo, at - half), np.minimum(hi, at - half - 1)
+        r, f = near <= hi, lo <= far
+        first, last = np.concatenate((near[r], lo[f])), np.concatenate((hi[r], far[f]))
+        a, side = np.concatenate((at[r], at[f])), np.concatenate((np.zeros(r.sum(), int), np.ones(f.sum(), int)))
+        low, top = np.where(side == 0, a, a - half - 1), np.where(side == 0, a + length - half, a + sample)
+    else:
+        first, last, a, side, low, top = lo, hi, at, np.zeros(at.size, int), at, at + sample
     digest, view, c = xxhash.xxh3_64_intdigest, memoryview(data.tobytes()), unit.code
-    key = np.array([digest(view[c * x : c * y], s) for x, y, s in zip(low.tolist(), top.tolist(), side.tolist(), strict=True)], np.uint64)
+    key = np.array([digest(view[c * x : c * y], s) for x, y, s in zip(low.tolist(), top.tolist(), (side + unit.seed).tolist(), strict=True)], np.uint64)
     context = np.array([digest(view[c * x : c * (y + length)], z) for x, y, z in zip(first.tolist(), last.tolist(), (a - first).tolist(), strict=True)], np.uint64)
     number = np.searchsorted(begin, first, side="right") - 1
     return number, first - begin[number], last - begin[number], key.view(np.int64), context.view(np.int64)
@@ -188,35 +195,37 @@ def _pieces(sequence: np.ndarray, unit: Unit) -> Iterator[tuple[int, np.ndarray]
         yield i, sequence[i : i + PIECE + unit.length - 1]
 
 
-def _index_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, hash, text) to entries (doc, hash, first, last, key, context)."""
+def _index_batches(batches: Iterator[pa.RecordBatch], units: tuple[Unit, ...] = (BYTES,)) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, hash, text) to entries (doc, hash, first, last, key, context, unit: its place in ``units``)."""
     for batch in batches:
         docs, hashes = (np.asarray(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
-        held, owner, offset, size = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            number, first, last, key, context = entries(held, unit)
-            row, off = np.array(owner, np.int64)[number], np.array(offset, np.int64)[number]
-            columns = [docs[row], hashes[row], first + off, last + off, key, context]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "hash", "first", "last", "key", "context"])
-
-        for i, t in enumerate(batch.column(2)):
-            text = t.as_py()
-            if text is None or len(text) < unit.length:
-                continue
-            sequence = symbols(text, unit)
-            if sequence.size < unit.length:
-                continue
-            for off, piece in _pieces(sequence, unit):
-                if held and size + piece.size > PIECE:
-                    yield flush()
-                    held, owner, offset, size = [], [], [], 0
-                held.append(piece)
-                owner.append(i)
-                offset.append(off)
-                size += piece.size
-        if held:
-            yield flush()
+        for u, unit in enumerate(units):
+            held, owner, offset, size = [], [], [], 0
+
+            def flush(u=u, unit=unit) -> pa.RecordBatch:
+                number, first, last, key, context = entries(held, unit)
+                row, off = np.array(owner, np.int64)[number], np.array(offset, np.int64)[number]
+                columns = [docs[row], hashes[row], first + off, last + off, key, context]
+                made = [pa.array(c, pa.int64()) for c in columns] + [pa.array(np.full(first.size, u, np.int32))]
+                return pa.RecordBatch.from_arrays(made, ["doc", "hash", "first", "last", "key", "context", "unit"])
+
+            for i, t in enumerate(batch.column(2)):
+                text = t.as_py()
+                if text is None or len(text) < unit.length:
+                    continue
+                sequence = symbols(text, unit)
+                if sequence.size < unit.length:
+                    continue
+                for off, piece in _pieces(sequence, unit):
+                    if held and size + piece.size > PIECE:
+                        yield flush()
+                        held, owner, offset, size = [], [], [], 0
+                    held.append(piece)
+                    owner.append(i)
+                    offset.append(off)
+                    size += piece.size
+            if held:
+                yield flush()
 
 
 #: An entry of a suffix array: what it is sorted by, how often it was met, whether the last batch has it, and one place of it.
@@ -235,7 +244,7 @@ def _joined(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _array_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ENTRY to the suffix arrays of shards of at most SHARD entries."""
+    """Rows of ENTRY to the suffix arrays of shards of about SHARD entries."""
 
     def flush(held: list) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -281,20 +290,21 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield made(last, np.array([True]))
 
 
-def _context_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, hash, text, list of entries) to (key, whole, doc, hash, first, codes, hot)."""
-    names = ["key", "whole", "doc", "hash", "first", "codes", "hot"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+def _context_batches(batches: Iterator[pa.RecordBatch], units: tuple[Unit, ...] = (BYTES,)) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, hash, text, list of entries) to (key, whole, doc, hash, first, codes, hot, unit)."""
+    names = ["key", "whole", "doc", "hash", "first", "codes", "hot", "unit"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         size = 0
         for doc, h, text, parts in zip(*batch.columns, strict=True):
-            doc, h, sequence = doc.as_py(), h.as_py(), symbols(text.as_py(), unit)
-            for p in parts.as_py():
-                row = (p["key"], p["whole"], doc, h, p["first"], sequence[p["first"] : p["last"] + unit.length].tobytes(), p["hot"])
-                for column, x in zip(out, row, strict=True):
+            doc, h, text, parts = doc.as_py(), h.as_py(), text.as_py(), parts.as_py()
+            sequences = {u: symbols(text, units[u]) for u in {p["unit"] for p in parts}}
+            for p in parts:
+                codes = sequences[p["unit"]][p["first"] : p["last"] + units[p["unit"]].length].tobytes()
+                for column, x in zip(out, (p["key"], p["whole"], doc, h, p["first"], codes, p["hot"], p["unit"]), strict=True):
                     column.append(x)
-                size += len(row[5])
+                size += len(codes)
             if size > 8 * PIECE:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
                 out, size = [[] for _ in names], 0
@@ -312,18 +322,22 @@ def _windows(contexts: list[bytes], unit: Unit) -> tuple[np.ndarray, np.ndarray,
     return one, two, np.diff(begin) - length + 1
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows of _context_batches to their windows: (doc, hash, start, whole, and two fingerprints)."""
-    for whole in batches:
-        step = max(1, PIECE // (4 * unit.length))
-        for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-            rows = batch.to_pydict()
-            one, two, counts = _windows(rows["codes"], unit)
-            owner = np.repeat(np.arange(counts.size), counts)
-            start = np.array(rows["first"], np.int64)[owner] + np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
-            columns = [pa.array(np.array(rows[c], np.int64)[owner]) for c in ("doc", "hash")]
-            columns += [pa.array(start), pa.array(np.array(rows["whole"], bool)[owner]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "hash", "start", "whole", "one", "two"])
+def _window_batches(batches: Iterator[pa.RecordBatch], units: tuple[Unit, ...] = (BYTES,)) -> Iterator[pa.RecordBatch]:
+    """Rows of _context_batches to their windows: (doc, hash, start, whole, unit, and two fingerprints)."""
+    names = ["doc", "hash", "start", "whole", "unit", "one", "two"]
+    for batch in batches:
+        rows = batch.to_pydict()
+        for u in sorted(set(rows["unit"])):
+            mine = [i for i, x in enumerate(rows["unit"]) if x == u]
+            step = max(1, PIECE // (4 * units[u].length))
+            for some in (mine[i : i + step] for i in range(0, len(mine), step)):
+                one, two, counts = _windows([rows["codes"][i] for i in some], units[u])
+                owner = np.repeat(np.array(some), counts)
+                at = np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
+                columns = [pa.array(np.array(rows[c], np.int64)[owner]) for c in ("doc", "hash")]
+                columns += [pa.array(np.array(rows["first"], np.int64)[owner] + at), pa.array(np.array(rows["whole"], bool)[owner])]
+                columns += [pa.array(np.full(owner.size, u, np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def shared_windows(contexts: list[bytes], unit: Unit = BYTES) -> list[np.ndarray]:
@@ -337,24 +351,26 @@ def shared_windows(contexts: list[bytes], unit: Unit = BYTES) -> list[np.ndarray
     return np.split(twice, np.cumsum(counts)[:-1])
 
 
-def _extent_batches(batches: Iterator[pa.RecordBatch], unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows of _context_batches, sorted by key, to removed ranges (doc, hash, start, stop)."""
+def _extent_batches(batches: Iterator[pa.RecordBatch], units: tuple[Unit, ...] = (BYTES,)) -> Iterator[pa.RecordBatch]:
+    """Rows of _context_batches without hot, sorted by unit and key, to removed ranges (doc, hash, start, stop, unit)."""
 
     def flush(rows: list) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
-        for row, hit in zip(rows, shared_windows([r[5] for r in rows], unit), strict=True):
+        u = rows[0][6]
+        for row, hit in zip(rows, shared_windows([r[5] for r in rows], units[u]), strict=True):
             if row[1]:  # wholly removed already
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for column, x in zip(out, (row[2], row[3], row[4] + a, row[4] + b - 1 + unit.length), strict=True):
+                for column, x in zip(out, (row[2], row[3], row[4] + a, row[4] + b - 1 + units[u].length), strict=True):
                     column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "hash", "start", "stop"])
+        made = [pa.array(c, pa.int64()) for c in out] + [pa.array([u] * len(out[0]), pa.int32())]
+        return pa.RecordBatch.from_arrays(made, ["doc", "hash", "start", "stop", "unit"])
 
     held, size, key = [], 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[0] != key and size > PIECE * unit.code:
+            if held and ((row[6] != held[0][6]) or row[0] != key and size > PIECE * units[row[6]].code):
                 yield flush(held)
                 held, size = [], 0
             held.append(row)
@@ -382,86 +398,81 @@ class IndexFamily:
         dealt = rows.repartitionByRange(n, "key", "context").sortWithinPartitions("key", "context", "doc", "first")
         return self.work.save(dealt.mapInArrow(_scan_batches, "key bigint, context bigint, n bigint, new bigint, doc bigint, first bigint, near boolean"), name)
 
-    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Merge-scan a batch (key, context, doc, first) with all levels, then take it in.
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Merge-scan a batch (rows of ENTRY, sorted by shard) with all levels, then take it in.
 
-        Returns what the scan found: whole (key, context) met twice, and split (key, contexts) with several contexts; both
-        with n, the rows met so far.
+        Returns the long matches known by then: rows of ENTRY that were met more than once (as a whole) or are near another.
         """
         i, work = self.n, self.work
-        own = batch.withColumn("n", F.lit(1).cast("long")).withColumn("new", F.lit(1).cast("long")).select(*ENTRY)
-        own = own.mapInArrow(_array_batches, "key bigint, context bigint, n bigint, new bigint, doc bigint, first bigint")
         held = [level.withColumn("new", F.lit(0).cast("long")).select(*ENTRY) for level in self.levels.values()]
-        met = self.merge([own, *held], f"met{i}")
-        whole = work.save(met.filter("new = 1 and n > 1").select("key", "context", "n"), f"whole{i}")
-        keys = met.filter("near").groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"), F.max("new").alias("new"))
-        split = work.save(keys.filter("new = 1 and contexts > 1").select("key", "contexts", "n"), f"split{i}")
+        met = self.merge([batch, *held], f"met{i}")
         # as in a binary counter, the batch carries over every full level
         carried = [j for j in range(len(self.levels) + 1) if all(k in self.levels for k in range(j))][-1]
         if carried == len(self.levels):  # all levels are full: what has just met is their merge
             merged, name = met, f"met{i}"
-        else:
+        elif carried:
             name = f"level{i}"
-            merged = self.merge([own, *[self.levels[j].select(*ENTRY) for j in range(carried)]], name)
-            work.drop(f"met{i}")
+            merged = self.merge([batch, *[self.levels[j].select(*ENTRY) for j in range(carried)]], name)
+        else:  # its shards come in order when it is next merged
+            merged, name = batch, ""
         for j in range(carried):
             self.levels.pop(j)
-            work.drop(self.names.pop(j))
+            work.drop(self.names.pop(j) or "-")
         self.levels[carried], self.names[carried] = merged, name
         self.n += 1
-        return whole, split
+        return met.filter("n > 1 or near")
 
 
-def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES, unit: Unit = BYTES) -> DataFrame:
-    """``docs`` (doc, hash, text) to ranges of symbols to remove: doc, hash, start, stop; they may overlap."""
-    made = docs.mapInArrow(lambda rows: _index_batches(rows, unit), "doc bigint, hash bigint, first bigint, last bigint, key bigint, context bigint")
-    made = made.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+def removed_ranges(docs: DataFrame, work: Workspace, batches: int = BATCHES, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+    """``docs`` (doc, hash, text) to ranges of symbols to remove: doc, hash, start, stop, unit; they may overlap."""
+    spark = docs.sparkSession
+    made = docs.mapInArrow(lambda rows: _index_batches(rows, units), "doc bigint, hash bigint, first bigint, last bigint, key bigint, context bigint, unit int")
     index = work.save(made, "index")
-    family = IndexFamily(work)
-    found = [family.add(index.filter(F.col("batch") == b).select("key", "context", "doc", "first")) for b in range(batches)]
-    whole, split = found[0]
-    for w, s in found[1:]:
-        whole, split = whole.unionByName(w), split.unionByName(s)
-    whole = whole.groupBy("key", "context").agg(F.max("n").alias("n"))
-    split = split.groupBy("key").agg(F.max("contexts").alias("contexts"), F.max("n").alias("n"))
-
-    # Rows of hot entries and keys are marked first, by broadcasts of at most HOT_SHARE rows; in the joins for the
-    # others they go by fingerprints of their own, which spread and meet nothing.
+    one = F.lit(1).cast("long")
+    rows = index.select("key", "context", one.alias("n"), one.alias("new"), "doc", "first")
+    family, found = IndexFamily(work), None
+    for b in range(batches):
+        own = rows.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
+        array = work.save(own.mapInArrow(_array_batches, "key bigint, context bigint, n bigint, new bigint, doc bigint, first bigint"), f"array{b}")
+        found = family.add(array)
+
+    # keys with very many contexts; these go by (key, context) below, and so spread
+    many = found.filter("near").groupBy("key").agg(F.count(F.lit(1)).alias("_contexts")).filter(F.col("_contexts") > HOT).select(F.col("key").alias("_many"))
+    found = work.save(found.join(many, F.col("key") == F.col("_many"), "left").select("key", "context", "n", "near", F.col("_many").isNotNull().alias("hot")), "found")
+    # Rows of hot entries are marked first, by a broadcast of at most HOT_SHARE rows; in the join for the others they go
+    # by fingerprints of their own, which spread and meet nothing.
     floor = index.count() / HOT_SHARE
-    hot_whole = whole.filter(F.col("n") > floor).select("key", "context", F.lit(True).alias("_hot_whole"))
-    hot_split = split.filter(F.col("n") > floor).select("key", F.col("contexts").alias("_hot_contexts"))
-    rows = index.join(F.broadcast(hot_whole), ["key", "context"], "left").join(F.broadcast(hot_split), "key", "left")
-    own = F.xxhash64("doc", "hash", "first", "last")
-    rows = rows.withColumn("_c", F.when(F.col("_hot_whole").isNotNull(), own).otherwise(F.col("context"))).withColumn("_k", F.when(F.col("_hot_contexts").isNotNull(), own).otherwise(F.col("key")))
-    others = whole.filter(F.col("n") <= floor).select(F.col("key").alias("_wk"), F.col("context").alias("_wc"), F.lit(True).alias("whole"))
-    rows = rows.join(others, (F.col("key") == F.col("_wk")) & (F.col("_c") == F.col("_wc")), "left")
-    rows = rows.join(split.filter(F.col("n") <= floor).select(F.col("key").alias("_sk"), "contexts"), F.col("_k") == F.col("_sk"), "left")
-    is_whole = F.coalesce("_hot_whole", "whole", F.lit(False))
-    sizes = F.coalesce("_hot_contexts", "contexts", F.lit(1))
-    marked = rows.filter(is_whole | (sizes > 1)).select("doc", "hash", "first", "last", "key", "context", is_whole.alias("whole"), (sizes > 1).alias("split"), (sizes > HOT).alias("hot"))
+    hottest = found.filter(F.col("n") > floor).select("key", "context", F.struct("n", "near", "hot").alias("_hottest"))
+    rows = index.join(F.broadcast(hottest), ["key", "context"], "left")
+    rows = rows.withColumn("_c", F.when(F.col("_hottest").isNotNull(), F.xxhash64("doc", "hash", "first", "last")).otherwise(F.col("context")))
+    others = found.filter(F.col("n") <= floor).select(F.col("key").alias("_wk"), F.col("context").alias("_wc"), F.struct("n", "near", "hot").alias("_other"))
+    rows = rows.join(others, (F.col("key") == F.col("_wk")) & (F.col("_c") == F.col("_wc")), "left").withColumn("_as", F.coalesce("_hottest", "_other")).filter("_as is not null")
+    marked = rows.select("doc", "hash", "first", "last", "key", "context", "unit", (F.col("_as.n") > 1).alias("whole"), F.col("_as.near").alias("split"), F.col("_as.hot").alias("hot"))
     marked = work.save(marked, "marked")
     work.drop(*[n for n in list(work.paths) if n != "marked"])
-    sweep(docs.sparkSession)
+    sweep(spark)
 
     # of wholly removed entries in split keys one of each context is enough to compare the others with
     place = F.struct("doc", "hash", "first", "last")
-    one = marked.filter("split and whole").groupBy("key", "context").agg(F.min(place).alias("p"), F.max("hot").alias("hot")).select("p.*", "key", F.lit(True).alias("whole"), "hot")
-    rest = marked.filter("split and not whole").select("doc", "hash", "first", "last", "key", "whole", "hot")
-    asked = one.unionByName(rest).groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "whole", "first", "last", "hot")).alias("parts"))
+    one = marked.filter("split and whole").groupBy("key", "context", "unit").agg(F.min(place).alias("p"), F.max("hot").alias("hot")).select("p.*", "key", F.lit(True).alias("whole"), "hot", "unit")
+    rest = marked.filter("split and not whole").select("doc", "hash", "first", "last", "key", "whole", "hot", "unit")
+    asked = one.unionByName(rest).groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "whole", "first", "last", "hot", "unit")).alias("parts"))
     texts = docs.join(asked, ["doc", "hash"]).dropDuplicates(["doc", "hash"]).select("doc", "hash", "text", "parts")
-    contexts = work.save(texts.mapInArrow(lambda rows: _context_batches(rows, unit), "key bigint, whole boolean, doc bigint, hash bigint, first bigint, codes binary, hot boolean"), "contexts")
-    n = max(24, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    few = contexts.filter("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key")
-    settled = few.mapInArrow(lambda rows: _extent_batches(rows, unit), "doc bigint, hash bigint, start bigint, stop bigint")
+    schema = "key bigint, whole boolean, doc bigint, hash bigint, first bigint, codes binary, hot boolean, unit int"
+    contexts = work.save(texts.mapInArrow(lambda rows: _context_batches(rows, units), schema), "contexts")
+    sweep(spark)
+    n = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    few = contexts.filter("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("unit", "key")
+    settled = few.mapInArrow(lambda rows: _extent_batches(rows, units), "doc bigint, hash bigint, start bigint, stop bigint, unit int")
     # windows of hot keys are counted by their own fingerprints, added up before they move
-    windows = contexts.filter("hot").mapInArrow(lambda rows: _window_batches(rows, unit), "doc bigint, hash bigint, start bigint, whole boolean, one bigint, two bigint")
-    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
-    hot = windows.filter("not whole").join(twice, ["one", "two"], "left_semi").select("doc", "hash", "start", (F.col("start") + unit.length).alias("stop"))
-    settled = settled.unionByName(hot)
-    full = marked.filter("whole").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + unit.length).alias("stop"))
-    ranges = work.save(full.unionByName(settled), "ranges")
+    windows = contexts.filter("hot").mapInArrow(lambda rows: _window_batches(rows, units), "doc bigint, hash bigint, start bigint, whole boolean, unit int, one bigint, two bigint")
+    twice = windows.groupBy("unit", "one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("unit", "one", "two")
+    width = F.element_at(F.array(*[F.lit(u.length).cast("long") for u in units]), F.col("unit") + 1)
+    hot = windows.filter("not whole").join(twice, ["unit", "one", "two"], "left_semi").select("doc", "hash", "start", (F.col("start") + width).alias("stop"), "unit")
+    full = marked.filter("whole").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + width).alias("stop"), "unit")
+    ranges = work.save(full.unionByName(settled).unionByName(hot), "ranges")
     work.drop("marked", "contexts")
-    sweep(docs.sparkSession)
+    sweep(spark)
     return ranges
 
 
@@ -519,14 +530,10 @@ def cut(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"),
         F.col(text).cast("binary").alias("text"), own.alias("_row"),
     )
-    joined = rows
-    for name, kind in (("ranges", unit), ("passages", passages)):
-        if kind is None:
-            joined = joined.withColumn(name, F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
-            continue
-        found = removed_ranges(rows.select("doc", "hash", "text"), Workspace(spark, f"suffixes-{kind.name}"), batches, kind)
-        joined = joined.join(found.groupBy("doc", "hash").agg(F.collect_set(F.struct("start", "stop")).alias(name)), ["doc", "hash"], "left")
-    joined = joined.select("_row", "text", "ranges", "passages")
+    found = removed_ranges(rows.select("doc", "hash", "text"), Workspace(spark, "suffixes"), batches, (unit, passages) if passages else (unit,))
+    own = lambda u: F.collect_set(F.when(F.col("unit") == u, F.struct("start", "stop")))
+    lists = found.groupBy("doc", "hash").agg(own(0).alias("ranges"), own(1).alias("passages"))
+    joined = rows.join(lists, ["doc", "hash"], "left").select("_row", "text", "ranges", "passages")
     columns = f"n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}, n_left bigint"
     out = joined.mapInArrow(lambda rows: _cut_batches(rows, as_text, unit), f"_row {joined.schema['_row'].dataType.simpleString()}, {columns}, n_repeat_words bigint")
     return out.select("_row.*", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_left", *(["n_repeat_words"] if passages else []))
