@@ -13,8 +13,11 @@ from docloom.llm.decontaminate import remove_contaminated
 from docloom.llm.minhash import deduplicate
 from docloom.llm.packing import pack
 from docloom.llm.rules import filter_documents
-from docloom.llm.store import Workspace
-from docloom.llm.suffix_family import remove_repeats
+from docloom.llm.store import Workspace, clean, mark, sweep
+from docloom.llm.suffix_family import WORDS, remove_repeats
+
+#: Similarity of near duplicates in percent, on shingles of five words.
+PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
-    return deduplicate(docs)
+    return deduplicate(docs, percent=PERCENT)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that stand elsewhere too."""
-    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the passages of 50 words or more that stand elsewhere too."""
+    return remove_repeats(docs, unit=WORDS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +61,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        since = mark()
         docs = work.save(stage(spark, docs, sf_dir), name)
+        clean(spark, since)  # the stage's own tables
+        sweep(spark)
         if i:
             work.drop(STAGES[i - 1][0])
     return docs
