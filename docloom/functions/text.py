@@ -37,6 +37,17 @@ UPPER = "A-ZĐÀÁẢÃẠĂẰẮẲẴẶÂẦẤẨẪẬÈÉẺẼẸÊỀ
 LOWER = "a-zàáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 #: Phrases by which a heading is no title.
 NOT_A_TITLE = "quyết định này|kể từ ngày|ban hành kèm|chịu trách nhiệm thi hành|có hiệu lực|trong luật này|quy chế này|theo quy định tại|các ông|các bà"
+#: Endings of file names, and what goes from a stem, in this order, to leave a title: (pattern, what takes its place).
+FILE_ENDINGS = r"(?i)\.(pdf|docx?|xlsx?|txt|md)$"
+NOT_IN_A_TITLE = (
+    (r"^\[[^\]]*\]", ""),
+    (r"^\s*\d+\s*[.)-]\s*", ""),
+    (r"(?i)qd-so-[\d-]+", ""),
+    (r"[-_]?\d{4,}[-_\d]*", " "),
+    ("_+", " "),
+    (r"(?U)\s{2,}", " "),
+    (r"^[ \-_.·]+|[ \-_.·]+$", ""),
+)
 # ---- end of fixed values ----
 
 #: Base letter and the letters that fold to it, marks and đ included.
@@ -197,19 +208,14 @@ def without_lead(text: Column) -> Column:
 
 
 def file_stem(name: Column) -> Column:
-    return F.regexp_replace(F.coalesce(name, F.lit("")), r"(?i)\.(pdf|docx?|xlsx?|txt|md)$", "")
+    return F.regexp_replace(F.coalesce(name, F.lit("")), FILE_ENDINGS, "")
 
 
 def title_from_name(name: Column) -> Column:
     """A readable title from a file name, or its stem if nothing is left."""
     stem = file_stem(name)
-    out = F.regexp_replace(stem, r"^\[[^\]]*\]", "")
-    out = F.regexp_replace(out, r"^\s*\d+\s*[.)-]\s*", "")
-    out = F.regexp_replace(out, r"(?i)qd-so-[\d-]+", "")
-    out = F.regexp_replace(out, r"[-_]?\d{4,}[-_\d]*", " ")
-    out = F.regexp_replace(F.regexp_replace(out, "_+", " "), r"(?U)\s{2,}", " ")
-    out = F.regexp_replace(out, r"^[ \-_.·]+|[ \-_.·]+$", "")
-    return F.when(out == "", strip(stem)).otherwise(out)
+    left = reduce(lambda text, rule: F.regexp_replace(text, *rule), NOT_IN_A_TITLE, stem)
+    return F.coalesce(F.nullif(left, F.lit("")), strip(stem))
 
 
 def citation(article: Column, title: Column) -> Column:

@@ -15,6 +15,47 @@ HINT = r"\bnganh\b|chuyen nganh|khoa\s*\d|\bk\d{2}\b"
 ASKS_PROGRAM = r"\bnganh\b|chuyen nganh|chuong trinh|toan khoa|ca khoa|ra truong|tot nghiep"
 ASKS_COURSE = r"\bmon\b|\bmon hoc\b|hoc phan"
 # ---- end of fixed values ----
+# ---- fixed values: output wording ----
+TRACK_OF = " — chuyên ngành "
+ASSESSED_BY = ", đánh giá: "
+COURSE_REQUIRES = ", học phần tiên quyết: "
+CODE_IS = " (mã "
+CREDITS_OF_GROUP = " tín chỉ, "
+TRACKS_HEAD = "Học kỳ này có "
+TRACKS_NAMED = " định hướng chuyên ngành LOẠI TRỪ NHAU ("
+TRACKS_END = ") — sinh viên chỉ học MỘT định hướng, không cộng gộp cả hai."
+SYSTEMS_ONLY = "Một số học phần chỉ dành cho hệ "
+ELECTIVES_LISTED = "Nhóm tự chọn liệt kê "
+ELECTIVES_NEEDED = " tín chỉ nhưng chỉ cần tích lũy "
+CREDITS_END = " tín chỉ."
+TRUE_TOTAL = "Vì vậy tổng tín chỉ THỰC PHẢI HỌC của học kỳ này là "
+NOT_THE_SUM = ", KHÔNG phải tổng cộng của mọi học phần liệt kê."
+REQUIRES = ", tiên quyết: "
+IN_SEMESTER = ": học kỳ "
+CREDITS_RAW = " tín chỉ ("
+HAS_CODE = ", mã "
+COURSE_NAMED = 'Học phần "'
+COURSE_IN = '" có trong các chương trình sau:\n'
+SEMESTER = "học kỳ "
+PROGRAM_NAMED = "Chương trình: "
+OF_COHORT = " (khoá "
+OF_FACULTY = ", khoa "
+WHOLE_LOAD = "Tổng khối lượng toàn khoá: "
+CREDITS = " tín chỉ"
+BACHELOR = " đối với hệ cử nhân, "
+ENGINEER = " tín chỉ đối với hệ kỹ sư"
+DIVIDED_IN = ", chia thành "
+EACH_SEMESTER = " học kỳ.\nTín chỉ từng học kỳ: "
+LIST_OF_SEMESTER = "\n\nDanh sách học phần học kỳ "
+LIST_OF_PROGRAM = " của "
+NO_DATA = "\n\nChương trình này không có dữ liệu học phần cho học kỳ "
+WHOLE_CREDITS = " tín chỉ toàn khoá"
+ENGINEER_HAS = " (hệ kỹ sư "
+CREDITS_CLOSED = " tín chỉ)"
+SEMESTERS_OF_COHORT = " học kỳ, khoá "
+CATALOGUE = "Các ngành hiện CÓ kế hoạch đào tạo trong kho dữ liệu:\n"
+NOTHING_ELSE = "\n\nNgoài các ngành trên, kho dữ liệu KHÔNG có kế hoạch đào tạo của ngành nào khác."
+# ---- end of fixed values ----
 LEAST_NAME = 8
 
 
@@ -27,7 +68,7 @@ def semester_of(question: Column) -> Column:
 
 
 def program_label(name: Column, track: Column) -> Column:
-    return F.when(F.coalesce(track, F.lit("")) != "", F.concat(name, F.lit(" — chuyên ngành "), track)).otherwise(name)
+    return F.when(F.coalesce(track, F.lit("")) != "", F.concat(name, F.lit(TRACK_OF), track)).otherwise(name)
 
 
 def match_programs(questions: DataFrame, programs: DataFrame) -> DataFrame:
@@ -76,10 +117,10 @@ def is_curriculum(questions: DataFrame, programs: DataFrame, courses: DataFrame)
 def course_line(name: str = "name") -> Column:
     """One course as a line of a list."""
     extra = F.concat(
-        F.when(F.coalesce("assessment", F.lit("")) != "", F.concat(F.lit(", đánh giá: "), F.col("assessment"))).otherwise(F.lit("")),
-        F.when(F.coalesce("requires", F.lit("")) != "", F.concat(F.lit(", học phần tiên quyết: "), F.col("requires"))).otherwise(F.lit("")),
+        F.when(F.coalesce("assessment", F.lit("")) != "", F.concat(F.lit(ASSESSED_BY), F.col("assessment"))).otherwise(F.lit("")),
+        F.when(F.coalesce("requires", F.lit("")) != "", F.concat(F.lit(COURSE_REQUIRES), F.col("requires"))).otherwise(F.lit("")),
     )
-    return F.concat(F.lit("- "), F.col(name), F.lit(" (mã "), F.col("code"), F.lit(", "), X.short_number(F.col("credits")), F.lit(" tín chỉ, "), F.lower("group"), extra, F.lit(")"))
+    return F.concat(F.lit("- "), F.col(name), F.lit(CODE_IS), F.col("code"), F.lit(", "), X.short_number(F.col("credits")), F.lit(CREDITS_OF_GROUP), F.lower("group"), extra, F.lit(")"))
 
 
 def exclusive_note(courses: DataFrame, totals: DataFrame) -> DataFrame:
@@ -89,10 +130,10 @@ def exclusive_note(courses: DataFrame, totals: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("group") == ELECTIVE, F.col("credits")).otherwise(0.0)).alias("e"),
     ).join(totals.select("source", "semester", "elective", "total"), ["source", "semester"], "left")
     parts = F.array_compact(F.array(
-        F.when(F.size("t") > 1, F.concat(F.lit("Học kỳ này có "), F.size("t"), F.lit(" định hướng chuyên ngành LOẠI TRỪ NHAU ("), F.array_join("t", "; "), F.lit(") — sinh viên chỉ học MỘT định hướng, không cộng gộp cả hai."))),
-        F.when(F.size("s") > 0, F.concat(F.lit("Một số học phần chỉ dành cho hệ "), F.array_join("s", ", "), F.lit("."))),
-        F.when((F.col("elective") > 0) & (F.col("e") > F.col("elective")), F.concat(F.lit("Nhóm tự chọn liệt kê "), X.short_number(F.col("e")), F.lit(" tín chỉ nhưng chỉ cần tích lũy "), X.short_number(F.col("elective")), F.lit(" tín chỉ."))),
-        F.when(F.col("total") > 0, F.concat(F.lit("Vì vậy tổng tín chỉ THỰC PHẢI HỌC của học kỳ này là "), X.short_number(F.col("total")), F.lit(", KHÔNG phải tổng cộng của mọi học phần liệt kê."))),
+        F.when(F.size("t") > 1, F.concat(F.lit(TRACKS_HEAD), F.size("t"), F.lit(TRACKS_NAMED), F.array_join("t", "; "), F.lit(TRACKS_END))),
+        F.when(F.size("s") > 0, F.concat(F.lit(SYSTEMS_ONLY), F.array_join("s", ", "), F.lit("."))),
+        F.when((F.col("elective") > 0) & (F.col("e") > F.col("elective")), F.concat(F.lit(ELECTIVES_LISTED), X.short_number(F.col("e")), F.lit(ELECTIVES_NEEDED), X.short_number(F.col("elective")), F.lit(CREDITS_END))),
+        F.when(F.col("total") > 0, F.concat(F.lit(TRUE_TOTAL), X.short_number(F.col("total")), F.lit(NOT_THE_SUM))),
     ))
     return got.select("source", "semester", F.array_join(parts, " ").alias("note"))
 
@@ -119,35 +160,35 @@ def facts(questions: DataFrame, programs: DataFrame, courses: DataFrame, totals:
 
     rows = c.join(courses, ["source", "ord"]).join(programs.select("source", "nganh", "chuyen_nganh"), "source")
     extra = F.concat(
-        F.when(F.coalesce("assessment", F.lit("")) != "", F.concat(F.lit(", đánh giá: "), F.col("assessment"))).otherwise(F.lit("")),
-        F.when(F.coalesce("requires", F.lit("")) != "", F.concat(F.lit(", tiên quyết: "), F.col("requires"))).otherwise(F.lit("")),
+        F.when(F.coalesce("assessment", F.lit("")) != "", F.concat(F.lit(ASSESSED_BY), F.col("assessment"))).otherwise(F.lit("")),
+        F.when(F.coalesce("requires", F.lit("")) != "", F.concat(F.lit(REQUIRES), F.col("requires"))).otherwise(F.lit("")),
     )
-    line = F.concat(F.lit("- "), label, F.lit(": học kỳ "), F.col("semester"), F.lit(", "), X.short_number(F.col("credits")), F.lit(" tín chỉ ("), F.col("credits_raw"), F.lit("), "), F.lower("group"), F.lit(", mã "), F.col("code"), extra)
+    line = F.concat(F.lit("- "), label, F.lit(IN_SEMESTER), F.col("semester"), F.lit(", "), X.short_number(F.col("credits")), F.lit(CREDITS_RAW), F.col("credits_raw"), F.lit("), "), F.lower("group"), F.lit(HAS_CODE), F.col("code"), extra)
     of_course = rows.groupBy("qid").agg(F.min_by("name", F.struct("source", "ord")).alias("_name"), lines(line, ["source", "ord"]).alias("_l"))
-    of_course = of_course.select("qid", F.concat(F.lit('Học phần "'), F.col("_name"), F.lit('" có trong các chương trình sau:\n'), F.col("_l")).alias("facts"))
+    of_course = of_course.select("qid", F.concat(F.lit(COURSE_NAMED), F.col("_name"), F.lit(COURSE_IN), F.col("_l")).alias("facts"))
 
-    by_semester = totals.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("semester", "total"))), lambda s: F.concat(F.lit("học kỳ "), s["semester"], F.lit(": "), X.short_number(s["total"]))), "; ").alias("_each"))
+    by_semester = totals.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("semester", "total"))), lambda s: F.concat(F.lit(SEMESTER), s["semester"], F.lit(": "), X.short_number(s["total"]))), "; ").alias("_each"))
     head = F.concat(
-        F.lit("Chương trình: "), label, F.lit(" (khoá "), F.coalesce(F.nullif("khoa_hoc", F.lit("")), F.lit("?")), F.lit(", khoa "), F.coalesce(F.nullif("khoa", F.lit("")), F.lit("?")), F.lit(", "), F.coalesce("loai_hinh", F.lit("")), F.lit(")\n"),
-        F.lit("Tổng khối lượng toàn khoá: "), X.short_number(F.col("total_credits")), F.lit(" tín chỉ"),
-        F.when(F.col("two_systems"), F.concat(F.lit(" đối với hệ cử nhân, "), X.short_number(F.col("total_credits_engineer")), F.lit(" tín chỉ đối với hệ kỹ sư"))).otherwise(F.lit("")),
-        F.lit(", chia thành "), F.col("n_semesters"), F.lit(" học kỳ.\nTín chỉ từng học kỳ: "), F.coalesce("_each", F.lit("")), F.lit("."),
+        F.lit(PROGRAM_NAMED), label, F.lit(OF_COHORT), F.coalesce(F.nullif("khoa_hoc", F.lit("")), F.lit("?")), F.lit(OF_FACULTY), F.coalesce(F.nullif("khoa", F.lit("")), F.lit("?")), F.lit(", "), F.coalesce("loai_hinh", F.lit("")), F.lit(")\n"),
+        F.lit(WHOLE_LOAD), X.short_number(F.col("total_credits")), F.lit(CREDITS),
+        F.when(F.col("two_systems"), F.concat(F.lit(BACHELOR), X.short_number(F.col("total_credits_engineer")), F.lit(ENGINEER))).otherwise(F.lit("")),
+        F.lit(DIVIDED_IN), F.col("n_semesters"), F.lit(EACH_SEMESTER), F.coalesce("_each", F.lit("")), F.lit("."),
     )
     listed = courses.groupBy("source", "semester").agg(lines(course_line(), ["ord"]).alias("_list")).join(exclusive_note(courses, totals), ["source", "semester"], "left")
     found = p.join(programs, "source").join(by_semester, "source", "left")
     found = found.join(listed.withColumnRenamed("semester", "sem"), ["source", "sem"], "left")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n"), F.col("note"))).otherwise(F.lit(""))
-    detail = F.when(F.col("sem").isNull(), F.lit("")).when(F.col("_list").isNotNull(), F.concat(F.lit("\n\nDanh sách học phần học kỳ "), F.col("sem"), F.lit(" của "), label, F.lit(":\n"), F.col("_list"), note)).otherwise(
-        F.concat(F.lit("\n\nChương trình này không có dữ liệu học phần cho học kỳ "), F.col("sem"), F.lit("."))
+    detail = F.when(F.col("sem").isNull(), F.lit("")).when(F.col("_list").isNotNull(), F.concat(F.lit(LIST_OF_SEMESTER), F.col("sem"), F.lit(LIST_OF_PROGRAM), label, F.lit(":\n"), F.col("_list"), note)).otherwise(
+        F.concat(F.lit(NO_DATA), F.col("sem"), F.lit("."))
     )
     of_program = found.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", F.concat(head, detail).alias("_v")))), lambda x: x["_v"]), "\n\n").alias("facts"))
 
     item = F.concat(
-        F.lit("- "), label, F.lit(": "), X.short_number(F.col("total_credits")), F.lit(" tín chỉ toàn khoá"),
-        F.when(F.col("two_systems"), F.concat(F.lit(" (hệ kỹ sư "), X.short_number(F.col("total_credits_engineer")), F.lit(" tín chỉ)"))).otherwise(F.lit("")),
-        F.lit(", "), F.col("n_semesters"), F.lit(" học kỳ, khoá "), F.coalesce(F.nullif("khoa_hoc", F.lit("")), F.lit("?")),
+        F.lit("- "), label, F.lit(": "), X.short_number(F.col("total_credits")), F.lit(WHOLE_CREDITS),
+        F.when(F.col("two_systems"), F.concat(F.lit(ENGINEER_HAS), X.short_number(F.col("total_credits_engineer")), F.lit(CREDITS_CLOSED))).otherwise(F.lit("")),
+        F.lit(", "), F.col("n_semesters"), F.lit(SEMESTERS_OF_COHORT), F.coalesce(F.nullif("khoa_hoc", F.lit("")), F.lit("?")),
     )
     every = programs.agg(lines(item, ["source"]).alias("_l"))
     rest = asked.filter("not _p and not _c").crossJoin(F.broadcast(every))
-    of_all = rest.select("qid", F.concat(F.lit("Các ngành hiện CÓ kế hoạch đào tạo trong kho dữ liệu:\n"), F.col("_l"), F.lit("\n\nNgoài các ngành trên, kho dữ liệu KHÔNG có kế hoạch đào tạo của ngành nào khác.")).alias("facts"))
+    of_all = rest.select("qid", F.concat(F.lit(CATALOGUE), F.col("_l"), F.lit(NOTHING_ELSE)).alias("facts"))
     return of_course.unionByName(of_program).unionByName(of_all)

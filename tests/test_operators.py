@@ -267,3 +267,28 @@ def test_retry_and_batches(spark):
     assert sum(sizes, []) == list(range(50))
     lost = Q.lost_programs(spark.createDataFrame([(1, "ngành Kỹ thuật nhiệt", "ngành khác")], "id int, a0 string, a1 string"), spark.createDataFrame([("Kỹ thuật nhiệt", "")], "nganh string, chuyen_nganh string"))
     assert [list(r.lost) for r in lost.collect()] == [["Kỹ thuật nhiệt"]]
+
+
+def test_repair_citations(spark):
+    """Both orders, the two distances, ambiguous and unknown numbers, overlapping titles, signs in titles."""
+    from docloom.operators import context as C
+
+    context = "### Điều 3, Quy chế (A+B)\nx\n### Điều 4, Quy chế (A+B)\nx\n### Điều 5, Quy định $1 mới\nx\n### Điều 4, Luật\nx\n### Điều 6, Quy định\nx"
+    cases = [
+        ("Theo Điều 5 của Luật, đúng.", "Theo Điều 5 của Quy định $1 mới, đúng."),
+        ("Theo Điều 3 của Quy chế (A+B).", "Theo Điều 3 của Quy chế (A+B)."),
+        ("Theo Điều 4 của Quy định.", "Theo Điều 4 của Quy định."),  # two owners
+        ("Theo Điều 9 của Quy định.", "Theo Điều 9 của Quy định."),  # unknown
+        ("Luật (Điều 3) và Quy định $1 mới, Điều 6", "Quy chế (A+B) (Điều 3) và Quy định, Điều 6"),
+        ("Điều 6 Quy định $1 mới", "Điều 6 Quy định"),  # the longest title at a place
+        ("Điều 3. Luật", "Điều 3. Luật"),  # a full stop between
+        ("Điều 3 " + "x" * 23 + " Luật", "Điều 3 " + "x" * 23 + " Quy chế (A+B)"),  # 25 between
+        ("Điều 3 " + "x" * 24 + " Luật", "Điều 3 " + "x" * 24 + " Luật"),
+        ("Luật " + "x" * 13 + " Điều 6", "Quy định " + "x" * 13 + " Điều 6"),  # 15 between
+        ("Luật " + "x" * 14 + " Điều 6", "Luật " + "x" * 14 + " Điều 6"),
+        ("Điều 3 và Điều 5 Luật", "Điều 3 và Điều 5 Quy chế (A+B)"),  # the leftmost mention counts
+        ("không có gì", "không có gì"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame([(i, context, r) for i, (r, _) in enumerate(cases)] + [(99, "no heads", "Điều 3 Luật")], "i int, context string, reply string")
+    got = {r.i: r.out for r in df.select("i", C.repair_citations(F.col("reply"), C.citation_owners(F.col("context"))).alias("out")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases] and got[99] == "Điều 3 Luật"
