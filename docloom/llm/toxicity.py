@@ -5,12 +5,14 @@ Inputs. A word's vector is the mean of a hashed word embedding and of hashed emb
 states; a logistic unit gives the window's score. A document's score is that of its highest window, over all
 overlapping windows of the whole text.
 
-Training. Labels belong to documents, so a document is a bag of windows: in the first passes all its windows
-carry its label, later only the highest one. Of each class at most ``TRAIN_DOCS`` labelled documents are used, and of
-each at most ``TRAIN_WINDOWS`` windows, both chosen by hash; rows whose crc32 of the doc_id is 0 modulo 5 are held
-out. No column but the text is an input of a score.
-
-Edge cases: null and empty texts score as a window without words; null labels are not learnt from; without
+Training. Labels belong to documents, so a document is a bag of windows: at first all its windows carry its label,
+then, in rounds, only the highest one. Every window of a training text is used. Of each class at most
+``TRAIN_DOCS`` labelled documents are taken, by hash, as far as their texts have ``TRAIN_BYTES`` together; rows whose
+crc32 of the doc_id is 0 modulo 5 are held out. Few labels get more passes, so that there are ``TRAIN_STEPS`` steps at
+least. No column but the text is an input of a score.
+
+Edge cases: null and empty texts score as a window without words; null labels, and those of documents that are not
+there or have no text, are not learnt from; documents that share a doc_id are taken all or none; without
 labelled rows, or with one class only, every score is that class's (0 without any); repeated rows score alike; an
 empty table gives an empty result; only doc_id and text are read.
 """
@@ -30,11 +32,14 @@ from docloom.llm.decontaminate import words_of
 from docloom.llm.store import ship
 
 WINDOW, STRIDE = 64, 48
-TRAIN_DOCS, TRAIN_WINDOWS = {0: 4000, 1: 2000}, 8
+#: Bounds of the labelled sample: documents of each class, and bytes of their texts; and the least number of steps.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_STEPS = {0: 4000, 1: 2000}, 32 << 20, 400
 GRAMS = (3, 4, 5)
 GRAM_ROWS, WORD_ROWS = 1 << 15, 1 << 14
 DIM, HIDDEN = 16, 8
 SLICE = 4 << 20
+#: Windows of a training step, about; and passes over the highest windows before they are picked anew.
+STEP_WINDOWS, ROUND_PASSES = 1024, 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,22 +194,17 @@ class Network:
     def gates(self, x: np.ndarray) -> np.ndarray:
         return np.stack([x @ self.p["wx"][k] for k in (0, 1)]) + self.p["bx"]
 
-    def step(self, bag: Bag, label: np.ndarray, weight: np.ndarray, highest: bool, rate: float) -> float:
+    def step(self, bag: Bag, label: np.ndarray, rate: float) -> float:
         """One step of adaptive gradients on a bag of documents; their mean loss."""
         x, rows, owner, scale = self.inputs(bag.words)
         gates = self.gates(x)
         which = np.arange(bag.owner.size)
         codes, mask = bag.rows(which)
-        if highest:
-            logit, _ = self.forward(gates, codes, mask)
-            order = np.lexsort((-logit, bag.owner))
-            which = order[np.concatenate(([True], bag.owner[order][1:] != bag.owner[order][:-1]))]
-            codes, mask = codes[which], mask[which]
         logit, saved = self.forward(gates, codes, mask, keep=True)
-        y, k = label[bag.owner[which]], weight[bag.owner[which]]
+        y = label[bag.owner]
         q = _sigmoid(logit)
-        d = ((q - y) * k / k.sum()).astype(np.float32)
-        loss = float(-(k * (y * np.log(q + 1e-7) + (1 - y) * np.log(1 - q + 1e-7))).sum() / k.sum())
+        d = ((q - y) / y.size).astype(np.float32)
+        loss = float(-(y * np.log(q + 1e-7) + (1 - y) * np.log(1 - q + 1e-7)).mean())
         g, dgates = self.backward(saved, d, len(bag.words))
         g["wx"] = np.stack([x.T @ dgates[j] for j in (0, 1)])
         g["bx"] = dgates.sum(axis=1, keepdims=True)
@@ -218,6 +218,18 @@ class Network:
         self.p["table"][used] -= rate * grad / np.sqrt(self.seen["table"][used])
         return loss
 
+    def highest(self, texts: list[list[bytes]], chunk: int = 512) -> list[list[bytes]]:
+        """The words of each text's highest window."""
+        bag = Bag(texts)
+        gates = self.gates(self.inputs(bag.words)[0]) if bag.words else np.zeros((2, 1, 3 * HIDDEN), np.float32) + self.p["bx"]
+        parts = [np.arange(i, min(i + chunk, bag.owner.size)) for i in range(0, bag.owner.size, chunk)]
+        logit = np.concatenate([self.forward(gates, *bag.rows(which))[0] for which in parts])
+        order = np.lexsort((-logit, bag.owner))
+        first = order[np.concatenate(([True], bag.owner[order][1:] != bag.owner[order][:-1]))]
+        at = np.array([windows_of(len(t)).size for t in texts])
+        nth = first - (np.cumsum(at) - at)
+        return [t[k * STRIDE : k * STRIDE + WINDOW] for t, k in zip(texts, nth.tolist(), strict=True)]
+
     def scores(self, texts: list[list[bytes]], chunk: int = 512) -> np.ndarray:
         """The highest window score of each text."""
         bag = Bag(texts)
@@ -230,27 +242,38 @@ class Network:
         return _sigmoid(out.astype(np.float64))
 
 
-def train(rows: list[tuple[bytes, int]], passes: tuple[int, int] = (1, 4), batch: int = 64, seed: int = 7, rate: float = 0.05) -> Network | float:
-    """A network from (text, label) rows; where a class is missing, the constant score instead."""
+def _steps(net: Network, texts: list[list[bytes]], labels: np.ndarray, rng: np.random.Generator, batch: int, rate: float) -> None:
+    """One pass over all windows of all texts, in steps of ``batch`` texts, or fewer if they have very many windows."""
+    size = np.array([windows_of(len(t)).size for t in texts])
+    order, cuts = rng.permutation(len(texts)), [0]
+    for j in range(1, order.size):
+        if j - cuts[-1] == batch or size[order[cuts[-1] : j + 1]].sum() > STEP_WINDOWS:
+            cuts.append(j)
+    for j, k in zip(cuts, [*cuts[1:], order.size], strict=True):
+        some = order[j:k]
+        net.step(Bag([texts[x] for x in some]), labels[some], rate)
+
+
+def train(rows: list[tuple[bytes, int]], passes: tuple[int, int] = (1, 2), batch: int = 64, seed: int = 7, rate: float = 0.05) -> Network | float:
+    """A network from (text, label) rows; where a class is missing, the constant score instead.
+
+    ``passes``: over all windows; and rounds, each of which picks every text's highest window anew and learns from these
+    alone in a few passes.
+    """
     labels = np.array([y for _, y in rows], np.float32)
     if not rows or labels.min() == labels.max():
         return float(labels[0]) if rows else 0.0
     rng = np.random.Generator(np.random.PCG64(seed))
-    texts = []
-    for text, _ in rows:
-        words = words_of(text)
-        starts = windows_of(len(words))
-        if starts.size > TRAIN_WINDOWS:  # a bounded run of windows, from anywhere in the text
-            first = int(starts[rng.integers(0, starts.size - TRAIN_WINDOWS + 1)])
-            words = words[first : first + TRAIN_WINDOWS * STRIDE + WINDOW - STRIDE]
-        texts.append(words)
+    texts = [words_of(text) for text, _ in rows]
     net = Network(seed)
-    weight = np.ones(labels.size, np.float32)
-    for i in range(sum(passes)):
-        order = rng.permutation(len(texts))
-        for j in range(0, order.size, batch):
-            some = order[j : j + batch]
-            net.step(Bag([texts[k] for k in some]), labels[some], weight[some], i >= passes[0], rate)
+    for _ in range(passes[0]):
+        _steps(net, texts, labels, rng, batch, rate)
+    each = max(ROUND_PASSES, -(-TRAIN_STEPS // (max(1, passes[1]) * -(-len(texts) // batch))))
+    for _ in range(passes[1]):
+        highest = [net.highest(texts[i : i + batch]) for i in range(0, len(texts), batch)]
+        windows = [w for part in highest for w in part]
+        for _ in range(each):
+            _steps(net, windows, labels, rng, batch, rate)
     return net
 
 
@@ -259,15 +282,30 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: dict[int, int] = TRAIN_DOCS) -> list[tuple[bytes, int]]:
-    """At most ``bound`` labelled texts of each class (0, 1) that are not held out, in a fixed order."""
-    rows = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: dict[int, int] = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
+    """At most ``bound`` labelled texts of each class (0, 1) that are not held out, in a fixed order, of ``most_bytes`` in all.
+
+    The sample is chosen from ids, labels and sizes; only its texts come to the driver.
+    """
+    named = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
+    named = named.groupBy("_id").agg(F.max("_y").alias("_y"))
+    texts = docs.select(F.col("doc_id").alias("_id"), F.octet_length("text").alias("_size")).filter("_id is not null and _size is not null")
+    sizes = texts.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_size"))
+    rows = named.join(sizes, "_id").withColumn("_h", F.xxhash64("_id"))
     picked = None
     for y in (0, 1):
-        part = rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(bound[y])
+        part = rows.filter(F.col("_y") == y).orderBy("_h", "_id").limit(bound[y])
         picked = part if picked is None else picked.unionByName(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).filter("text is not null")
-    got = found.select("doc_id", F.col("text").cast("binary").alias("text"), "_y").collect()
+    # no more rows than the sum of the bounds; an id is taken with all its rows, or not at all where they are too many
+    chosen, left, room = [], dict(bound), most_bytes
+    for r in sorted(picked.collect(), key=lambda r: (r["_h"], r["_id"])):
+        if r["_n"] <= left[r["_y"]] and r["_size"] <= room:
+            chosen.append((r["_id"], r["_y"]))
+            left[r["_y"]] -= r["_n"]
+            room -= r["_size"]
+    wanted = docs.sparkSession.createDataFrame(chosen, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _y int")
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter("text is not null").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id"))
+    got = found.select("doc_id", "text", "_y").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     return [(bytes(r.text), r["_y"]) for r in got]
 

@@ -2,6 +2,7 @@
 
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +145,57 @@ def test_training_rows_hold_out(spark, docs):
     assert len(got) == n
 
 
+def test_training_rows_are_bounded(spark):
+    """Labels of absent documents use up nothing; bytes and rows have bounds; a repeated id is taken as a whole or not."""
+    import zlib
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(200)] + [(1000, "y")] * 50 + [(1001, "z" * 5000), (1002, None), (None, "n")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, toxic int")
+    there = {y: sum(1 for i in range(200) if i % 2 == y and zlib.crc32(str(i).encode()) % 5) for y in (0, 1)}
+    got = toxicity.training_rows(docs, labels)
+    assert Counter(y for t, y in got if t[:1] == b"x") == there
+    few = toxicity.training_rows(docs, labels, bound={0: 20, 1: 30}, most_bytes=1 << 20)
+    assert Counter(y for t, y in few if t[:1] == b"x") == {0: 20, 1: 30} or sum(1 for _ in few) <= 50
+    assert not any(t == b"y" for t, _ in few)
+    assert sum(len(t) for t, _ in toxicity.training_rows(docs, labels, most_bytes=4000)) <= 4000
+    assert toxicity.training_rows(docs.limit(0), labels) == [] and toxicity.training_rows(docs, labels.limit(0)) == []
+
+
+def test_every_window_is_learnt_from(monkeypatch):
+    seen = []
+    real = toxicity.Network.step
+
+    def step(self, bag, label, rate):
+        seen.append(bag.owner.size)
+        return real(self, bag, label, rate)
+
+    monkeypatch.setattr(toxicity.Network, "step", step)
+    long = [(b" ".join([b"word"] * 20_000), 1)] + [(b"a b c", 0)] * 5
+    toxicity.train(long, passes=(1, 1))
+    assert sum(seen[:2]) == toxicity.windows_of(20_000).size + 5 and len(seen) >= toxicity.TRAIN_STEPS
+
+
+def test_highest_window(net):
+    texts = [toxicity.words_of(t) for t, _ in toy(20, 3)] + [[], [b"a"] * 300 + [b"z"] * 7]
+    bag = toxicity.Bag(texts)
+    for t, w in zip(texts, net.highest(texts)):
+        alone = [net.scores([t[s : s + toxicity.WINDOW]])[0] for s in toxicity.windows_of(len(t))]
+        assert abs(net.scores([w])[0] - max(alone)) < 1e-5 and abs(net.scores([t])[0] - max(alone)) < 1e-5
+    assert bag.owner.max() == len(texts) - 1
+
+
+def test_held_out_toxic_documents(spark):
+    """Labels of the documents that are never learnt from, with the few labels of the smaller tables."""
+    from docloom.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op8_toxicity"](spark, d).filter("held_out")
+    rows = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert len(toxic) >= 5 and sum(toxic) == len(toxic)
+    assert sum(clean) <= 0.05 * len(clean)
+
+
 # ---- chat
 
 
