@@ -171,8 +171,11 @@ def test_every_window_is_learnt_from(monkeypatch):
 
     monkeypatch.setattr(toxicity.Network, "step", step)
     long = [(b" ".join([b"word"] * 20_000), 1)] + [(b"a b c", 0)] * 5
+    toxicity.train(long, passes=(1, 0))  # one pass over all windows, however many steps that takes
+    assert sum(seen) == toxicity.windows_of(20_000).size + 5
+    seen.clear()
     toxicity.train(long, passes=(1, 1))
-    assert sum(seen[:2]) == toxicity.windows_of(20_000).size + 5 and len(seen) >= toxicity.TRAIN_STEPS
+    assert len(seen) >= toxicity.TRAIN_STEPS
 
 
 def test_highest_window(net):
