@@ -8,8 +8,8 @@ overlapping windows of the whole text.
 Training. Labels belong to documents, so a document is a bag of windows: at first all its windows carry its label,
 then, in rounds, only the highest one. Every window of a training text is used. Of each class at most
 ``TRAIN_DOCS`` labelled documents are taken, by hash, as far as their texts have ``TRAIN_BYTES`` together; rows whose
-crc32 of the doc_id is 0 modulo 5 are held out. Few labels get more passes, so that there are ``TRAIN_STEPS`` steps at
-least. No column but the text is an input of a score.
+crc32 of the doc_id is 0 modulo 5 are held out. Few labels get smaller steps, and so many passes that there are ``TRAIN_STEPS`` steps
+at least. No column but the text is an input of a score.
 
 Edge cases: null and empty texts score as a window without words; null labels, and those of documents that are not
 there or have no text, are not learnt from; documents that share a doc_id are taken all or none; without
@@ -40,6 +40,8 @@ DIM, HIDDEN = 16, 8
 SLICE = 4 << 20
 #: Windows of a training step, about; and passes over the highest windows before they are picked anew.
 STEP_WINDOWS, ROUND_PASSES = 1024, 4
+#: Least and most texts of a training step, and the steps of a pass between the two.
+STEP_TEXTS, PASS_STEPS = (8, 64), 62
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -254,17 +256,18 @@ def _steps(net: Network, texts: list[list[bytes]], labels: np.ndarray, rng: np.r
         net.step(Bag([texts[x] for x in some]), labels[some], rate)
 
 
-def train(rows: list[tuple[bytes, int]], passes: tuple[int, int] = (1, 2), batch: int = 64, seed: int = 7, rate: float = 0.05) -> Network | float:
+def train(rows: list[tuple[bytes, int]], passes: tuple[int, int] = (1, 2), batch: int | None = None, seed: int = 7, rate: float = 0.05) -> Network | float:
     """A network from (text, label) rows; where a class is missing, the constant score instead.
 
     ``passes``: over all windows; and rounds, each of which picks every text's highest window anew and learns from these
-    alone in a few passes.
+    alone in a few passes. ``batch``: texts of a step; by default a fixed share of all, within ``STEP_TEXTS``.
     """
     labels = np.array([y for _, y in rows], np.float32)
     if not rows or labels.min() == labels.max():
         return float(labels[0]) if rows else 0.0
     rng = np.random.Generator(np.random.PCG64(seed))
     texts = [words_of(text) for text, _ in rows]
+    batch = batch or min(STEP_TEXTS[1], max(STEP_TEXTS[0], len(texts) // PASS_STEPS))
     net = Network(seed)
     for _ in range(passes[0]):
         _steps(net, texts, labels, rng, batch, rate)
