@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import analytics as A
+from docloom.operators import answers as P
 from docloom.operators import chunking as K
 from docloom.operators import context as C
 from docloom.operators import curation as Q
@@ -93,7 +94,27 @@ def _(t):
     return t.documents.select("doc_id", F.md5(X.clean(F.col("text"), repair=False)).alias("cleaned"))
 
 
-@query("ocr_repair")
+def _ocr_sql(text: str) -> str:
+    """The repairs as nested replacements. RE2 looks neither ahead nor behind, so neighbours are matched and put back, twice where they overlap."""
+    sub = lambda t, a, b: f"regexp_replace({t}, '{a}', '{b}', 'g')"
+    horned, edge = "[ơờớởỡợƠỜỚỞỠỢ]", r"[^\pL\pN\pM_]"
+    for plain, horn in (("u", "ư"), ("U", "Ư")):
+        for _ in range(2):
+            text = sub(text, f"(^|[^qQ]){plain}({horned})", rf"\1{horn}\2")
+    for plain, horn in X.HORNED_O.items():
+        text = sub(text, f"([ưƯ]){plain}", rf"\1{horn}")
+    text = sub(text, f"I([{X.VOWELS}])", r"l\1")
+    for wrong, right in X.OCR_WORDS.items():
+        for first, lead in ((wrong[0].upper(), right[0].upper()), (wrong[0], right[0])):
+            for _ in range(2):
+                text = sub(text, f"(^|{edge}){first}(?i:{wrong[1:]})($|{edge})", rf"\1{lead}{right[1:]}\2")
+    return text
+
+
+@query("ocr_repair", f"""
+with f as (select doc_id, text, {_ocr_sql('text')} as fixed from documents),
+z as (select doc_id, text, fixed, case when text = fixed then [] else regexp_extract_all(text, '(?s).') end as a, case when text = fixed then [] else regexp_extract_all(fixed, '(?s).') end as b from f)
+select doc_id, case when text is not null then cast(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) as bigint) end as n_changed, md5(fixed) as fixed from z""")
 def _(t):
     fixed = X.repair_ocr(F.col("text"))
     return t.documents.select("doc_id", "text", fixed.alias("fixed")).select("doc_id", X.changed_places(F.col("text"), F.col("fixed")).alias("n_changed"), F.md5("fixed").alias("fixed"))
@@ -118,7 +139,18 @@ def _(t):
     return t.documents.select("doc_id", X.truncate_words(F.col("text"), 30).alias("short"), X.first_title(F.col("text")).alias("title"))
 
 
-@query("topics")
+_TOPICS = rf"""
+h as (select doc_id, text, trim(regexp_replace(coalesce(string_split(text, chr(10))[1], ''), '\s+', ' ', 'g')) as t from documents),
+a as (select doc_id, text, trim(string_split_regex(' ' || t, '\s+\d{{1,2}}\s*[.)]\s+')[1]) as t from h),
+b as (select doc_id, text, t, case when regexp_matches(t, '[{X.LOWER}]\s+[{X.UPPER}]') then regexp_extract(t, '^(.*?[{X.LOWER}])\s+[{X.UPPER}]', 1) else t end as f from a),
+c as (select doc_id, text, regexp_replace(case when len({WORDS.format('f')}) >= 3 then f else t end, '[ ,.;:]+$', '') as t from b),
+topics as (select doc_id, text, case when len({WORDS.format('t')}) > 12 or regexp_matches(t, '{X.NOT_A_TITLE}', 'i') or regexp_matches(t, '\d{{2,}}') then '' else t end as topic from c)"""
+
+
+@query("topics", rf"""
+with {_TOPICS},
+r as (select doc_id, topic, text, regexp_replace(trim(string_split(text, chr(10))[1]), '^(Theo|Căn cứ)\s+[^,]{{5,120}},\s*', '', 'i') as o from topics)
+select doc_id, topic, upper(substr(o, 1, 1)) || substr(o, 2) as rest, regexp_matches(text, '[一-鿿]') as han from r""")
 def _(t):
     return t.documents.select("doc_id", X.topic(F.substring_index("text", "\n", 1)).alias("topic"), X.without_lead(F.substring_index("text", "\n", 1)).alias("rest"), X.has_han(F.col("text")).alias("han"))
 
@@ -157,7 +189,30 @@ def _(t):
     return t.documents.select("doc_id", F.posexplode(K.sentences(F.coalesce("text", F.lit("")))).alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("s").alias("sentence"))
 
 
-@query("chunk_pack")
+# A chunk's open sentences are always neighbours, so the fold's state is where they begin: s, before sentence i.
+@query("chunk_pack", f"""
+with recursive p0 as (select doc_id, coalesce(text, '') as t, {_SENTENCES} as parts, len({WORDS.format('text')}) as n_all from documents),
+p1 as (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from p0 where n_all > 550),
+p2 as (select doc_id, i, parts[i] as part, {WORDS.format('parts[i]')} as words from p1),
+p3 as (select doc_id, i, part, words, unnest(case when len(words) > 550 then range(1, len(words) + 1, 400) else [0] end) as j from p2),
+p4 as (select doc_id, row_number() over (partition by doc_id order by i, j) as e, case when j = 0 then part else array_to_string(words[j:j + 399], ' ') end as s, case when j = 0 then len(words) else len(words[j:j + 399]) end as n from p3),
+p5 as (select doc_id, e, s, n, sum(n) over (partition by doc_id order by e) as upto from p4),
+p6 as (select doc_id, e, s, n, upto, case when upto >= 50 then 1 + count(*) over (partition by doc_id order by upto range between unbounded preceding and 50 preceding) else 1 end as tail from p5),
+d as (select doc_id, list(s order by e) as ss, list(cast(n as bigint) order by e) as ns, list(cast(upto as bigint) order by e) as us, list(cast(tail as bigint) order by e) as ts, count(*) as m from p6 group by doc_id),
+st as (
+  select doc_id, cast(0 as bigint) as i, cast(1 as bigint) as s, cast(0 as bigint) as a1, cast(0 as bigint) as b1, cast(0 as bigint) as a2, cast(0 as bigint) as b2 from d
+  union all
+  select doc_id, i, case when us[i] - coalesce(us[s1 - 1], 0) >= 400 then greatest(s1, ts[i]) else s1 end, case when s1 <> s or full_ then s else 0 end, case when s1 <> s or full_ then i - 1 else 0 end,
+         case when us[i] - coalesce(us[s1 - 1], 0) >= 400 then s1 else 0 end, case when us[i] - coalesce(us[s1 - 1], 0) >= 400 then i else 0 end
+  from (select *, case when full_ then greatest(s, ts[i - 1]) else s end as s1
+        from (select st.doc_id, st.i + 1 as i, st.s, d.us, d.ts, coalesce(us[st.i], 0) - coalesce(us[st.s - 1], 0) + ns[st.i + 1] > 550 and st.i + 1 > st.s as full_
+              from st join d on st.doc_id = d.doc_id where st.i < d.m))),
+cut as (
+  select doc_id, i * 2 as o, a1 as a, b1 as b from st where a1 > 0 union all select doc_id, i * 2 + 1, a2, b2 from st where a2 > 0
+  union all select st.doc_id, st.i * 2 + 2, st.s, d.m from st join d on st.doc_id = d.doc_id where st.i = d.m and st.s <= d.m),
+made as (select cut.doc_id, o, array_to_string(ss[a:b], ' ') as chunk from cut join d on cut.doc_id = d.doc_id union all select doc_id, 0, t from p0 where n_all <= 550),
+once as (select doc_id, chunk, min(o) as o from made group by doc_id, chunk)
+select doc_id, cast(row_number() over (partition by doc_id order by o) - 1 as int) as pos, cast(len({WORDS.format('chunk')}) as bigint) as n_words, md5(chunk) as chunk from once""")
 def _(t):
     return t.documents.select("doc_id", F.posexplode(K.pieces(F.coalesce("text", F.lit("")))).alias("pos", "c")).select("doc_id", "pos", X.word_count(F.col("c")).alias("n_words"), F.md5("c").alias("chunk"))
 
@@ -236,7 +291,11 @@ def _near(t):
     return R.dense(asked, _vectors(t), digits=6)
 
 
-@query("term_df", f"with {_BM25} select term, cast(df as bigint) as df, round(idf, 6) as idf from df join idf using (term)")
+@query("term_df", f"""
+with d as (select {TERMS.format('text')} as terms from documents), tot as (select count(*) as n from d),
+df as (select term, count(*) as df from (select unnest(list_distinct(terms)) as term from d) group by term),
+raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, tot), mean as (select avg(raw) as mean from raw)
+select term, cast(df as bigint) as df, round(case when raw < 0 then 0.25 * mean else raw end, 6) as idf from raw, mean""")
 def _(t):
     return R.build_index(t.documents).frequencies.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -786,3 +845,147 @@ s as (select user_id, ts, sum(opens) over (partition by user_id order by ts rows
 select user_id, min(ts) as start, max(ts) + interval '30 minutes' as stop, count(*) as n from s group by user_id, s""")
 def _(t):
     return _plain(S.sessions(_events(t)), "start", "stop")
+
+
+# ---- composed answers: a conversation's turns are the hits of its question
+
+_TURN_HITS = "select conv_id as qid, cast(turn + 1 as int) as rank, 'T' || ((conv_id + turn // 2) % 3) as title, case when (conv_id + turn) % 4 <> 0 then 'Điều ' || ((conv_id + turn // 2) % 7) end as article, coalesce(text, '') as text, (conv_id % 10) / 16.0 as score, case when conv_id % 3 > 0 then (conv_id % 7) / 1024.0 - 0.002 end as rerank_score from conversations"
+_GATE = "case when max(case when rank = 1 then rerank_score end) is null then max(coalesce(score, 0)) >= 0.35 else max(case when rank = 1 then rerank_score end) >= 0.001 or max(coalesce(score, 0)) >= 0.30 end"
+_PLACE = "title || coalesce(' (' || article || ')', '')"
+_UNLABELLED = r"trim(regexp_replace(regexp_replace(trim(text), '^Điều\s+\d+[a-z]?\s*[.:]\s*', ''), '\s+', ' ', 'g'))"
+
+
+def _cited(hits: str) -> str:
+    return f"""
+first_ as (select qid, title, min(rank) as first from {hits} group by qid, title),
+nums_ as (select qid, title, string_agg(num, ', ' order by cast(num as int)) as nums from (select distinct qid, title, substr(article, 6) as num from {hits} where article is not null) group by qid, title),
+refs_ as (select f.qid, string_agg(case when nums is null then f.title else 'Điều ' || nums || ' — ' || f.title end, ' | ' order by first) as refs from first_ f left join nums_ n on f.qid = n.qid and f.title = n.title group by f.qid)"""
+
+
+def _shortened(text: str, n: int) -> str:
+    return f"case when len({WORDS.format(text)}) > {n} then regexp_replace(array_to_string({WORDS.format(text)}[1:{n}], ' '), '[ ,;.]+$', '') || '...' else {text} end"
+
+
+_TOP_TWO = f"""
+two_ as (select qid, rank, {_PLACE} as l, {_UNLABELLED} as t from h where rank <= 2),
+sides_ as (select qid, max(case when rank = 1 then l end) as l1, max(case when rank = 1 then t end) as t1, max(case when rank = 2 then l end) as l2, max(case when rank = 2 then t end) as t2 from two_ group by qid),
+answer_ as (select qid, 'Theo ' || l1 || ', quy định như sau: ' || {_shortened('t1', 300)}
+  || case when l2 <> l1 then ' Bên cạnh đó, ' || l2 || ' cũng quy định: ' || regexp_replace(array_to_string({WORDS.format('t2')}[1:120], ' '), '[ ,;.]+$', '') || '...' else '' end || ' {Q.FULL_ADVICE}' as answer from sides_ where l1 is not null)"""
+
+
+def _turn_hits(t):
+    about = (F.col("conv_id") + F.floor(F.col("turn") / 2)) % 7
+    title = F.concat(F.lit("T"), (F.col("conv_id") + F.floor(F.col("turn") / 2)) % 3)
+    return t.conversations.select(
+        F.col("conv_id").alias("qid"), (F.col("turn") + 1).cast("int").alias("rank"), title.alias("title"), F.when((F.col("conv_id") + F.col("turn")) % 4 != 0, F.concat(F.lit("Điều "), about)).alias("article"),
+        F.coalesce("text", F.lit("")).alias("text"), (F.col("conv_id") % 10 / 16).alias("score"), F.when(F.col("conv_id") % 3 > 0, F.col("conv_id") % 7 / 1024 - 0.002).alias("rerank_score"),
+    )
+
+
+@query("gate_or_facts", f"""
+with h as ({_TURN_HITS}), g as (select qid, {_GATE} as ok from h group by qid), k as (select distinct o_orderkey as qid from orders where o_orderpriority like '1%')
+select coalesce(g.qid, k.qid) as qid, k.qid is not null as has_facts, coalesce(ok, false) or k.qid is not null as relevant from g full outer join k on g.qid = k.qid""")
+def _(t):
+    facts = t.orders.select(F.col("o_orderkey").alias("qid"), F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).otherwise("").alias("facts"))
+    return P.gate_or_facts(_turn_hits(t), facts)
+
+
+@query("quote_for", f"""
+with h as ({_TURN_HITS}), best as (select * from h where rank <= 3), g as (select qid, {_GATE} as ok from best group by qid), {_cited('best')},
+x as (select qid, {_PLACE} as l, {_UNLABELLED} as t from best where rank = 1)
+select x.qid, md5('Theo ' || l || ': ' || {_shortened('t', 110)}) as quote, refs from x join g on x.qid = g.qid and ok join refs_ on x.qid = refs_.qid""")
+def _(t):
+    return P.quote_for(_turn_hits(t)).withColumn("quote", F.md5("quote"))
+
+
+@query("answer_from_top", f"with h as ({_TURN_HITS}), {_TOP_TWO} select qid, md5(answer) as answer from answer_")
+def _(t):
+    return P.answer_from_top(_turn_hits(t)).withColumn("answer", F.md5("answer"))
+
+
+@query("faq_rows", f"""
+with h as ({_TURN_HITS}), best as (select * from h where rank <= 6), g as (select qid, {_GATE} as ok from best group by qid), {_cited('best')}, {_TOP_TWO}
+select item_id as qid, cast(row_number() over (order by item_id) as int) as id, 'c' || (item_id % 3) as category, text as question, md5(answer) as answer, refs as source_refs, '{P.FAQ_NOTE}' as notes
+from benchmark join g on item_id = g.qid and ok join refs_ on item_id = refs_.qid join answer_ on item_id = answer_.qid""")
+def _(t):
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"), F.col("text").alias("question"))
+    return P.faq(asked, _turn_hits(t))[0].withColumn("answer", F.md5("answer"))
+
+
+@query("worth_asking", f"with {_TOPICS} select doc_id, case when length(topic) >= 6 then topic end as topic from topics where len({WORDS.format('text')}) >= 40")
+def _(t):
+    return P.worth_asking(t.documents.select("doc_id", "text", F.substring_index("text", "\n", 1).alias("heading"))).select("doc_id", "topic")
+
+
+_PLANNED = """select l_orderkey as source, l_linenumber as ord, cast(month(l_shipdate) % 3 + 1 as int) as semester, 'P' || l_partkey as name, l_quantity as credits,
+  case l_returnflag when 'N' then 'Bắt buộc' when 'R' then 'Định hướng chuyên ngành' else 'Tự chọn' end as grp, case when l_returnflag = 'R' and l_partkey % 3 > 0 then 'T' || (l_partkey % 3) else '' end as track,
+  case l_suppkey % 4 when 0 then 'Kỹ sư' when 1 then 'Cử nhân' else '' end as system from lineitem"""
+
+
+def _listed(test: str) -> str:
+    one = "name || ' (' || cast(credits as bigint) || ' tín chỉ)'"
+    return f"count(*) filter ({test}), cast(sum(credits) filter ({test}) as bigint), string_agg({one}, '; ' order by ord, {one}, credits) filter ({test})"
+
+
+@query("plan_breakdown", f"""
+with c as ({_PLANNED}),
+g (source, semester, n, s, l, n0, s0, l0, n1, s1, l1, total, required) as (
+  select source, semester, {_listed("grp = 'Bắt buộc' and system = ''")}, {_listed("system = 'Cử nhân'")}, {_listed("system = 'Kỹ sư'")}, cast(sum(credits) as bigint), cast(sum(credits) filter (grp = 'Bắt buộc') as bigint) from c group by source, semester),
+e as (select source, semester, min(ord) as ord, track || ' (' || cast(sum(credits) as bigint) || ' tín chỉ, ' || count(*) || ' học phần)' as one from c where track <> '' group by source, semester, track),
+w as (select source, semester, count(*) as nt, string_agg(one, '; ' order by ord, one) as lt from e group by source, semester)
+select g.source, g.semester, md5(concat_ws(' ',
+  'Học kỳ ' || g.semester || ' (học kỳ ' || ((g.semester - 1) % 2 + 1) || ' năm thứ ' || ((g.semester - 1) // 2 + 1) || ') ngành O' || g.source ||
+  case when n > 0 then ' có ' || n || ' học phần bắt buộc, cộng lại ' || s || ' tín chỉ: ' || l || '.' else ' không có học phần bắt buộc chung, vì kỳ này chia riêng theo hệ đào tạo.' end,
+  'Ngoài ra kỳ này có ' || nt || ' định hướng chuyên ngành để chọn MỘT: ' || lt || '.',
+  case when n0 > 0 then 'Hệ cử nhân học ' || n0 || ' học phần riêng (' || s0 || ' tín chỉ): ' || l0 || '.' end, case when n1 > 0 then 'Hệ kỹ sư học ' || n1 || ' học phần riêng (' || s1 || ' tín chỉ): ' || l1 || '.' end,
+  case when required <> coalesce(s, 0) then 'Lưu ý: kế hoạch đào tạo ghi ở dòng "Bắt buộc" là ' || required || ' tín chỉ — con số này đã gộp cả phần định hướng hoặc phần dành riêng cho hệ kỹ sư, nên em căn theo tổng ' || total || ' tín chỉ của cả học kỳ.' end)) as sentence
+from g left join w on g.source = w.source and g.semester = w.semester""")
+def _(t):
+    rest = lambda c, *kv: F.when(F.col(c) == kv[0], kv[1]).when(F.col(c) == kv[2], kv[3]).otherwise(kv[4])
+    rows = t.lineitem.withColumn("_s", F.col("l_suppkey") % 4).select(
+        F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("ord"), (F.month("l_shipdate") % 3 + 1).alias("semester"), F.concat(F.lit("P"), F.col("l_partkey")).alias("name"), F.col("l_quantity").alias("credits"),
+        rest("l_returnflag", "N", U.REQUIRED, "R", U.TRACK, U.ELECTIVE).alias("group"), F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 3 > 0), F.concat(F.lit("T"), F.col("l_partkey") % 3)).otherwise("").alias("track"),
+        rest("_s", 0, "Kỹ sư", 1, "Cử nhân", "").alias("system"),
+    )
+    need, core = F.sum(F.when(F.col("group") == U.REQUIRED, F.col("credits"))), F.sum(F.when((F.col("group") == U.REQUIRED) & (F.col("system") == ""), F.col("credits")))
+    totals = rows.groupBy("source", "semester").agg(F.sum("credits").alias("total"), need.alias("required"), (need != F.coalesce(core, F.lit(0.0))).alias("mismatch"))
+    labels = rows.groupBy("source").agg(F.concat(F.lit("O"), F.col("source")).alias("label"))
+    return P.breakdown(rows, totals, labels).withColumn("sentence", F.md5("sentence"))
+
+
+@query("compare_programs", """
+with s as (select s_nationkey as source, list_sort(list(distinct p_brand || '-' || p_size)) as s, count(*) as n, cast(sum(l_quantity) as bigint) as total
+  from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey where p_brand || '-' || p_size is not null group by s_nationkey),
+p as (select source, n_name as label, s, n, total from s join nation on source = n_nationkey),
+x as (select a.source as a, b.source as b, a.label as la, b.label as lb, a.total as ta, b.total as tb, a.n as na, b.n as nb, len(list_intersect(a.s, b.s)) as both_,
+  list_filter(a.s, lambda v: not list_contains(b.s, v)) as oa, list_filter(b.s, lambda v: not list_contains(a.s, v)) as ob from p a join p b on a.source < b.source)
+select a, b, cast(both_ as bigint) as n_both, cast(len(oa) as bigint) as n_only_a, cast(len(ob) as bigint) as n_only_b, cast(ta - tb as double) as gap,
+  md5('Hai chương trình có ' || both_ || ' học phần trùng nhau. Riêng ' || la || ' có ' || len(oa) || ' học phần mà ' || lb || ' không có' || case when len(oa) > 0 then ', ví dụ: ' || array_to_string(oa[1:6], ', ') else '' end
+    || '. Ngược lại ' || lb || ' có ' || len(ob) || ' học phần riêng' || case when len(ob) > 0 then ', ví dụ: ' || array_to_string(ob[1:6], ', ') else '' end || '. Về khối lượng, ' || la || ' là ' || ta || ' tín chỉ còn ' || lb || ' là ' || tb || ' tín chỉ.') as overlap,
+  md5('Xét khối lượng tín chỉ, ' || la || ' có ' || ta || ' tín chỉ và ' || lb || ' có ' || tb || ' tín chỉ' || case when ta = tb then ' — hai ngành bằng nhau về tổng khối lượng.' else ' — ' || case when ta > tb then la else lb end || ' nặng hơn ' || abs(ta - tb) || ' tín chỉ.' end
+    || ' Số học phần lần lượt là ' || na || ' và ' || nb || '. Em nên chọn theo định hướng nghề nghiệp chứ không chỉ theo khối lượng.') as load
+from x""")
+def _(t):
+    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select(F.col("s_nationkey").alias("source"), F.concat("p_brand", F.lit("-"), "p_size").alias("name"), "l_quantity").filter("name is not null")
+    whole = rows.groupBy("source").agg(F.sum("l_quantity").alias("total"), F.count(F.lit(1)).alias("n_courses"))
+    programs = whole.join(t.nation.select(F.col("n_nationkey").alias("source"), F.col("n_name").alias("label")), "source")
+    return P.compare_programs(rows, programs).withColumns({c: F.md5(c) for c in ("overlap", "load")})
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("rewrite_prompts", rf"""
+with p as (select conv_id, turn, coalesce(a0, '') as q, coalesce(a1, '') as a from ({_PAIRS}))
+select conv_id, turn, md5('CÂU HỎI GỐC (' || len({WORDS.format('q')}) || ' từ):' || chr(10) || q || chr(10) || chr(10) || 'ĐÁP ÁN GỐC (' || len({WORDS.format('a')}) || ' từ):' || chr(10) || a || chr(10)
+  || case when turn % 2 = 1 then chr(10) || 'DỮ KIỆN TRA CỨU (chỉ được lấy thêm thông tin từ đây):' || chr(10) || 'F' || turn || chr(10) else '' end || chr(10)
+  || 'YÊU CẦU ĐỘ DÀI: câu hỏi khoảng 6-10 từ, câu trả lời khoảng 55-90 từ.' || chr(10) || 'Viết lại cặp này, giữ nguyên 100% dữ kiện.'
+  || case when regexp_matches(a, '\(\s*(\d+(?:[.,]\d+)*)\s*tín\s*chỉ', 'i') then '' else {_literal(P.LISTS_NOTHING)} end
+  || case when conv_id % 2 = 0 then {_literal(P.REJECTED.replace("{reason}", "numbers"))} else '' end) as prompt from p""")
+def _(t):
+    n = lambda x: F.lit(x)
+    facts = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("F"), F.col("turn")))
+    prompt = P.rewrite_prompt(F.coalesce("a0", F.lit("")), F.coalesce("a1", F.lit("")), facts, n(6), n(10), n(55), n(90), F.when(F.col("conv_id") % 2 == 0, "numbers").otherwise(""))
+    return _pairs(t).select("conv_id", "turn", F.md5(prompt).alias("prompt"))

@@ -250,6 +250,21 @@ def ocr(pages: DataFrame, read: Callable[[bytes], str], image: str = "image") ->
     return pages.drop("text").mapInPandas(run, pages.drop("text").schema.add("text", "string"))
 
 
+def table_ocr(pages: DataFrame, read: Callable[[bytes], list[list[list[str | None]]]], image: str = "image") -> DataFrame:
+    """path, page and text: the tables that an external engine finds on each page, in Markdown, an empty line between them.
+
+    ``read`` gives a page's tables as rows of cells. Empty tables and pages without any are left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "page": f["page"], "_tables": [read(bytes(x)) for x in f[image]]})
+
+    found = pages.select("path", "page", image).filter(F.col(image).isNotNull()).mapInPandas(run, "path string, page int, _tables array<array<array<string>>>")
+    made = F.filter(F.transform("_tables", table_markdown), lambda t: F.coalesce(t, F.lit("")) != "")
+    return found.select("path", "page", F.array_join(made, "\n\n").alias("text")).filter("text <> ''")
+
+
 # ---- chunk, question and message files
 
 

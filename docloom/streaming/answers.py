@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.operators.context import citation_owners, is_refusal, repair_citations
+
 
 def grow(text: str) -> tuple[str, bool]:
     """What of a reply so far may be shown: thoughts cut, and nothing while one is open."""
@@ -40,6 +42,20 @@ def accumulate(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("conv_id").applyInPandasWithState(_accumulate, "conv_id bigint, seq bigint, answer string", "text string, shown string", "update", GroupStateTimeout.NoTimeout)
 
 
+def accumulate_repaired(pieces: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The same with citations put right at each emission; ``contexts`` (conv_id, context) is a table, one row a conversation.
+
+    Also refuses: whether the answer so far is a refusal, which shows no sources. A mention is read once its title is
+    complete, so one that is still being written stays as it is.
+    """
+    # the projection makes rows of the state operator's column batches, which an exchange cannot take
+    grown = accumulate(pieces).withColumn("answer", F.coalesce("answer", F.lit("")))
+    owned = grown.join(contexts.select("conv_id", citation_owners(F.coalesce("context", F.lit(""))).alias("_owners")), "conv_id", "left")
+    owners = F.coalesce("_owners", F.expr("cast(map() as map<string, array<string>>)"))
+    shown = owned.withColumn("_owners", owners).withColumn("answer", repair_citations(F.col("answer"), F.col("_owners")))
+    return shown.select("conv_id", "seq", "answer", is_refusal(F.col("answer"), F.col("_owners")).alias("refuses"))
+
+
 def accumulate_batch(pieces: DataFrame) -> DataFrame:
     """The same over a table, without state: the last answer of each conversation."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda x: F.coalesce(x["piece"], F.lit(""))), "")
