@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from docloom.llm.store import Workspace
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Point the larger (or the smaller and equal) neighbours of each node at its least neighbour."""
+#: Nodes with over this share of all edges are hubs: of these there are at most twice its inverse, so they can be broadcast.
+HUB_SHARE = 1000
+
+
+def _stars(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
+    """Point the larger (or the smaller and equal) neighbours of each node at its least neighbour.
+
+    A hub's least neighbour goes to the hub's edges, where they are; the edges of other nodes go to their node. The
+    least neighbours themselves are found map-side first. ``edges`` has at most twice ``n_edges`` rows, both ends counted.
+    """
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-    joined = near.join(least, near["a"] == least["n"])
+    least = near.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")).select("n", F.least("n", "m").alias("m"), "k")
+    hub = F.col("k") > n_edges / HUB_SHARE
+    hubs, others = F.broadcast(least.filter(hub)), least.filter(~hub)
+    at = F.col("a") == F.col("n")
+    joined = near.join(hubs, at).unionByName(near.join(hubs, at, "left_anti").join(others, at))
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,7 +47,7 @@ def connected_components(edges: DataFrame, work: Workspace, label: str = "cc", r
     edges = work.save(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct(), f"{label}0")
     before = state(edges)
     for i in range(1, rounds + 1):
-        edges = work.save(_stars(_stars(edges, True), False), f"{label}{i}")
+        edges = work.save(_stars(_stars(edges, True, before[0]), False, before[0]), f"{label}{i}")
         work.drop(f"{label}{i - 1}")
         now = state(edges)
         if now == before:
