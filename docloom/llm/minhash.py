@@ -34,7 +34,8 @@ from docloom.llm.store import Workspace, ship
 WIDTH = 5
 BINS, BAND = 128, 4
 PERCENT = 85
-BLOCK = 4096
+#: Members of a chunk, about, and their shingles in all; a block is two chunks at most.
+BLOCK, BLOCK_SHINGLES = 4096, 4 << 20
 #: Entries of a block's index that are looked up at once.
 STEP = 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -197,14 +198,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     sketched = work.save(whole.mapInArrow(_sketch_batches, schema), "sketched")
 
     # classes of equal sets, each under its least doc_id
-    classes = sketched.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = sketched.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
     reps = sketched.select("doc_id", "set_key", "bands").join(classes, "set_key").filter("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
     hubs = reps.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("band", "hub")
     candidates = reps.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     parts = work.save(connected_components(candidates, work, "candidates"), "parts")
 
-    # each part in chunks of bounded size; a block is a pair of chunks, and a chunk meets every other
-    sizes = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("chunks"))
+    # each part in chunks of bounded size, in members and in shingles; a block is a pair of chunks, and a chunk meets every other
+    weights = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("size").alias("size"))
+    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES)))
+    sizes = parts.join(weights.hint("shuffle_merge"), "node").groupBy("component").agg(F.greatest(pieces, F.lit(1)).cast("int").alias("chunks"))
     members = parts.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     members = members.select(

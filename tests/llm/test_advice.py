@@ -96,3 +96,29 @@ def joined(links, ids):
         for a, b in links:
             up[a] = up[b] = min(up[a], up[b])
     return up
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    """Long texts make small blocks; the links are those of one block."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(12)] + [(20, None), (21, "alone"), (21, "alone again")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(i, 0) for i in range(12)} | {(20, 20), (21, 21)}
+
+
+def test_hubs_by_broadcast(spark, monkeypatch):
+    """Components with every node a hub, and with none."""
+    from docloom.llm import components
+    from docloom.llm.store import Workspace
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 201 + i) for i in range(15)]
+    nodes = sorted({x for e in edges for x in e})
+    want = {n: c for n, c in joined(edges, nodes).items() if any(n in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    for share in (10**9, 1, 20):
+        monkeypatch.setattr(components, "HUB_SHARE", share)
+        got = {r.node: r.component for r in components.connected_components(df, Workspace(spark, "test")).collect()}
+        assert got == want
