@@ -24,9 +24,11 @@ def _stars(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")).select("n", F.least("n", "m").alias("m"), "k")
     hub = F.col("k") > n_edges / HUB_SHARE
-    hubs, others = F.broadcast(least.filter(hub)), least.filter(~hub)
-    at = F.col("a") == F.col("n")
-    joined = near.join(hubs, at).unionByName(near.join(hubs, at, "left_anti").join(others, at))
+    hubs = least.filter(hub).select(F.col("n").alias("_hub"), F.col("m").alias("_m"))
+    marked = near.join(F.broadcast(hubs), F.col("a") == F.col("_hub"), "left")
+    # edges of hubs go by hashes of their own, which spread; what these may meet by chance does not count
+    key = F.when(F.col("_hub").isNull(), F.col("a")).otherwise(F.xxhash64("a", "b"))
+    joined = marked.withColumn("_key", key).join(least.filter(~hub), F.col("_key") == F.col("n"), "left").withColumn("m", F.coalesce("_m", "m"))
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,7 +39,7 @@ def _stars(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
 def connected_components(edges: DataFrame, work: Workspace, label: str = "cc", rounds: int = 60) -> DataFrame:
     """``edges`` (a, b) to (node, component), component the least node reachable; nodes without edges are absent.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most. Rounds grow with
+    Each round is written to the shared folder, so a lost executor costs one step at most. Rounds grow with
     the logarithm of the number of nodes.
     """
 
@@ -47,8 +49,10 @@ def connected_components(edges: DataFrame, work: Workspace, label: str = "cc", r
     edges = work.save(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct(), f"{label}0")
     before = state(edges)
     for i in range(1, rounds + 1):
-        edges = work.save(_stars(_stars(edges, True, before[0]), False, before[0]), f"{label}{i}")
-        work.drop(f"{label}{i - 1}")
+        # each step is stored, so that no plan holds more than one
+        edges = work.save(_stars(edges, True, before[0]), f"{label}{i}large")
+        edges = work.save(_stars(edges, False, before[0]), f"{label}{i}")
+        work.drop(f"{label}{i - 1}", f"{label}{i}large")
         now = state(edges)
         if now == before:
             break
