@@ -108,17 +108,14 @@ def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
     assert got == {(i, 0) for i in range(12)} | {(20, 20), (21, 21)}
 
 
-def test_hubs_by_broadcast(spark, monkeypatch):
-    """Components with every node a hub, and with none."""
+def test_components_with_hubs(spark):
+    """Hubs of the least and of the largest id, chains, loops and repeated edges."""
     from docloom.llm import components
     from docloom.llm.store import Workspace
 
     rng = random.Random(5)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 201 + i) for i in range(15)]
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 201 + i) for i in range(15)] + [(399, 300 + i) for i in range(40)]
     nodes = sorted({x for e in edges for x in e})
     want = {n: c for n, c in joined(edges, nodes).items() if any(n in e and e[0] != e[1] for e in edges)}
-    df = spark.createDataFrame(edges, "a bigint, b bigint")
-    for share in (10**9, 1, 20):
-        monkeypatch.setattr(components, "HUB_SHARE", share)
-        got = {r.node: r.component for r in components.connected_components(df, Workspace(spark, "test")).collect()}
-        assert got == want
+    df = spark.createDataFrame(edges + edges[:9], "a bigint, b bigint")
+    assert {r.node: r.component for r in components.connected_components(df, Workspace(spark, "test")).collect()} == want
