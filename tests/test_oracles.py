@@ -66,11 +66,15 @@ def test_library_does_not_import_the_training_operators():
 @pytest.mark.parametrize("gone", [["docloom/llm", "tests/llm"], ["docloom/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
 def test_entry_without_the_training_operators(tmp_path, gone):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(os.path.join(root, "docloom", "llm")) and "docloom/llm" not in gone:
+        pytest.skip("the training operators are not here")
     copy = tmp_path / "copy"
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".*"))
     for path in gone:
         shutil.rmtree(copy / path, ignore_errors=True)
         (copy / path).unlink(missing_ok=True)
-    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries()))"], cwd=copy, capture_output=True, text=True, timeout=120)
+    # the copy alone is searched: an inherited path could hold the files that are gone
+    own = {k: v for k, v in os.environ.items() if not k.startswith("PYTHON")} | {"PYTHONPATH": str(copy)}
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries()))"], cwd=copy, env=own, capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr
     assert "'hybrid_rrf'" in said.stdout and "'pipeline'" not in said.stdout and ("'op1_html'" in said.stdout) == ("docloom/llm" not in gone)
