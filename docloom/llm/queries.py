@@ -199,3 +199,89 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.html_crf import extract
 
     return extract(_table(spark, sf_dir, "pages"))
+
+
+def _assigned(i: int) -> str:
+    """SQL: each vector with its nearest centroid of ``c{i}`` (of equals the smaller number)."""
+    return f"""a{i} as (
+  select uid, min(struct_pack(d := v.sq - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x), k := c.k)) as best from v, c{i} c group by uid)"""
+
+
+def _moved(i: int) -> str:
+    """SQL: the centroids ``c{i + 1}`` as exact means, rounded down; those without vectors stay."""
+    return f"""m{i} as (
+  select k, list(fl order by j) as x from (
+    select k, j, floor(sum(xj) / count(*)) as fl from (select best.k as k, unnest(v.x) as xj, unnest(range(len(v.x))) as j from a{i} join v using (uid)) group by k, j) group by k),
+c{i + 1} as (select c.k, coalesce(m.x, c.x) as x from c{i} c left join m{i} m on c.k = m.k)"""
+
+
+@_query(
+    "op11_centroids",
+    rf"""
+with e as (
+  select vec_id, embedding from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda f: f is not null and isfinite(f))) = 64),
+q as (select row_number() over () as uid, vec_id, list_transform(embedding, lambda f: floor(256 * cast(f as double))) as x from e),
+v as (select uid, vec_id, x, list_inner_product(x, x) as sq from q),
+c0 as (select row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), x) - 1 as k, x from v qualify k < 40),
+{", ".join(f"{_assigned(i)}, {_moved(i)}" for i in range(5))},
+{_assigned(5)},
+r as (select v.vec_id, cast(best.k as integer) as cluster, cast(best.d as bigint) as distance from a5 join v using (uid))
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+       sha256(array_to_string(list_transform(c5.x, lambda f: cast(cast(f as bigint) as varchar)), ',')) as centroid_sha256
+from r join c5 on r.cluster = c5.k""",
+)
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.centroids import cluster, with_inertia
+
+    return with_inertia(*cluster(_table(spark, sf_dir, "embeddings")))
+
+
+@_query("op12_tokens")
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docloom.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query(
+    "op13_trie",
+    r"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null),
+s as (select conv_id, list(struct_pack(role := role, text := text) order by pos) as turns from t group by conv_id),
+crc as (select conv_id, turns, encode(cast(conv_id as varchar)) as b from s),
+bits as (  -- crc32 by its definition: 8 steps for each byte of the decimal
+  select conv_id, turns, list_reduce(
+    list_prepend(4294967295::ubigint, flatten(list_transform(range(1, strlen(cast(conv_id as varchar)) + 1),
+      lambda i: list_prepend(4294967296::ubigint + ascii(substr(cast(conv_id as varchar), i, 1))::ubigint, list_transform(range(8), lambda z: 8589934592::ubigint))))),
+    lambda a, x: case when x < 8589934592::ubigint then xor(a, x - 4294967296::ubigint)
+                      when a % 2 = 1 then xor(a // 2, 3988292384::ubigint) else a // 2 end) as c
+  from crc),
+h as (select conv_id, turns, cast(xor(c, 4294967295::ubigint) % 9 as bigint) as h from bits),
+r as (
+  select h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) as turns
+  from h left join s b on b.conv_id = h.conv_id - h.conv_id % 5),
+p as (select conv_id, turns, d, md5(cast(turns[1:d] as varchar)) as prefix from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from r)),
+n as (
+  select d, prefix, min(conv_id) as conv_id, count(*) as n_convs, max(case when d = 0 then 0 else strlen(turns[d].text) end) as size,
+         coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(turns) = d), '') as ends
+  from p group by d, prefix),
+u as (select n.*, q.conv_id as parent from n left join p w on w.conv_id = n.conv_id and w.d = n.d - 1 left join n q on q.d = w.d and q.prefix = w.prefix),
+k as (select d - 1 as d, parent as conv_id, count(*) as n_children from u where parent is not null group by all),
+z as (select u.*, coalesce(k.n_children, 0) as n_children from u left join k on k.d = u.d and k.conv_id = u.conv_id),
+up as (
+  select a.d, a.prefix, sum(case when z.n_children = 0 then 1 else 0 end) as n_leaves, sum((z.n_convs - 1) * z.size) as saved
+  from z join p a on a.conv_id = z.conv_id and a.d <= z.d group by a.d, a.prefix)
+select z.conv_id, cast(z.d as bigint) as depth, parent as parent_conv_id, n_convs, n_children, cast(n_leaves as bigint) as n_leaves,
+       cast(saved as bigint) as saved_tokens, sha256(ends) as ends_sha256
+from z join up on up.d = z.d and up.prefix = z.prefix""",
+)
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(_table(spark, sf_dir, "conversations"))
