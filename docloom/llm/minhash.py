@@ -5,10 +5,17 @@ first round in which anything fell into it. After as many rounds as bins, each f
 into one bin, so that every coordinate fills. Two sketches agree in a coordinate with probability equal to the
 Jaccard similarity, concentrated at least as well as independent draws.
 
-Banding. Documents with one shingle set are one class. Classes that agree in a whole band are candidates; with
-32 bands of 4 coordinates, a pair at similarity 0.85 is missed with probability 6e-11 (5e-8 at 0.8). The candidates'
-connected parts are compared inside tasks, in blocks of bounded size: all pairs of fitting sizes on full shingle
-sets, by an index from shingles to members, unless they are already joined. Only joining links leave the tasks, fewer than there are classes.
+Banding. Documents with one shingle set are one class. Classes that agree in a whole band share a bucket; with 32 bands
+of 4 coordinates, a pair at similarity 0.85 is missed with probability 6e-11 (5e-8 at 0.8). Buckets with the same
+members are one. In a bucket, members are compared by eight bits of each coordinate, and those that agree in too few
+of them for the similarity asked for are set apart; a linked pair is set apart with probability ``TAIL`` at most.
+What is left of a bucket is a few groups, passed on as chains, so that no member has many neighbours.
+
+Verification. The connected parts of those chains hold texts of real likeness only. A part is compared inside one task,
+on full shingle sets, by an index from shingles to members, unless two are already joined. A part too large for a task
+is first compared with ``HUBS`` of its members, in one pass over its chunks; those that are joined by this to its largest
+component are not compared with each other again: only the others meet every chunk. Each text moves once, but for
+large parts. Only joining links leave the tasks, fewer than there are classes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` once A-Z are lower-cased; the set is all runs of ``width`` words, or the whole
 sequence if it is shorter.
@@ -20,6 +27,7 @@ it has any; an empty table gives an empty result; only doc_id and the text are r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,10 @@ from docloom.llm.store import Workspace, ship
 WIDTH = 5
 BINS, BAND = 128, 4
 PERCENT = 85
+#: Most probable share of linked pairs that the comparison of sketches sets apart.
+TAIL = 1e-10
+#: Members of a large part that all others are compared with first.
+HUBS = 16
 #: Members of a chunk, about, and their shingles in all; a block is two chunks at most.
 BLOCK, BLOCK_SHINGLES = 4096, 4 << 20
 #: Entries of a block's index that are looked up at once.
@@ -98,20 +110,59 @@ def bands(coordinates: np.ndarray, size: int = BAND) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def least_agreement(percent: int, bins: int = BINS, tail: float = TAIL) -> int:
+    """The most coordinates that all but ``tail`` of pairs at the similarity agree in."""
+    p, below = percent / 100, 0.0
+    for k in range(bins + 1):
+        below += math.comb(bins, k) * p**k * (1 - p) ** (bins - k)
+        if below > tail:
+            return k
+    return bins
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
-        sizes, keys, lists = [], [], []
+        sizes, keys, lists, short = [], [], [], []
         for t in texts:
             s = shingles(t.as_py())
+            c = sketch(s) if s.size else None
             sizes.append(s.size)
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()) if s.size else None)
-            lists.append(bands(sketch(s)) if s.size else np.empty(0, np.int64))
+            keys.append(None if c is None else xxhash.xxh3_128_digest(s.tobytes()))
+            lists.append(np.empty(0, np.int64) if c is None else bands(c))
+            short.append(None if c is None else c.astype(np.uint8).tobytes())
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
         flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
         made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-        out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), made, *batch.columns[2:]]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "set_key", "bands", *batch.schema.names[2:]])
+        out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), made, pa.array(short, pa.binary()), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "set_key", "bands", "sketch", *batch.schema.names[2:]])
+
+
+def alike(ids: list[int], side: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int = PERCENT, least: int | None = None) -> list[tuple[int, int]]:
+    """Chains through the groups of members whose sketches may belong to linked sets.
+
+    ``side``: where both 0 and 1 occur, only pairs across are compared, as in ``link_block``.
+    """
+    least = least_agreement(percent) if least is None else least
+    across = bool(side.any() and not side.all())
+    left, links = np.ones(len(ids), bool), []
+    for begin in range(len(ids)):
+        if not left[begin]:
+            continue
+        left[begin] = False
+        wave, last = [begin], begin
+        while wave:
+            i = wave.pop()
+            rest = np.flatnonzero(left & (side != side[i]) if across else left)
+            rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
+            if not rest.size:
+                continue
+            for k in rest[(sketches[rest] == sketches[i]).sum(axis=1) >= least].tolist():
+                links.append((ids[last], ids[k]))
+                left[k] = False
+                wave.append(k)
+                last = k
+    return links
 
 
 def link_block(ids: list[int], side: np.ndarray, texts: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -164,11 +215,11 @@ def link_block(ids: list[int], side: np.ndarray, texts: list[bytes], percent: in
     return links
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Rows (block, side, doc_id, text), sorted by block."""
+def _by_block(batches: Iterator[pa.RecordBatch], links_of) -> Iterator[pa.RecordBatch]:
+    """Rows that begin with their block, sorted by it; ``links_of`` makes pairs of the rows of each."""
 
     def flush(rows: list) -> pa.RecordBatch:
-        links = link_block([r[2] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows], percent) if len(rows) > 1 else []
+        links = links_of(rows) if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     held: list = []
@@ -182,6 +233,112 @@ def _link_batches(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) ->
         yield flush(held)
 
 
+def _alike_batches(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, rep, size, sketch)."""
+    least = least_agreement(percent)
+
+    def links_of(rows: list) -> list:
+        sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        return alike([r[2] for r in rows], np.array([r[1] for r in rows]), np.array([r[3] for r in rows]), sketches, percent, least)
+
+    return _by_block(batches, links_of)
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, doc_id, text)."""
+    return _by_block(batches, lambda rows: link_block([r[2] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows], percent))
+
+
+def _hub_batches(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, doc_id, text) with a block's hubs (side 0) first: the links of each row to them."""
+    block, hubs = None, []
+    for batch in batches:
+        links: list = []
+        for at, side, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != block:
+                block, hubs = at, []
+            own = shingles(text)
+            if side == 0:
+                hubs.append((node, own))
+                continue
+            for hub, elements in hubs:
+                if hub == node or 100 * min(own.size, elements.size) < percent * max(own.size, elements.size):
+                    continue
+                at_most = np.minimum(np.searchsorted(elements, own), elements.size - 1)
+                same = int(np.count_nonzero(elements[at_most] == own))
+                if 100 * same >= percent * (own.size + elements.size - same):
+                    links.append((node, hub))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+
+def _pairs_of_chunks(rows: DataFrame, group: str, chunks: str, node: str) -> DataFrame:
+    """``rows`` once for each block of two chunks that their chunk is in: with ``block`` and ``side``."""
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64(node), F.col(chunks)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col(chunks) - 1)))
+    block = F.concat_ws(":", group, F.least("_c", "_o"), F.greatest("_c", "_o"))
+    return rows.withColumn("block", block).withColumn("side", (F.col("_c") > F.col("_o")).cast("int")).drop("_c", "_o")
+
+
+def _candidates(reps: DataFrame, work: Workspace, percent: int, parts: int) -> DataFrame:
+    """Chains of classes (a, b) that may be linked, found in the buckets of the bands."""
+    banded = reps.select("rep", F.explode("bands").alias("band"))
+    own = [F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *own).filter("n > 1")
+    # many bands hold the same members: one of them will do
+    buckets = work.save(buckets.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "buckets")
+    members = banded.hint("shuffle_merge").join(buckets, "band").select(F.col("band").cast("string").alias("band"), "chunks", "rep")
+    members = _pairs_of_chunks(members, "band", "chunks", "rep").select("block", "side", "rep")
+    members = members.hint("shuffle_merge").join(reps.select("rep", "size", "sketch"), "rep").select("block", "side", "rep", "size", "sketch")
+    members = members.repartition(parts, "block").sortWithinPartitions("block")
+    return work.save(members.mapInArrow(lambda rows: _alike_batches(rows, percent), "a bigint, b bigint"), "alike")
+
+
+def _verified(parts: DataFrame, rows: DataFrame, weights: DataFrame, work: Workspace, percent: int, n: int) -> DataFrame:
+    """Links (a, b) that join all members of each part (node, component) that are joined at all."""
+    # the chunks of a part, bounded in members and in shingles
+    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES)))
+    sizes = parts.join(weights.hint("shuffle_merge"), "node").groupBy("component").agg(F.greatest(pieces, F.lit(1)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n"))
+    sizes = work.save(sizes, "sizes")
+    columns = ["block", "side", "doc_id", "text"]
+
+    def texts(members: DataFrame, *order: str) -> DataFrame:
+        # never a broadcast, whose size would depend on the input: candidates grow with it
+        out = members.hint("shuffle_merge").join(rows, "doc_id").select(*columns).repartition(max(n, 24), "block")
+        return out.sortWithinPartitions("block", *order)
+
+    small = parts.join(sizes.filter("chunks = 1"), "component").select(F.col("component").cast("string").alias("block"), F.lit(0).alias("side"), F.col("node").alias("doc_id"))
+    blocks = texts(small)
+    links = work.save(blocks.mapInArrow(lambda b: _link_batches(b, percent), "a bigint, b bigint"), "links")
+    large = sizes.filter("chunks > 1")
+    if not large.limit(1).count():
+        return links
+
+    # large parts: every member against some, so that what is left to compare is small where most are copies of one text
+    members = work.save(parts.join(large, "component").select("component", "chunks", "node"), "large")
+    # a hash below HUBS / n: about so many, without an order over the part
+    share = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 40)) < (F.lit(HUBS) * (1 << 40) / F.col("n"))
+    hubs = members.join(large.select("component", "n"), "component").filter(share)
+    own = members.select(F.concat_ws(":", "component", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("block"), F.lit(1).alias("side"), F.col("node").alias("doc_id"))
+    each = hubs.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(F.concat_ws(":", "component", "c").alias("block"), F.lit(0).alias("side"), F.col("node").alias("doc_id"))
+    first = work.save(texts(own.unionByName(each), "side").mapInArrow(lambda b: _hub_batches(b, percent), "a bigint, b bigint"), "hubs")
+    joined = connected_components(first, work, "reached")
+    grouped = members.join(joined.select("node", F.col("component").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    counts = grouped.groupBy("component", "group").agg(F.count(F.lit(1)).alias("n_group"))
+    most = counts.groupBy("component").agg(F.max(F.struct("n_group", "group")).alias("m"), F.sum("n_group").alias("n_all"))
+    most = most.select("component", F.col("m.group").alias("main"), (F.col("n_all") - F.col("m.n_group")).alias("n_rest"))
+    most = most.join(large.select("component", F.col("chunks").alias("main_chunks"), "n"), "component")
+    most = most.withColumn("chunks", F.ceil(F.col("n_rest") * F.col("main_chunks") / F.col("n")).cast("int")).filter("chunks > 0")
+    grouped = grouped.drop("chunks").join(most, "component")
+    rest = grouped.filter("group <> main")
+    inner = _pairs_of_chunks(rest.withColumn("part", F.concat(F.lit("r"), "component")), "part", "chunks", "node").select("block", "side", F.col("node").alias("doc_id"))
+    chunk = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    other = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    outer = rest.withColumn("c", chunk("chunks")).withColumn("o", other("main_chunks")).withColumn("side", F.lit(0))
+    outer = outer.unionByName(grouped.filter("group = main").withColumn("o", chunk("main_chunks")).withColumn("c", other("chunks")).withColumn("side", F.lit(1)))
+    outer = outer.select(F.concat_ws(":", "component", "c", "o").alias("block"), "side", F.col("node").alias("doc_id"))
+    last = work.save(texts(inner.unionByName(outer)).mapInArrow(lambda b: _link_batches(b, percent), "a bigint, b bigint"), "rest")
+    return links.unionByName(first).unionByName(last)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, carry: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept (doc_id = component_id), for each row.
 
@@ -191,34 +348,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     ship(spark)
     work = Workspace(spark, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    schema, own, whole = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>", [], rows
+    schema, own, whole = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary", [], rows
     if carry is not None:
         whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), carry.alias("_row"))
         schema, own = f"{schema}, _row {whole.schema['_row'].dataType.simpleString()}", ["_row"]
     sketched = work.save(whole.mapInArrow(_sketch_batches, schema), "sketched")
-
-    # classes of equal sets, each under its least doc_id
-    classes = sketched.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    reps = sketched.select("doc_id", "set_key", "bands").join(classes, "set_key").filter("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
-    hubs = reps.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("band", "hub")
-    candidates = reps.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    parts = work.save(connected_components(candidates, work, "candidates"), "parts")
-
-    # each part in chunks of bounded size, in members and in shingles; a block is a pair of chunks, and a chunk meets every other
-    weights = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("size").alias("size"))
-    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES)))
-    sizes = parts.join(weights.hint("shuffle_merge"), "node").groupBy("component").agg(F.greatest(pieces, F.lit(1)).cast("int").alias("chunks"))
-    members = parts.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = members.select(
-        F.col("node").alias("doc_id"),
-        F.concat_ws(":", "component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"),
-        (F.col("chunk") > F.col("other")).cast("int").alias("side"),
-    )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # never a broadcast, whose size would depend on the input: candidates grow with it
-    blocks = members.hint("shuffle_merge").join(rows, "doc_id").select("block", "side", "doc_id", "text").repartition(max(n, 24), "block").sortWithinPartitions("block")
-    links = work.save(blocks.mapInArrow(lambda rows: _link_batches(rows, percent), "a bigint, b bigint"), "links")
+
+    # classes of equal sets, each under its least doc_id; equal sets have equal sketches
+    classes = sketched.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = work.save(classes, "classes")
+    # rows that share a doc_id count as one node, whatever their texts: each of its sets is compared
+    reps = classes.filter("rep is not null")
+    parts = work.save(connected_components(_candidates(reps, work, percent, max(n, 24)), work, "candidates"), "parts")
+    links = _verified(parts, rows, reps.groupBy(F.col("rep").alias("node")).agg(F.sum("size").alias("size")), work, percent, n)
     joined = connected_components(links, work, "joined")
 
     found = classes.join(joined, classes["rep"] == joined["node"], "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
