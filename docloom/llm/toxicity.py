@@ -1,14 +1,14 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
 Inputs. A word's vector is the mean of a hashed word embedding and of hashed embeddings of its character runs of
-3 to 5 bytes, edges marked. Two gated recurrent layers read a window of words, one each way; attention weighs the
+3 to 5 bytes, edges marked, and of its beginnings of 4 to 7 bytes. Two gated recurrent layers read a window of words, one each way; attention weighs the
 states; a logistic unit gives the window's score. A document's score is that of its highest window, over all
 overlapping windows of the whole text.
 
 Training. Labels belong to documents, so a document is a bag of windows: at first all its windows carry its label,
 then, in rounds, only the highest one. Every window of a training text is used. Of each class at most
 ``TRAIN_DOCS`` labelled documents are taken, by hash, as far as their texts have ``TRAIN_BYTES`` together; rows whose
-crc32 of the doc_id is 0 modulo 5 are held out. Few labels get smaller steps, and so many passes that there are ``TRAIN_STEPS`` steps
+crc32 of the doc_id is 0 modulo 5 are held out. There are so many passes that there are ``TRAIN_STEPS`` steps
 at least. No column but the text is an input of a score.
 
 Edge cases: null and empty texts score as a window without words; null labels, and those of documents that are not
@@ -35,20 +35,26 @@ WINDOW, STRIDE = 64, 48
 #: Bounds of the labelled sample: documents of each class, and bytes of their texts; and the least number of steps.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_STEPS = {0: 4000, 1: 2000}, 32 << 20, 400
 GRAMS = (3, 4, 5)
+#: Lengths of a word's beginnings, its edge mark included: stems, which endings leave as they are.
+STEMS = (5, 6, 7, 8)
 GRAM_ROWS, WORD_ROWS = 1 << 15, 1 << 14
 DIM, HIDDEN = 16, 8
 SLICE = 4 << 20
 #: Windows of a training step, about; and passes over the highest windows before they are picked anew.
 STEP_WINDOWS, ROUND_PASSES = 1024, 4
-#: Least and most texts of a training step, and the steps of a pass between the two.
-STEP_TEXTS, PASS_STEPS = (8, 64), 62
+#: Least certainty (z) at which an embedding starts from document counts, what a unit of it is, and the least documents of a part.
+PRIME_LEAST, PRIME_SCALE, PRIME_DOCS = 3.5, 1.0, 5
+#: What a toxic window counts beside a clean one.
+TOXIC_WEIGHT = 3.0
+#: Texts of a training step.
+STEP_TEXTS = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_ids(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Rows of the embedding table for each distinct word's parts, with how many each word has.
 
-    The words' own rows come first, then runs of each length in turn; rows stand in order of word.
+    The words' own rows come first, then runs of each length in turn, then beginnings; rows stand in order of word.
     """
     size = np.array([len(w) + 2 for w in words], np.int64)
     begin = np.cumsum(size) - size
@@ -64,6 +70,14 @@ def gram_ids(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             h = (h ^ data[at + j]) * _MULT
             h ^= h >> np.uint64(29)
         parts.append(((h >> np.uint64(20)).astype(np.int64) & (GRAM_ROWS - 1), count))
+    for n in STEMS:
+        has = (size >= n).astype(np.int64)
+        at = begin[size >= n]
+        h = np.full(at.size, n + 256, np.uint64)
+        for j in range(n):
+            h = (h ^ data[at + j]) * _MULT
+            h ^= h >> np.uint64(29)
+        parts.append(((h >> np.uint64(20)).astype(np.int64) & (GRAM_ROWS - 1), has))
     return parts
 
 
@@ -125,8 +139,26 @@ class Network:
             "w": draw(2 * HIDDEN, scale=0.3),
             "b": np.full(1, -1.0, np.float32),
         }
+        self.known = np.ones(GRAM_ROWS + WORD_ROWS, bool)
         self.seen = {k: np.full(v.shape if k != "table" else (v.shape[0], 1), 1e-10, np.float32) for k, v in self.p.items()}
 
+    def prime(self, texts: list[list[bytes]], labels: np.ndarray, least: float = PRIME_LEAST, scale: float = PRIME_SCALE, documents: int = PRIME_DOCS) -> None:
+        """Start the first coordinate of each embedding at how surely its part marks a class by document counts.
+
+        The measure is the two-sample z of its shares of toxic and clean documents; what stays under ``least`` starts at 0.
+        So a part of few documents that all are toxic is told from the words that one document happens to have. Parts of
+        under ``documents`` training texts stay at nothing, so that no text is learnt by its own words.
+        """
+        n = np.array([np.count_nonzero(labels == 0), np.count_nonzero(labels == 1)], np.float64)
+        seen = np.zeros((2, GRAM_ROWS + WORD_ROWS))
+        for t, y in zip(texts, labels, strict=True):
+            seen[int(y), np.unique(np.concatenate([r for r, _ in gram_ids(sorted(set(t)))]))] += 1
+        share = seen.sum(axis=0) / n.sum()
+        z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
+        self.p["table"][:, 0] = np.where(np.abs(z) >= least, np.clip(z, -8, 8) * scale, 0)
+        self.known = seen.sum(axis=0) >= documents
+        self.p["table"][~self.known] = 0
+
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Vectors of distinct words (row 0: no word), and what their gradient needs."""
         parts = gram_ids(words)
@@ -205,7 +237,7 @@ class Network:
         logit, saved = self.forward(gates, codes, mask, keep=True)
         y = label[bag.owner]
         q = _sigmoid(logit)
-        d = ((q - y) / y.size).astype(np.float32)
+        d = ((q - y) * np.where(y == 1, TOXIC_WEIGHT, 1.0) / y.size).astype(np.float32)
         loss = float(-(y * np.log(q + 1e-7) + (1 - y) * np.log(1 - q + 1e-7)).mean())
         g, dgates = self.backward(saved, d, len(bag.words))
         g["wx"] = np.stack([x.T @ dgates[j] for j in (0, 1)])
@@ -215,7 +247,7 @@ class Network:
             self.seen[name] += grad * grad
             self.p[name] -= rate * grad / np.sqrt(self.seen[name])
         used, at = np.unique(rows, return_inverse=True)
-        grad = _sum_by(dx[owner], at.ravel(), used.size)
+        grad = _sum_by(dx[owner], at.ravel(), used.size) * self.known[used, None]
         self.seen["table"][used] += (grad * grad).mean(axis=1, keepdims=True)
         self.p["table"][used] -= rate * grad / np.sqrt(self.seen["table"][used])
         return loss
@@ -256,19 +288,19 @@ def _steps(net: Network, texts: list[list[bytes]], labels: np.ndarray, rng: np.r
         net.step(Bag([texts[x] for x in some]), labels[some], rate)
 
 
-def train(rows: list[tuple[bytes, int]], passes: tuple[int, int] = (1, 2), batch: int | None = None, seed: int = 7, rate: float = 0.05) -> Network | float:
+def train(rows: list[tuple[bytes, int]], passes: tuple[int, int] = (1, 2), batch: int = STEP_TEXTS, seed: int = 7, rate: float = 0.05) -> Network | float:
     """A network from (text, label) rows; where a class is missing, the constant score instead.
 
     ``passes``: over all windows; and rounds, each of which picks every text's highest window anew and learns from these
-    alone in a few passes. ``batch``: texts of a step; by default a fixed share of all, within ``STEP_TEXTS``.
+    alone in a few passes. ``batch``: texts of a step, whatever the number of rows.
     """
     labels = np.array([y for _, y in rows], np.float32)
     if not rows or labels.min() == labels.max():
         return float(labels[0]) if rows else 0.0
     rng = np.random.Generator(np.random.PCG64(seed))
     texts = [words_of(text) for text, _ in rows]
-    batch = batch or min(STEP_TEXTS[1], max(STEP_TEXTS[0], len(texts) // PASS_STEPS))
     net = Network(seed)
+    net.prime(texts, labels)
     for _ in range(passes[0]):
         _steps(net, texts, labels, rng, batch, rate)
     each = max(ROUND_PASSES, -(-TRAIN_STEPS // (max(1, passes[1]) * -(-len(texts) // batch))))
