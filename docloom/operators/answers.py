@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import models as M
 from docloom.functions import text as X
 from docloom.operators import context as C
 from docloom.operators.curation import FULL_ADVICE
+from docloom.operators.numbering import number_rows
 from docloom.operators.records import REQUIRED, TRACK
 from docloom.operators.retrieval import TOP, gate
 
@@ -127,8 +128,8 @@ def faq(questions: DataFrame, hits: DataFrame, k: int = TOP) -> tuple[DataFrame,
     """
     best = hits.filter(F.col("rank") <= k)
     made = gate(best).filter("relevant").select("qid").join(answer_from_top(best), "qid").join(_references(best), "qid")
-    number = F.row_number().over(Window.orderBy("qid"))
-    rows = questions.join(made, "qid").select("qid", number.alias("id"), "category", "question", "answer", F.col("refs").alias("source_refs"), F.lit(FAQ_NOTE).alias("notes"))
+    named = number_rows(questions.join(made, "qid"), [F.col("qid").asc()], name="_number")
+    rows = named.select("qid", F.col("_number").cast("int").alias("id"), "category", "question", "answer", F.col("refs").alias("source_refs"), F.lit(FAQ_NOTE).alias("notes"))
     return rows, questions.join(made.select("qid"), "qid", "left_anti")
 
 

@@ -6,13 +6,14 @@ a stated query set; the corpus side is never broadcast.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.operators.vectors import RERANK, Codes, build_codes, nearest, nearest_coded
+from docloom.tables import Workspace
 
 LEXICAL, DENSE, TOP, FUSION = 40, 80, 6, 60
 #: The gates' thresholds: without reranking by cosine, with it by either score.
@@ -114,43 +115,15 @@ def bm25(questions: DataFrame, index: Index, k: int = LEXICAL, k1: float = 1.5,
     return scored.filter("bm25 > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def dense(questions: DataFrame, vectors: DataFrame, k: int = DENSE, digits: int | None = None, block_bytes: int = QUERY_BYTES) -> DataFrame:
-    """qid, doc, score and rank of the ``k`` nearest by cosine, exactly; questions: qid, vector; vectors: doc, vector.
+    """qid, doc, score and rank of the ``k`` nearest by cosine, exactly; questions: qid, vector, a stated set; vectors: doc, vector."""
+    return nearest(questions, vectors, k, digits, block_bytes)
 
-    The questions are a stated set and are broadcast, in as many blocks as their checked size needs; each partition
-    of the vectors ranks its own before any shuffle.
-    """
-    size = questions.agg(F.sum(F.size("vector") * 8 + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    out = None
-    for i in range(blocks):
-        part = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        score = cosine(F.col("q"), F.col("v"))
-        pairs = vectors.select("doc", F.col("vector").alias("v")).crossJoin(F.broadcast(part.select("qid", F.col("vector").alias("q"))))
-        pairs = pairs.select("qid", "doc", (F.round(score, digits) if digits is not None else score).alias("score"))
-        out = pairs if out is None else out.unionByName(pairs)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def dense_approximate(questions: DataFrame, vectors: DataFrame, k: int = DENSE, tables: int = 8, width: float = 0.6, seed: int = 3) -> DataFrame:
-    """The same over candidates that share a bucket of random projections: every row is indexed, some near ones are missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from docloom.functions.models import unit
-
-    a = vectors.select("doc", array_to_vector(unit(F.col("vector"))).alias("v"))
-    b = questions.select("qid", array_to_vector(unit(F.col("vector"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=width, seed=seed).fit(a)
-    near = model.approxSimilarityJoin(a, b, 2.0, "d").select(F.col("datasetB.qid").alias("qid"), F.col("datasetA.doc").alias("doc"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+def dense_approximate(questions: DataFrame, vectors: DataFrame, k: int = DENSE, rerank: int = RERANK, codes: Codes | None = None) -> DataFrame:
+    """The same over ``rerank * k`` candidates that product codes rank first; every row is coded, here or in ``codes``."""
+    codes = codes or build_codes(vectors, Workspace(vectors.sparkSession, "codes"))
+    return nearest_coded(questions, vectors, codes, k, rerank)
 
 
 def fuse(near: DataFrame, lexical: DataFrame, constant: int = FUSION) -> DataFrame:

@@ -18,7 +18,9 @@ from docloom.operators import facts as L
 from docloom.operators import lines as N
 from docloom.operators import records as U
 from docloom.operators import retrieval as R
+from docloom.operators.lexical import StoredIndex, search
 from docloom.streaming import answers as S
+from docloom.tables import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -269,7 +271,7 @@ sc as (select qid, post.doc_id as doc, round(sum(qtf * idf * tf * 2.5 / (tf + 1.
 lex as (select qid, doc, bm25, row_number() over (partition by qid order by bm25 desc, doc) as rank from sc where bm25 > 0 qualify rank <= 40)"""
 
 _DENSE = """
-qv as (select vec_id as qid, embedding as q from embeddings where vec_id in (select item_id from benchmark)),
+qv as (select vec_id as qid, embedding as q from embeddings where vec_id % 50 = 0),
 cs as (select qid, vec_id as doc, round(list_dot_product(cast(q as double[]), cast(embedding as double[])) / (sqrt(list_dot_product(cast(q as double[]), cast(q as double[]))) * sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])))), 6) as score from qv, embeddings),
 near as (select qid, doc, score, row_number() over (partition by qid order by score desc, doc) as rank from cs qualify rank <= 80)"""
 
@@ -282,13 +284,29 @@ def _vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
 
 
+#: The stored indexes of this process, by session and folder of tables.
+_STORED: dict[tuple[str, str], StoredIndex] = {}
+
+
+def _index(t):
+    """The index of a folder's documents, built at first use and read by all queries after."""
+    key = (t._spark.sparkContext.applicationId, t._dir)
+    if key not in _STORED:
+        path = Workspace(t._spark, "bm25").root
+        _STORED[key] = StoredIndex(t._spark, path).add(t.documents)
+    return _STORED[key]
+
+
 def _lexical(t):
-    return R.bm25(_questions(t), R.build_index(t.documents), digits=6)
+    return search(_questions(t), _index(t), digits=6)
+
+
+def _asked_vectors(t):
+    return _vectors(t).filter(F.col("doc") % 50 == 0).withColumnRenamed("doc", "qid")
 
 
 def _near(t):
-    asked = t.benchmark.select(F.col("item_id").alias("doc")).join(_vectors(t), "doc").withColumnRenamed("doc", "qid")
-    return R.dense(asked, _vectors(t), digits=6)
+    return R.dense(_asked_vectors(t), _vectors(t), digits=6)
 
 
 @query("term_df", f"""
@@ -297,7 +315,7 @@ df as (select term, count(*) as df from (select unnest(list_distinct(terms)) as
 raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, tot), mean as (select avg(raw) as mean from raw)
 select term, cast(df as bigint) as df, round(case when raw < 0 then 0.25 * mean else raw end, 6) as idf from raw, mean""")
 def _(t):
-    return R.build_index(t.documents).frequencies.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(t).frequencies().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"with {_BM25} select qid, doc, bm25, cast(rank as int) as rank from lex")
@@ -320,10 +338,9 @@ def _(t):
     return R.top(fused, "rrf")
 
 
-@query("cosine_lsh")
+@query("cosine_codes")
 def _(t):
-    asked = t.benchmark.select(F.col("item_id").alias("doc")).join(_vectors(t), "doc").withColumnRenamed("doc", "qid")
-    return R.dense_approximate(asked, _vectors(t), 10)
+    return R.dense_approximate(_asked_vectors(t), _vectors(t), 10)
 
 
 _PHRASES = {"that": "this those", "orn": "form norm", "is": "are was", "the": "thesis an", "zzz": "never"}
@@ -683,9 +700,11 @@ def _(t):
 @query("fact_gate", f"""
 select conv_id, turn, case when trim(coalesce(a1, '')) = '' then 'empty' when len(list_filter({_NUMS.format('a1')}, lambda x: not list_contains({_NUMS.format('a0')}, x))) > 0 then 'extra_numbers'
        when len(list_filter({_NUMS.format('a0')}, lambda x: not list_contains({_NUMS.format('a1')}, x))) > 0 then 'lost_numbers'
-       when len({WORDS.format('a1')}) < 0.9 * len({WORDS.format('a0')}) then 'short' else '' end as reason from ({_PAIRS})""")
-def _(t):
-    return _pairs(t).select("conv_id", "turn", Q.fact_gate(F.col("a0"), F.col("a0"), F.col("a1"), F.col("a1")).alias("reason")).withColumn("reason", F.when(F.col("reason").startswith("question"), "").otherwise(F.col("reason")))
+       when len({WORDS.format('a1')}) < 0.9 * len({WORDS.format('a0')}) then 'short'
+       when len(list_filter({_NUMS.format('a1')}, lambda x: not list_contains({_NUMS.format('substr(a0, 1, length(a0) // 2)')}, x))) > 0 then 'question_numbers' else '' end as reason from ({_PAIRS})""")
+def _(t):  # the question is the first half of the old answer, then the new answer
+    half = F.expr("substring(a0, 1, length(a0) div 2)")
+    return _pairs(t).select("conv_id", "turn", Q.fact_gate(half, F.col("a0"), F.col("a1"), F.col("a1")).alias("reason"))
 
 
 @query("layout_gate")
