@@ -278,10 +278,16 @@ def _pairs_of_chunks(rows: DataFrame, group: str, chunks: str, node: str) -> Dat
     return rows.withColumn("block", block).withColumn("side", (F.col("_c") > F.col("_o")).cast("int")).drop("_c", "_o")
 
 
+def _repeats(reps: DataFrame) -> bool:
+    """Does a doc_id stand for more than one set? Ids that rows share are rare, and a distinct of all bands is dear."""
+    return bool(reps.groupBy("rep").count().filter("count > 1").limit(1).count())
+
+
 def _candidates(reps: DataFrame, work: Workspace, percent: int, parts: int) -> DataFrame:
     """Chains of classes (a, b) that may be linked, found in the buckets of the bands."""
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    own = [F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
+    # rows of one doc_id may have several sets in one bucket
+    banded = reps.select("rep", F.explode("bands").alias("band")) if not _repeats(reps) else reps.select("rep", F.explode("bands").alias("band")).distinct()
+    own = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"h{i}") for i in (1, 2)]
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *own).filter("n > 1")
     # many bands hold the same members: one of them will do
     buckets = work.save(buckets.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "buckets")

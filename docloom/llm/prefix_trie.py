@@ -126,9 +126,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes_of(turns: DataFrame, convs: DataFrame, work: Workspace) -> DataFrame:
     """One row for each distinct sequence of turns: rep (least conv_id), n (members), n_turns, ends_sha256 (over all members' ids).
 
-    A sequence is named by its length and two sums of 64-bit hashes of (place, turn), so that turns never meet in one task.
+    A sequence is named by its length and two exclusive ors of 64-bit hashes of (place, turn), so that turns never meet in one task.
     """
-    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "pos", "key").cast("decimal(38,0)")).alias(f"h{seed}")
+    hashed = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "pos", "key")).alias(f"h{seed}")
     named = convs.join(turns.groupBy("conv_id").agg(hashed(1), hashed(2)), "conv_id", "left")
     name = F.unhex(F.sha2(F.concat_ws(":", "n_turns", "h1", "h2"), 256))
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
