@@ -20,6 +20,7 @@ from docloom.operators import records as U
 from docloom.operators import retrieval as R
 from docloom.operators.lexical import StoredIndex, search
 from docloom.streaming import answers as S
+from docloom.streaming.kept import last_states
 from docloom.tables import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1008,3 +1009,27 @@ def _(t):
     facts = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("F"), F.col("turn")))
     prompt = P.rewrite_prompt(F.coalesce("a0", F.lit("")), F.coalesce("a1", F.lit("")), facts, n(6), n(10), n(55), n(90), F.when(F.col("conv_id") % 2 == 0, "numbers").otherwise(""))
     return _pairs(t).select("conv_id", "turn", F.md5(prompt).alias("prompt"))
+
+
+# ---- state that ends
+
+_IDLE_MS = 299_500
+
+
+@query("kept_conversations", rf"""
+with o as (select conv_id, coalesce(text, '') as text, role, 1700000000 + conv_id * 60 + turn as ts from conversations),
+l as (select conv_id, max(ts) as last_ts, cast(count(*) as bigint) as n_messages, cast(sum(len({WORDS.format('text')})) as bigint) as n_words from o group by conv_id),
+f as (select conv_id, trim(regexp_replace(arg_min(text, ts), '\s+', ' ', 'g')) as t from o where role = 'user' and trim(text) <> '' group by conv_id)
+select l.conv_id, coalesce(case when length(t) <= 38 then t else rtrim(left(t, 38)) || '…' end, '') as title, n_messages, n_words, n_messages as n_operations,
+       1000 * last_ts + {_IDLE_MS} <= (select 1000 * max(ts) from o) as expired
+from l left join f on l.conv_id = f.conv_id""")
+def _(t):
+    """The conversations as a stream of operations, a minute apart: those idle for long before the last one have ended."""
+    schema = t.conversations.schema
+
+    def stream(spark):  # the pattern matches one file as well as a folder of files
+        rows = spark.readStream.schema(schema).parquet(f"{t._dir}/conversations.parque[t]")
+        at = F.timestamp_seconds(F.lit(1700000000) + F.col("conv_id") * 60 + F.col("turn"))
+        return rows.select("conv_id", F.when(F.col("role") == "user", "submit").otherwise("finish").alias("op"), "text", at.alias("ts"))
+
+    return last_states(t._spark, stream, _IDLE_MS, Workspace(t._spark, "stream"))
