@@ -8,7 +8,7 @@ Rows of a table are fingerprinted by their field names; their text and role are
 through no parser, have no limit of length, and keep their roles as they are.
 
 Edge cases: null text or role reads as empty; a record whose fingerprint no layout declares keeps its row with
-layout null and no turns; one beyond the parser's limit of ``PARSER_LIMIT`` characters that it cannot read is an error; an empty turn list formats to an empty string; conversations with equal turn numbers
+layout null and no turns; one beyond the parser's limit of ``PARSER_LIMIT`` characters that it cannot read stays too, and its reason says so; an empty turn list formats to an empty string; conversations with equal turn numbers
 order them by role and text; a conversation is one output row, so its turns meet in one task by definition.
 """
 
@@ -144,16 +144,20 @@ def _turns(layout: Layout, record: Column) -> Column:
 
 
 def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``df`` with layout (name or null), fingerprint and turns, from the JSON text in ``record``."""
-    lost = F.raise_error(F.concat(F.lit("record too long to be read as JSON: characters "), F.length(record).cast("string")))
-    marked = F.coalesce(fingerprint(F.col(record)), F.when(F.length(record) > PARSER_LIMIT, lost))
-    df = df.drop("layout", "fingerprint", "turns").withColumn("fingerprint", marked)
+    """``df`` with layout (name or null), fingerprint, turns and reason, from the JSON text in ``record``.
+
+    ``reason`` says why a record has no layout, and is null where it has one.
+    """
+    df = df.drop("layout", "fingerprint", "turns", "reason").withColumn("fingerprint", fingerprint(F.col(record)))
     name, turns = F.lit(None).cast("string"), F.expr(f"cast(array() as {TURNS})")
     for layout in layouts:
         hit = F.col("fingerprint").isin(layout.fingerprints())
         name = F.when(hit, F.lit(layout.name)).otherwise(name)
         turns = F.when(hit, _turns(layout, F.col(record))).otherwise(turns)
-    return df.withColumn("layout", name).withColumn("turns", turns)
+    read = F.col("fingerprint").isNotNull()
+    long = F.concat(F.lit("record too long to be read as JSON: characters "), F.length(record).cast("string"))
+    unknown = F.when(read, F.lit("no layout has this fingerprint")).when(F.length(record) > PARSER_LIMIT, long).otherwise(F.lit("no JSON record"))
+    return df.withColumn("layout", name).withColumn("turns", turns).withColumn("reason", F.when(F.col("layout").isNull(), unknown))
 
 
 def escape(text: Column) -> Column:

@@ -85,6 +85,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed(F.col("bits"), BASE).alias("base_failed"), "kept")
 
 
+_RULES = {
+    "few_words": "n_words < 50", "repeated_windows": "100 * n_repeat_words > 50 * n_words", "short_words": "word_chars < 2 * n_words", "long_words": "word_chars > 20 * n_words",
+    "symbols": "10 * n_symbols > 5 * n_words", "repeated_lines": "10 * n_dup_lines > 5 * n_lines", "no_letters": "10 * n_letters < 5 * word_chars",
+}
+
+
+@_query(
+    "quality_ablations",
+    ORACLES["op7_quality"].rsplit("select doc_id, n_words, word_chars", 1)[0].rstrip()
+    + f""",
+v as (select unnest([{", ".join(f"struct_pack(rule := '{k}', f := cast({v} as int))" for k, v in _RULES.items())}]) as x, {" + ".join(f"cast({v} as int)" for v in _RULES.values())} as k from m)
+select x.rule as rule, count(*) filter (x.f = 1) as n_failed, count(*) filter (x.f = 1 and k = 1) as n_failed_alone, count(*) filter (k = x.f) as n_kept_without from v group by x.rule""",
+)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is stored once; the ablations of the current policy come from its bits alone."""
+    from docloom.llm.rules import ablations, ledger
+    from docloom.llm.store import Workspace
+
+    book = Workspace(spark, "ledger").save(ledger(_table(spark, sf_dir, "documents")), "book")
+    return ablations(book.select("bits"))
+
+
 _ESCAPED = r"length(replace(replace({}, '\', '\\'), '<|', '<\|'))"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm.store import Workspace
 
 SEED = 20_240_607
-#: Bytes of text of a bucket, about, and the cells of a shard that buckets are made of.
+#: Bytes of text of a bucket, about, and the least cells of a shard that buckets are made of.
 BUCKET_BYTES = 8 << 20
 CELLS = 1 << 14
 OUTPUTS = ("shard", "slot", "grown_shard", "bucket")
@@ -58,14 +58,18 @@ def external_shuffle(
     work = Workspace(spark, "shards")
     df = df.drop(*OUTPUTS)
 
-    def celled(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("shard", shard_of(key, n_shards, seed)).withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(CELLS)).cast("int"))
+    def celled(rows: DataFrame, n_cells: int) -> DataFrame:
+        return rows.withColumn("shard", shard_of(key, n_shards, seed)).withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(n_cells)))
 
-    sized = celled(df.select(key, text)).withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
-    cells = work.save(sized.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_bytes")), "cells")
-    total = cells.agg(F.sum("_bytes")).first()[0] or 0
-    per_shard = min(CELLS, max(1, math.ceil(total / n_shards / bucket_bytes)))
-    bucket = F.col("shard") * F.lit(per_shard) + F.floor(F.col("_cell") * F.lit(float(per_shard)) / F.lit(float(CELLS))).cast("int")
+    # cells grow with the bytes: where there are more buckets than cells, they are counted again, finer
+    n_cells, per_shard = 0, CELLS
+    while per_shard > n_cells:
+        n_cells = CELLS if not n_cells else 1 << (4 * per_shard - 1).bit_length()
+        sized = celled(df.select(key, text), n_cells).withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
+        cells = work.save(sized.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_bytes")), f"cells{n_cells}")
+        total = cells.agg(F.sum("_bytes")).first()[0] or 0
+        per_shard = max(1, math.ceil(total / n_shards / bucket_bytes))
+    bucket = F.col("shard") * F.lit(per_shard) + F.floor(F.col("_cell") * F.lit(float(per_shard)) / F.lit(float(n_cells))).cast("int")
 
     # The permutations: one row for each bucket, in a fixed place and order, so that a task run again draws the same.
     sizes = cells.withColumn("bucket", bucket).groupBy("shard", "bucket").agg(F.sum("_n").alias("_n"))
@@ -80,7 +84,7 @@ def external_shuffle(
 
     # both sides are dealt alike by bucket, to a stated number of tasks, so the records move once
     in_bucket = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 2), F.col(key)), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    scattered = celled(df).withColumn("bucket", bucket).drop("_cell").repartition(places, "bucket")
+    scattered = celled(df, n_cells).withColumn("bucket", bucket).drop("_cell").repartition(places, "bucket")
     numbered = scattered.withColumn("_rn", F.row_number().over(in_bucket))
     return (
         numbered.join(orders.hint("merge"), F.col("bucket") == F.col("_bucket"))

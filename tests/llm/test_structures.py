@@ -240,17 +240,29 @@ def test_ids_of_a_class_come_in_chunks():
         assert (got[x]["rep"], got[x]["n"], got[x]["ends_sha256"]) == (own[0], len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest())
 
 
-@pytest.mark.parametrize("name", ["op11_centroids", "op13_trie"])
+@pytest.mark.parametrize("name", ["op11_centroids", "op13_trie", "quality_ablations"])
 def test_new_queries_equal_sql(spark, sf, name):
     import duckdb
 
     from docloom.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = QUERIES[name](spark, sf)
     want = con.sql(ORACLES[name])
     assert set(got.columns) == set(want.columns)
     cell = lambda x: None if x is None else str(x)
     assert sorted(tuple(map(cell, r)) for r in got.select(*want.columns).collect()) and sorted(tuple(cell(v) or "" for v in r) for r in got.select(*want.columns).collect()) == sorted(tuple(cell(v) or "" for v in r) for r in want.fetchall())
+
+
+def test_cells_grow_with_the_bytes(spark, docs, monkeypatch):
+    """More buckets than cells at first: none is larger than one cell's rows, and all rows keep their gapless places."""
+    from docloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "CELLS", 2)
+    out = sharding.external_shuffle(docs, n_shards=2, bucket_bytes=2000).select("doc_id", "shard", "slot", "bucket").collect()
+    assert len(out) == docs.count() and len({r.bucket for r in out}) > 2 * 2
+    for s in (0, 1):
+        slots = sorted(r.slot for r in out if r.shard == s)
+        assert slots == list(range(len(slots)))
