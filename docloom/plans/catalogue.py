@@ -19,6 +19,7 @@ from docloom.operators import lines as N
 from docloom.operators import records as U
 from docloom.operators import retrieval as R
 from docloom.operators.lexical import StoredIndex, search
+from docloom.sources import folder
 from docloom.streaming import answers as S
 from docloom.streaming.kept import last_states
 from docloom.tables import Workspace
@@ -1033,3 +1034,20 @@ def _(t):
         return rows.select("conv_id", F.when(F.col("role") == "user", "submit").otherwise("finish").alias("op"), "text", at.alias("ts"))
 
     return last_states(t._spark, stream, _IDLE_MS, Workspace(t._spark, "stream"))
+
+
+# ---- files
+
+@query("folder_documents", "select lang, doc_id, md5(coalesce(text, '')) as text, cast(strlen(coalesce(text, '')) as bigint) as n_bytes from documents")
+def _(t):
+    """The documents as files of JSON lines, a folder for each language, read back as files."""
+    work = Workspace(t._spark, "files")
+    path = f"{work.root}/documents"
+    t.documents.select("doc_id", "lang", "text").write.partitionBy("lang").json(path)
+    folder.register(t._spark)
+    files = t._spark.read.format("docfolder").option("exts", "json").load(path)
+    lines = files.select("path", F.explode(F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: x != "")).alias("line"))
+    field = lambda c: F.get_json_object("line", f"$.{c}")
+    text = F.coalesce(field("text"), F.lit(""))
+    lang = F.url_decode(F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    return lines.select(lang.alias("lang"), field("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
