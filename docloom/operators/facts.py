@@ -57,6 +57,8 @@ CATALOGUE = "Các ngành hiện CÓ kế hoạch đào tạo trong kho dữ li
 NOTHING_ELSE = "\n\nNgoài các ngành trên, kho dữ liệu KHÔNG có kế hoạch đào tạo của ngành nào khác."
 # ---- end of fixed values ----
 LEAST_NAME = 8
+#: Letters by which a name is looked up.
+PREFIXES = (1, 2, 4, 8, 16)
 
 
 def semester_of(question: Column) -> Column:
@@ -74,7 +76,7 @@ def program_label(name: Column, track: Column) -> Column:
 def match_programs(questions: DataFrame, programs: DataFrame) -> DataFrame:
     """qid, source of the programmes whose folded name or track the question holds; the longest names only.
 
-    A question has few words, so its runs of words are looked up by equality: no pairs of all questions and names.
+    Names are looked up by their first letters: no pairs of all questions and names.
     """
     names = programs.select("source", F.explode(F.array("nganh", "chuyen_nganh")).alias("n")).select("source", X.fold_name(F.col("n")).alias("key")).filter("key <> ''")
     return _longest(_held(questions, names, X.fold_name), ["qid", "source"])
@@ -89,16 +91,21 @@ def match_courses(questions: DataFrame, courses: DataFrame) -> DataFrame:
 
 
 def _held(questions: DataFrame, names: DataFrame, fold) -> DataFrame:
-    """qid and the rows of ``names`` whose key stands in the folded question, at any letter.
+    """qid and the rows of ``names`` whose key stands in the folded question, at any letter; each once for a question.
 
-    Keys of up to six letters' suffix of a word count too, as for a plain substring test: the question's substrings that
-    begin anywhere and have a length that some key has are exploded, bounded by question length times key lengths.
+    A key is looked up by its first 1, 2, 4, 8 or 16 letters, as many as it has, and then compared whole with what the
+    question has there. So a question of n letters gives at most 5 n rows, however many keys and lengths there are.
     """
-    lengths = F.array_sort(F.collect_set(F.length("key")))
-    sizes = names.agg(lengths.alias("sizes"))
-    q = questions.select("qid", fold(F.col("text")).alias("_q")).crossJoin(F.broadcast(sizes))
-    runs = F.flatten(F.transform("sizes", lambda n: F.when(F.length("_q") >= n, F.transform(F.sequence(F.lit(1), F.length("_q") - n + 1), lambda i: F.substring(F.col("_q"), i, n))).otherwise(F.expr("cast(array() as array<string>)"))))
-    return q.select("qid", F.explode(F.array_distinct(runs)).alias("key")).join(names, "key")
+    longest = names.agg(F.max(F.length("key")).alias("_longest"))
+    q = questions.select("qid", fold(F.col("text")).alias("_q")).filter("_q <> ''").crossJoin(F.broadcast(longest)).filter("_longest > 0")
+    starts = F.transform(F.sequence(F.lit(1), F.length("_q")), lambda i: F.substring(F.col("_q"), i, F.col("_longest")))
+    found = q.select("qid", F.explode(F.array_distinct(starts)).alias("_at"))
+    found = found.select("qid", "_at", F.explode(F.array(*map(F.lit, PREFIXES))).alias("_n")).filter(F.length("_at") >= F.col("_n")).select("qid", "_at", F.left("_at", F.col("_n")).alias("_head"))
+    size = F.lit(PREFIXES[0])
+    for n in PREFIXES[1:]:
+        size = F.when(F.length("key") >= n, n).otherwise(size)
+    keyed = names.filter("key <> ''").withColumn("_head", F.left("key", size))
+    return found.join(keyed, "_head").filter(F.startswith("_at", "key")).select("qid", *names.columns).distinct()
 
 
 def _longest(hits: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -451,19 +452,26 @@ def _(t):
     return users.groupBy("conv_id").agg(X.first_title(F.min_by("text", "turn")).alias("title"))
 
 
-_REPLIES = (
-    ("### Điều 3, Quy định A\nx\n\n### Điều 5, Quy định B\ny", "Theo Điều 3 của Quy định B thì thế."),
-    ("### Điều 3, Quy định A\nx\n\n### Điều 3, Quy định B\ny", "Theo Điều 3 của Quy định C thì thế."),
-    ("### Điều 7, Quy định A mở rộng\nx\n\n### Điều 8, Quy định A\ny", "Xem Quy định A (Điều 7). Còn Điều 8 của Quy định A mở rộng."),
-    ("### Điều 1, Quy định A\nx", "Tài liệu không đề cập nội dung này."),
-)
+_RULES = ("Quy định đào tạo", "Quy định học phí", "Quy chế thi (sửa đổi)")
+_RULE = "case ({0}) % 3 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(_RULES)) + " end"
 
 
-@query("citation_repair", "select * from (values (0, 'Theo Điều 3 của Quy định A thì thế.', false), (1, 'Theo Điều 3 của Quy định C thì thế.', false), (2, 'Xem Quy định A mở rộng (Điều 7). Còn Điều 8 của Quy định A.', false), (3, 'Tài liệu không đề cập nội dung này.', true)) v(i, reply, refuses)")
+@query("citation_repair", f"""
+with o as (select o_orderkey as k, o_orderkey % 5 + 1 as a1, o_custkey % 5 + 1 as a2, {_RULE.format('o_custkey')} as t1, {_RULE.format('o_orderkey // 5')} as t2, {_RULE.format('o_custkey + o_orderkey')} as said, o_custkey % 2 = 1 as odd from orders where o_custkey is not null),
+m as (select *, said in (t1, t2) and not (a1 = a2 and t1 <> t2) as mends from o)
+select k as o_orderkey, case k % 4 when 0 then 'Theo Điều ' || a1 || ' của ' || case when mends then t1 else said end || ' thì thế.' when 1 then 'Xem ' || case when mends then t2 else said end || ' (Điều ' || a2 || ').'
+    when 2 then 'Theo Điều 9 của ' || said || ' thì thế.' else 'Tài liệu không đề cập nội dung này.' || case when odd then ' Xem ' || said else '' end end as reply, k % 4 = 3 and not (odd and said in (t1, t2)) as refuses
+from m""")
 def _(t):
-    rows = t._spark.createDataFrame([(i, *r) for i, r in enumerate(_REPLIES)], "i int, context string, reply string")
-    owned = rows.withColumn("owners", C.citation_owners(F.col("context")))
-    return owned.select("i", C.repair_citations(F.col("reply"), F.col("owners")).alias("reply"), C.is_refusal(F.col("reply"), F.col("owners")).alias("refuses"))
+    """A reply for each order, beside two headings of its context: the title it names holds the article, another article, or is unknown."""
+    rule = lambda n: F.element_at(F.array(*map(F.lit, _RULES)), (n % 3 + 1).cast("int"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    a1, a2, t1, t2, said = k % 5 + 1, c % 5 + 1, rule(c), rule(F.floor(k / 5)), rule(c + k)
+    context = F.concat(F.lit("### Điều "), a1, F.lit(", "), t1, F.lit("\nx\n\n### Điều "), a2, F.lit(", "), t2, F.lit("\ny"))
+    reply = F.when(k % 4 == 0, F.concat(F.lit("Theo Điều "), a1, F.lit(" của "), said, F.lit(" thì thế."))).when(k % 4 == 1, F.concat(F.lit("Xem "), said, F.lit(" (Điều "), a2, F.lit(").")))
+    reply = reply.when(k % 4 == 2, F.concat(F.lit("Theo Điều 9 của "), said, F.lit(" thì thế."))).otherwise(F.concat(F.lit("Tài liệu không đề cập nội dung này."), F.when(c % 2 == 1, F.concat(F.lit(" Xem "), said)).otherwise("")))
+    owned = t.orders.filter("o_custkey is not null").select("o_orderkey", reply.alias("reply"), C.citation_owners(context).alias("owners"))
+    return owned.select("o_orderkey", C.repair_citations(F.col("reply"), F.col("owners")).alias("reply"), C.is_refusal(F.col("reply"), F.col("owners")).alias("refuses"))
 
 
 # ---- analytics: an order is a programme, a month a semester, a part a course
@@ -744,66 +752,172 @@ def _(t):
     return made.select("id", F.posexplode("messages").alias("pos", "m")).select("id", "pos", "m.role", "m.content")
 
 
-_FORM = ("ignored", "Câu 1", "Chủ đề: A", "Câu hỏi: What", "is it?", "____", "Đáp án:", "It is", "this.", "Tài liệu tham khảo: x", "y", "Câu 2", "Câu hỏi: no answer", "CÂU 3", "chủ  đề: B", "stray", "câu hỏi: Q3", "đáp án: A3")
-
-
-@query("form_parse", "select * from (values (1, 'A', 'What is it?', 'It is this.', 'x | y'), (3, 'B', 'Q3', 'A3', '')) v(item, category, question, answer, source)")
+@query("form_parse", """
+with o as (select o_custkey, o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as item from orders)
+select o_custkey, item, case when o_orderkey % 7 > 0 then o_orderpriority else '' end as category, o_orderstatus || ' ' || o_orderkey || ' is it?' as question, cast(cast(floor(o_totalprice) as bigint) as varchar) || '.' as answer, case when o_orderkey % 3 > 0 then o_orderpriority || ' | y' || o_orderkey else '' end as source
+from o where o_orderkey % 5 > 0""")
 def _(t):
-    rows = t._spark.createDataFrame(list(enumerate(_FORM)), "ord int, line string")
-    return N.parse_form(rows).withColumn("item", F.col("item").cast("int"))
-
-
-# ---- records and facts, over a small stated plan
-
-_PLAN = (
-    ("p1", 0, "para", 0, ["KHOÁ 50"]), ("p1", 1, "row", 0, ["Ngành: Kỹ thuật nhiệt", "Ngành: Kỹ thuật nhiệt", "Chuyên ngành: Điện lạnh"]), ("p1", 2, "para", 0, ["Học kỳ 1"]),
-    ("p1", 3, "row", 1, ["TT", "Mã HP", "Tên học phần", "Số tín chỉ", "HPTQ", "KTĐG"]), ("p1", 4, "row", 1, ["Bắt buộc", "5", ""]),
-    ("p1", 5, "row", 1, ["1", "01001", "Toán cao cấp", "3(2,1,5)", "", "TN"]), ("p1", 6, "row", 1, ["2", "01002", "Kỹ thuật nhiệt", "2,5", "01001", "TL"]),
-    ("p1", 7, "row", 1, ["", "Tự chọn", "2", ""]), ("p1", 8, "row", 1, ["3.1", "01003", "Vẽ kỹ thuật", "2", "", ""]), ("p1", 9, "row", 1, ["3.2", "01004", "Hóa học đại cương", "2", "", ""]),
-    ("p1", 10, "row", 1, ["Tổng", "7"]), ("p1", 11, "row", 1, ["Học kỳ 2:"]), ("p1", 12, "row", 1, ["Bắt buộc", "4"]), ("p1", 13, "row", 1, ["2.1", "Chuyên ngành lạnh", "4"]),
-    ("p1", 14, "row", 1, ["1", "01005", "Máy lạnh", "4", "", "TN"]), ("p1", 15, "row", 1, ["2.2", "Chuyên ngành nhiệt", "4"]), ("p1", 16, "row", 1, ["2", "01006", "Lò hơi", "4", "", "TN"]),
-    ("p1", 17, "row", 1, ["Dành cho hệ đào tạo kỹ sư", "6"]), ("p1", 18, "row", 1, ["3", "01007", "Đồ án", "6", "", ""]), ("p1", 19, "row", 1, ["Tổng: Cử nhân/Kỹ sư", "4/10"]),
-    ("p2", 0, "row", 0, ["Khoá học", "Ngành: Công nghệ KT ô tô"]), ("p2", 1, "para", 0, ["Học kỳ 1"]), ("p2", 2, "row", 1, ["Bắt buộc", "2"]), ("p2", 3, "row", 1, ["1", "01001", "Toán cao cấp", "3", "", "TN"]),
-)
-_ASKED = ("Ngành kỹ thuật nhiệt học kỳ 1 học những gì?", "Môn kỹ thuật nhiệt mấy tín chỉ?", "chương trình đào tạo có những ngành nào", "Học kỳ 2 năm 1 ngành kỹ thuật nhiệt", "Hôm nay trời đẹp", "ngành Công nghệ kỹ thuật ô tô bao nhiêu tín chỉ")
-
-
-def plan_rows(spark):
-    return spark.createDataFrame(list(_PLAN), "source string, ord int, kind string, table int, cells array<string>")
-
-
-def plan_tables(spark):
-    # a few rows that many joins read: kept once made
-    rows = plan_rows(spark).coalesce(1)
-    courses, totals = U.course_records(rows).cache(), U.semester_totals(rows).cache()
-    return rows, courses, totals, U.metadata(rows).join(U.programs(rows), "source").cache()
-
-
-@query("course_records", """
-select * replace (cast(credits as double) as credits) from (values ('p1', 1, '01001', 'Bắt buộc', '', '', 3.0), ('p1', 1, '01002', 'Bắt buộc', '', '', 2.5), ('p1', 1, '01003', 'Tự chọn', '', '', 2.0), ('p1', 1, '01004', 'Tự chọn', '', '', 2.0),
- ('p1', 2, '01005', 'Định hướng chuyên ngành', 'Chuyên ngành lạnh', '', 4.0), ('p1', 2, '01006', 'Định hướng chuyên ngành', 'Chuyên ngành nhiệt', '', 4.0),
- ('p1', 2, '01007', 'Định hướng chuyên ngành', '', 'Kỹ sư', 6.0), ('p2', 1, '01001', 'Bắt buộc', '', '', 3.0)) v(source, semester, code, "group", track, system, credits)""")
-def _(t):
-    return plan_tables(t._spark)[1].select("source", "semester", "code", "group", "track", "system", "credits")
+    """Each customer has a form with an item for each order; some items lack a category, a source or an answer, and go then."""
+    k = F.col("o_orderkey")
+    label = lambda name, value: F.concat(F.lit(name), value)
+    lines = F.array(
+        F.lit("Câu 1"), F.when(k % 7 > 0, label("Chủ đề: ", F.col("o_orderpriority"))), F.when(k % 2 == 0, F.lit("____")), label("câu  hỏi: ", F.col("o_orderstatus")), F.concat(k, F.lit(" is it?")), F.lit("  "),
+        F.lit("Đáp án:"), F.when(k % 5 > 0, F.concat(F.floor("o_totalprice"), F.lit("."))), F.when(k % 3 > 0, label("Tài liệu tham khảo: ", F.col("o_orderpriority"))), F.when(k % 3 > 0, F.concat(F.lit("y"), k)),
+    )
+    rows = t.orders.select("o_custkey", k, F.posexplode(F.array_compact(lines)).alias("i", "line")).withColumn("ord", F.struct("o_orderkey", "i"))
+    return N.parse_form(rows, form="o_custkey")
+
+
+# ---- records and facts: a plan's paragraphs and rows are made from the tables, the SQL reads the tables themselves
+
+
+def _plan_of(courses, programs):
+    """Plan rows (source, ord, kind, table, cells) of courses and programmes.
+
+    courses: source, semester, section (0 required, 1 elective, 2 to 4 tracks, 5 engineers only), n, code, name, credits,
+    requires, assessment, rule (of the last row: 0 a total, 1 one for each system, 2 none), excess (declared beyond what is
+    listed); programs: source, nganh, chuyen_nganh, khoa, year. Places are numbers made from semester, section and n.
+    """
+    at = lambda section, n: (F.col("semester") * 1_000_000 + section * 100_000 + n).cast("long").alias("ord")
+    amount = lambda c: F.translate(c.cast("decimal(18,1)").cast("string"), ".", ",")
+    row = lambda *cells: F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells]).alias("cells")
+    kind, table = F.lit("row").alias("kind"), F.lit(9).alias("table")
+    section = F.col("section")
+    listed = courses.select("source", at(section + 1, F.col("n") + 1), kind, table, row(F.col("n").cast("string"), F.col("code"), F.col("name"), amount(F.col("credits")), F.col("requires"), F.col("assessment")))
+    sums = courses.groupBy("source", "semester", "section").agg(F.sum("credits").alias("credits"), F.max("rule").alias("rule"), F.max("excess").alias("excess"))
+    opens = F.when(section == 0, row(U.REQUIRED, amount(F.col("credits") + F.col("excess")), "")).when(section == 1, row("", U.ELECTIVE, amount(F.col("credits")), ""))
+    opens = opens.when(section == 5, row("Dành cho hệ đào tạo kỹ sư", amount(F.col("credits")))).otherwise(row(F.concat(F.lit("2."), section), F.concat(F.lit("Chuyên ngành T"), section - 2), amount(F.col("credits"))))
+    headed = sums.select("source", at(section + 1, F.lit(0)), kind, table, opens.alias("cells"))
+    whole = sums.groupBy("source", "semester").agg(F.sum("credits").alias("all"), F.coalesce(F.sum(F.when(section == 5, F.col("credits"))), F.lit(0.0)).alias("eng"), F.max("rule").alias("rule"))
+    closes = F.when(F.col("rule") == 0, row("Tổng", amount(F.col("all")))).when(F.col("rule") == 1, row("Tổng: Cử nhân/Kỹ sư", F.concat(amount(F.col("all") - F.col("eng")), F.lit("/"), amount(F.col("all")))))
+    header = ("TT", "Mã HP", "Tên học phần", "Số tín chỉ", "HPTQ", "KTĐG")
+    part = lambda n, k, cells: F.struct(F.lit(n).alias("n"), F.lit(k).alias("kind"), cells.alias("cells"))
+    around = F.array(part(0, "para", row(F.concat(F.lit("Học kỳ "), F.col("semester")))), part(1, "row", row(*header)), part(900_000, "row", closes))
+    framed = whole.select("source", "semester", F.explode(F.filter(around, lambda r: r["cells"].isNotNull())).alias("r")).select("source", at(F.lit(0), F.col("r.n")), "r.kind", table, "r.cells")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    about = row(F.concat(F.lit("Ngành: "), text("nganh")), F.concat(F.lit("Chuyên ngành: "), text("chuyen_nganh")), F.concat(F.lit("Khoa: "), text("khoa")), "Loại hình đào tạo: Chính quy")
+    titles = programs.select("source", F.lit(1).cast("long").alias("ord"), kind, F.lit(0).alias("table"), about)
+    cohort = programs.select("source", F.lit(0).cast("long").alias("ord"), F.lit("para").alias("kind"), F.lit(9).alias("table"), row(F.coalesce(F.concat(F.lit("KHOÁ "), F.col("year")), F.lit(""))))
+    return reduce(DataFrame.unionByName, [listed, headed, framed, titles, cohort])
+
+
+def _plan_sql(courses: str) -> str:
+    """What a reader of such plans should find: courses with their group, track and system; totals by semester."""
+    return f"""
+c0 as ({courses}),
+g as (select source, semester, bool_or(section between 2 and 4) as has_t, bool_or(section = 1) as has_e, sum(credits) filter (section = 0) as req, sum(credits) filter (section = 1) as ele, sum(credits) as whole,
+  coalesce(sum(credits) filter (section = 5), 0.0) as eng, max(rule) as rule, max(excess) as excess from c0 group by source, semester),
+c as (select c0.*, case when section = 0 then 'Bắt buộc' when section = 1 then 'Tự chọn' when section < 5 or has_t then 'Định hướng chuyên ngành' when has_e then 'Tự chọn' else 'Bắt buộc' end as grp,
+  case when section between 2 and 4 then 'Chuyên ngành T' || (section - 2) else '' end as track, case when section = 5 then 'Kỹ sư' else '' end as system from c0 join g on c0.source = g.source and c0.semester = g.semester),
+tot as (select source, semester, cast(case rule when 0 then whole when 1 then whole - eng else coalesce(req + excess, 0) + coalesce(ele, 0) end as double) as total, cast(case when rule = 1 then whole end as double) as total_engineer,
+  ele as elective, req is not null and excess > 0 as mismatch from g),
+prog as (select source, count(*) as n_semesters, sum(total) as total_credits, sum(coalesce(total_engineer, total)) as total_credits_engineer, bool_or(total_engineer is not null) as two_systems, count(*) filter (mismatch) as n_mismatch from tot group by source)"""
+
+
+_ORDER_PLAN = """select l_orderkey as source, cast(month(l_shipdate) % 3 + 1 as int) as semester, cast(case when l_suppkey % 4 = 0 then 5 when l_returnflag = 'N' then 0 when l_returnflag = 'R' then 2 + l_partkey % 3 else 1 end as int) as section,
+  l_linenumber as n, 'HP' || l_partkey as code, 'P' || l_partkey as name, l_quantity / 2 as credits, case when l_linestatus = 'F' then 'HP' || l_suppkey else '' end as requires, case when l_partkey % 2 = 0 then 'TN' else 'TL' end as assessment,
+  l_orderkey % 3 as rule, case when l_orderkey % 5 = 0 then 1.0 else 0.0 end as excess from lineitem where l_shipdate is not null and l_quantity is not null"""
+
+
+def _order_plan(t):
+    part, order = F.col("l_partkey"), F.col("l_orderkey")
+    section = F.when(F.col("l_suppkey") % 4 == 0, F.lit(5)).when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", (2 + part % 3).cast("int")).otherwise(1)
+    courses = t.lineitem.filter("l_shipdate is not null and l_quantity is not null").select(
+        order.alias("source"), (F.month("l_shipdate") % 3 + 1).alias("semester"), section.alias("section"), F.col("l_linenumber").alias("n"), F.concat(F.lit("HP"), part).alias("code"), F.concat(F.lit("P"), part).alias("name"),
+        (F.col("l_quantity") / 2).alias("credits"), F.when(F.col("l_linestatus") == "F", F.concat(F.lit("HP"), F.col("l_suppkey"))).otherwise("").alias("requires"), F.when(part % 2 == 0, "TN").otherwise("TL").alias("assessment"),
+        (order % 3).alias("rule"), F.when(order % 5 == 0, 1.0).otherwise(0.0).alias("excess"),
+    )
+    programs = t.orders.select(F.col("o_orderkey").alias("source"), F.col("o_orderpriority").alias("nganh"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("C"), F.col("o_custkey"))).alias("chuyen_nganh"), F.col("o_orderstatus").alias("khoa"), F.year("o_orderdate").alias("year"))
+    return _plan_of(courses, programs)
 
 
-@query("program_rollup", """
-select * replace (cast(total_credits as double) as total_credits, cast(total_credits_engineer as double) as total_credits_engineer) from (values ('p1', 2, 11.0, 17.0, true, 7, 'Kỹ thuật nhiệt', 'Điện lạnh', 'K50', 2), ('p2', 1, 2.0, 2.0, false, 1, 'Công nghệ KT ô tô', '', null, 1))
- v(source, n_semesters, total_credits, total_credits_engineer, two_systems, n_courses, nganh, chuyen_nganh, khoa_hoc, n_mismatch)""")
+@query("course_records", f"""with {_plan_sql(_ORDER_PLAN)} select source, semester, code, name, grp as "group", track, system, credits, requires, assessment from c""")
 def _(t):
-    p = plan_tables(t._spark)[3]
-    return p.select("source", F.col("n_semesters").cast("int").alias("n_semesters"), "total_credits", "total_credits_engineer", "two_systems", F.col("n_courses").cast("int").alias("n_courses"), "nganh", "chuyen_nganh", "khoa_hoc", F.size(F.filter("semesters", lambda s: s["mismatch"])).alias("n_mismatch"))
+    return U.course_records(_order_plan(t)).select("source", "semester", "code", "name", "group", "track", "system", "credits", "requires", "assessment")
 
 
-@query("semester_resolution", "select * from (values (0, 1), (1, null), (2, null), (3, 2), (4, null), (5, null)) v(qid, semester)")
+@query("program_rollup", f"""
+with {_plan_sql(_ORDER_PLAN)}, n as (select source, count(*) as n_courses from c group by source)
+select prog.*, n_courses, coalesce(o_orderpriority, '') as nganh, case when o_custkey % 3 > 0 then 'C' || o_custkey else '' end as chuyen_nganh, coalesce(o_orderstatus, '') as khoa, 'K' || year(o_orderdate) as khoa_hoc
+from prog join n on prog.source = n.source left join orders on o_orderkey = prog.source""")
 def _(t):
-    return t._spark.createDataFrame(list(enumerate(_ASKED)), "qid int, text string").select("qid", L.semester_of(F.col("text")).alias("semester"))
+    rows = _order_plan(t)
+    p = U.metadata(rows).join(U.programs(rows), "source")
+    return p.select("source", "n_semesters", "total_credits", "total_credits_engineer", "two_systems", F.size(F.filter("semesters", lambda s: s["mismatch"])).cast("long").alias("n_mismatch"), "n_courses", "nganh", "chuyen_nganh", "khoa", "khoa_hoc")
 
 
-@query("program_facts")
+@query("semester_resolution", """
+with o as (select o_orderkey, o_custkey % 9 + 1 as k, month(o_orderdate) % 4 + 1 as y from orders)
+select o_orderkey, cast(case o_orderkey % 5 when 0 then case when k <= 2 then (y - 1) * 2 + k else k end when 1 then k when 4 then case when k <= 2 then (y - 1) * 2 + k else k end end as int) as semester from o""")
 def _(t):
-    _, courses, totals, programs = plan_tables(t._spark)
-    return L.facts(t._spark.createDataFrame(list(enumerate(_ASKED)), "qid int, text string"), programs, courses, totals)
+    k, y = F.col("o_custkey") % 9 + 1, F.month("o_orderdate") % 4 + 1
+    asked = F.array(
+        F.concat(F.lit("Học kỳ "), k, F.lit(" năm "), y, F.lit(" ngành nhiệt")), F.concat(F.lit("HỌC  KỲ "), k, F.lit(" học những gì?")), F.concat(F.lit("năm thứ "), y, F.lit(" học gì")), F.lit("Hôm nay trời đẹp"),
+        F.concat(F.lit("Năm thứ "), y, F.lit(", hoc ky"), k),
+    )
+    return t.orders.select("o_orderkey", L.semester_of(F.element_at(asked, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("semester"))
+
+
+_BRAND_PLAN = """select p_brand as source, cast(min(p_size) % 4 + 1 as int) as semester, cast(min(p_partkey) % 6 as int) as section, cast(min(p_partkey) as int) as n, 'HP' || min(p_partkey) as code, p_name as name, (count(*) % 8 + 1) / 2.0::double as credits,
+  case when min(p_size) % 2 = 0 then 'HP1' else '' end as requires, case when min(p_size) % 3 = 0 then 'TL' else '' end as assessment, cast(right(p_brand, 1) as int) % 3 as rule, 0.0 as excess
+  from lineitem join part on l_partkey = p_partkey where p_brand is not null and p_name is not null group by p_brand, p_name"""
+
+
+def _brand_plan(t):
+    """A brand is a programme, a name of its parts a course, with credits by the lines sold."""
+    sold = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).filter("p_brand is not null and p_name is not null")
+    size, part = F.min("p_size"), F.min("p_partkey")
+    courses = sold.groupBy(F.col("p_brand").alias("source"), F.col("p_name").alias("name")).agg(
+        (size % 4 + 1).alias("semester"), (part % 6).cast("int").alias("section"), part.cast("int").alias("n"), F.concat(F.lit("HP"), part).alias("code"), ((F.count(F.lit(1)) % 8 + 1) / 2).alias("credits"),
+        F.when(size % 2 == 0, "HP1").otherwise("").alias("requires"), F.when(size % 3 == 0, "TL").otherwise("").alias("assessment"), F.lit(0.0).alias("excess"),
+    ).withColumn("rule", F.right("source", F.lit(1)).cast("int") % 3)
+    programs = t.part.filter("p_brand is not null").groupBy(F.col("p_brand").alias("source")).agg(F.first("p_brand").alias("nganh"), F.lit("").alias("chuyen_nganh"), F.lit("").alias("khoa"), F.lit(50).alias("year"))
+    return _plan_of(courses, programs)
+
+
+def _short(x: str) -> str:
+    return rf"regexp_replace(cast({x} as varchar), '\.0$', '')"
+
+
+_FOLDED = r"trim(regexp_replace(replace(strip_accents(lower({0})), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
+_EXTRA = "case when assessment <> '' then ', đánh giá: ' || assessment else '' end || case when requires <> '' then ', {0}tiên quyết: ' || requires else '' end"
+_PART_ASKS = """case p_partkey % 5 when 0 then 'Ngành ' || p_brand || ' học kỳ ' || (p_size % 6 + 1) || ' học những gì?' when 1 then 'Môn ' || p_name || ' mấy tín chỉ?' when 2 then 'Ngành ' || p_brand || ' bao nhiêu tín chỉ'
+  when 3 then 'Hôm nay ' || p_name || ' đẹp' else case when p_size = 1 then 'chương trình đào tạo có những ngành nào' else 'Trong khung chương trình có ' || p_name || 's không' end end"""
+
+
+@query("program_facts", f"""
+with {_plan_sql(_BRAND_PLAN)},
+q as (select p_partkey as qid, p_partkey % 5 as form, p_size % 6 + 1 as sem, {_FOLDED.format(_PART_ASKS)} as q from part where p_brand is not null and p_name is not null and p_size is not null),
+hp as (select qid, source from q join prog on contains(q, {_FOLDED.format('source')}) qualify rank() over (partition by qid order by length({_FOLDED.format('source')}) desc) = 1),
+names as (select distinct name, {_FOLDED.format('name')} as key from c where length({_FOLDED.format('name')}) >= 8),
+held as (select qid, name, key from q join names on contains(q, key) where q.form <> 3), hc as (select h.qid, c.*, h.key, (semester * 1000000 + (section + 1) * 100000 + n + 1) as ord from held h join c on c.name = h.name),
+bc as (select qid, arg_max(key, length(key) * 1000000000000 - ord) as key from hc group by qid), hcb as (select hc.* from hc join bc on hc.qid = bc.qid and hc.key = bc.key),
+each_ as (select source, string_agg('học kỳ ' || semester || ': ' || {_short('total')}, '; ' order by semester) as e from tot group by source),
+of_course as (select qid, 'Học phần "' || arg_min(name, source) || '" có trong các chương trình sau:' || chr(10) || string_agg('- ' || source || ': học kỳ ' || semester || ', ' || {_short('credits')} || ' tín chỉ (' || replace(cast(credits as varchar), '.', ',') || '), ' || lower(grp) || ', mã ' || code || {_EXTRA.format('')}, chr(10) order by source, ord) as facts
+  from hcb where qid not in (select qid from hp) group by qid),
+list_ as (select source, semester, string_agg('- ' || name || ' (mã ' || code || ', ' || {_short('credits')} || ' tín chỉ, ' || lower(grp) || {_EXTRA.format('học phần ')} || ')', chr(10) order by section, n) as l,
+  list_sort(list(distinct track) filter (track <> '')) as tr, bool_or(system <> '') as sy, coalesce(sum(credits) filter (grp = 'Tự chọn'), 0.0) as e from c group by source, semester),
+note_ as (select list_.*, concat_ws(' ', case when len(tr) > 1 then 'Học kỳ này có ' || len(tr) || ' định hướng chuyên ngành LOẠI TRỪ NHAU (' || array_to_string(tr, '; ') || ') — sinh viên chỉ học MỘT định hướng, không cộng gộp cả hai.' end,
+  case when sy then 'Một số học phần chỉ dành cho hệ Kỹ sư.' end, case when elective > 0 and e > elective then 'Nhóm tự chọn liệt kê ' || {_short('e')} || ' tín chỉ nhưng chỉ cần tích lũy ' || {_short('elective')} || ' tín chỉ.' end,
+  case when total > 0 then 'Vì vậy tổng tín chỉ THỰC PHẢI HỌC của học kỳ này là ' || {_short('total')} || ', KHÔNG phải tổng cộng của mọi học phần liệt kê.' end) as note from list_ join tot on list_.source = tot.source and list_.semester = tot.semester),
+of_program as (select q.qid, 'Chương trình: ' || p.source || ' (khoá K50, khoa ?, Chính quy)' || chr(10) || 'Tổng khối lượng toàn khoá: ' || {_short('total_credits')} || ' tín chỉ'
+    || case when two_systems then ' đối với hệ cử nhân, ' || {_short('total_credits_engineer')} || ' tín chỉ đối với hệ kỹ sư' else '' end || ', chia thành ' || n_semesters || ' học kỳ.' || chr(10) || 'Tín chỉ từng học kỳ: ' || each_.e || '.'
+    || case when form <> 0 then '' when note_.l is null then chr(10) || chr(10) || 'Chương trình này không có dữ liệu học phần cho học kỳ ' || sem || '.'
+       else chr(10) || chr(10) || 'Danh sách học phần học kỳ ' || sem || ' của ' || p.source || ':' || chr(10) || note_.l || case when note <> '' then chr(10) || note else '' end end as facts
+  from q join hp on q.qid = hp.qid join prog p on hp.source = p.source join each_ on each_.source = p.source left join note_ on form = 0 and note_.source = p.source and note_.semester = sem),
+of_all as (select qid, (select 'Các ngành hiện CÓ kế hoạch đào tạo trong kho dữ liệu:' || chr(10) || string_agg('- ' || source || ': ' || {_short('total_credits')} || ' tín chỉ toàn khoá' || case when two_systems then ' (hệ kỹ sư ' || {_short('total_credits_engineer')} || ' tín chỉ)' else '' end || ', ' || n_semesters || ' học kỳ, khoá K50', chr(10) order by source)
+    || chr(10) || chr(10) || 'Ngoài các ngành trên, kho dữ liệu KHÔNG có kế hoạch đào tạo của ngành nào khác.' from prog) as facts from q where form = 4 and qid not in (select qid from hcb))
+select qid, md5(facts) as facts from (select * from of_course union all select * from of_program union all select * from of_all)""")
+def _(t):
+    """A question about each part: its brand's semester, its course, its brand's load, none, the catalogue or a name inside a word."""
+    rows = Workspace(t._spark, "plans").save(_brand_plan(t), "rows")
+    totals, courses = U.semester_totals(rows), U.course_records(rows)
+    programs = U.metadata(rows).join(U.programs(rows), "source")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and not p.startswith("p_") else F.col(p) if isinstance(p, str) else p for p in parts])
+    last = F.when(F.col("p_size") == 1, "chương trình đào tạo có những ngành nào").otherwise(say("Trong khung chương trình có ", "p_name", "s không"))
+    asked = F.array(say("Ngành ", "p_brand", " học kỳ ", F.col("p_size") % 6 + 1, " học những gì?"), say("Môn ", "p_name", " mấy tín chỉ?"), say("Ngành ", "p_brand", " bao nhiêu tín chỉ"), say("Hôm nay ", "p_name", " đẹp"), last)
+    asks = t.part.filter("p_brand is not null and p_name is not null and p_size is not null").select(F.col("p_partkey").alias("qid"), F.element_at(asked, (F.col("p_partkey") % 5 + 1).cast("int")).alias("text"))
+    return L.facts(asks, programs, courses, totals).withColumn("facts", F.md5("facts"))
 
 
 # ---- evaluation

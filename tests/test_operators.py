@@ -1,6 +1,7 @@
 """Retrieval, context, records, facts, curation, models."""
 
 import numpy as np
+import plan_rows
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,6 @@ from docloom.operators import curation as Q
 from docloom.operators import facts as L
 from docloom.operators import records as U
 from docloom.operators import retrieval as R
-from docloom.plans import catalogue
 
 
 def test_expansion_skips_substrings(spark):
@@ -159,8 +159,8 @@ def test_classify(spark, cells, want):
 
 
 def test_facts(spark):
-    _, courses, totals, programs = catalogue.plan_tables(spark)
-    asked = spark.createDataFrame(list(enumerate(catalogue._ASKED)), "qid int, text string")
+    _, courses, totals, programs = plan_rows.plan_tables(spark)
+    asked = spark.createDataFrame(list(enumerate(plan_rows.ASKED)), "qid int, text string")
     got = {r.qid: r.facts for r in L.facts(asked, programs, courses, totals).collect()}
     assert set(got) == {0, 1, 2, 3, 5}
     assert "học kỳ 1: 7; học kỳ 2: 4" in got[0] and "Toán cao cấp (mã 01001, 3 tín chỉ, bắt buộc, đánh giá: TN)" in got[0]
