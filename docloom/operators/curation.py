@@ -135,7 +135,7 @@ def restyle(answer: Column, budget: int = 170) -> Column:
     """The conclusion first and the quotation shortened; null where the answer has not the composed shape."""
     parts = answer_parts(answer)
     quote, end = clause_prefix(parts["excerpt"], budget), F.coalesce(parts["conclusion"], F.lit(""))
-    lead = F.concat(F.upper(F.substring(end, 1, 1)), F.substring(end, 2, 1 << 30))
+    lead = X.raise_first(end)
     new = F.when(end != "", F.concat(lead, F.lit(" Căn cứ "), parts["label"], F.lit(": "), quote)).otherwise(F.concat(F.lit("Theo "), parts["label"], F.lit(", "), quote))
     new = X.squeeze(new)
     return F.when(new.rlike(r"[.;:]$"), new).otherwise(F.concat(new, F.lit(".")))

@@ -170,3 +170,8 @@ def test_no_sentence_is_lost(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for r in docs.select("text", K.pieces(F.col("text"), 40, 55, 8).alias("p")).collect():
         assert set(re.split(r"\s+", r.text.strip())) == set(" ".join(r.p).split())
+
+
+@pytest.mark.parametrize("first,high", [("ß", "ẞ"), ("ᾳ", "ᾼ"), ("ﬁ", "ﬁ"), ("é", "É"), ("ẞ", "ẞ"), ("đ", "Đ")])
+def test_first_letter_is_raised_to_one_letter(spark, first, high):
+    assert one(spark, f"{first}heit, die.", X.without_lead) == f"{high}heit, die."
