@@ -175,3 +175,9 @@ def test_no_sentence_is_lost(spark, sf):
 @pytest.mark.parametrize("first,high", [("ß", "ẞ"), ("ᾳ", "ᾼ"), ("ﬁ", "ﬁ"), ("é", "É"), ("ẞ", "ẞ"), ("đ", "Đ")])
 def test_first_letter_is_raised_to_one_letter(spark, first, high):
     assert one(spark, f"{first}heit, die.", X.without_lead) == f"{high}heit, die."
+
+
+def test_short_numbers_have_no_exponent(spark):
+    numbers = {36217290.0: "36217290", 12345678.5: "12345678.5", 1e15: "1000000000000000", 0.0005: "0.0005", 9999999.0: "9999999", -2e7: "-20000000", 0.0: "0", 250.0: "250"}
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", X.short_number(F.col("x")).alias("s")).collect()
+    assert {r.x: r.s for r in rows} == numbers
