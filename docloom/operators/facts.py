@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators.records import ELECTIVE
+from docloom.tables import Workspace
 
 # ---- fixed values: patterns over folded questions ----
 STRONG = r"khung chuong trinh|chuong trinh (dao tao|hoc)|ke hoach dao tao|tien quyet|hoc ky\s*\d|nam thu\s*\d|nam \d"
@@ -57,6 +58,8 @@ CATALOGUE = "Các ngành hiện CÓ kế hoạch đào tạo trong kho dữ li
 NOTHING_ELSE = "\n\nNgoài các ngành trên, kho dữ liệu KHÔNG có kế hoạch đào tạo của ngành nào khác."
 # ---- end of fixed values ----
 LEAST_NAME = 8
+#: Stands for no semester where rows are joined by it; no question can name it.
+NO_SEMESTER = -100
 #: Letters by which a name is looked up.
 PREFIXES = (1, 2, 4, 8, 16)
 
@@ -84,10 +87,18 @@ def match_programs(questions: DataFrame, programs: DataFrame) -> DataFrame:
 
 def match_courses(questions: DataFrame, courses: DataFrame) -> DataFrame:
     """qid, source and ord of the courses of the longest folded name (8 letters at least) that the question holds."""
-    names = courses.select("source", "ord", X.fold(F.col("name")).alias("key")).filter(F.length("key") >= LEAST_NAME)
-    hits = _held(questions, names, X.fold)
-    best = hits.groupBy("qid").agg(F.max_by("key", F.struct(F.length("key"), -F.col("ord"))).alias("key"))
-    return hits.join(best, ["qid", "key"]).select("qid", "source", "ord")
+    names = _course_names(courses)
+    return _best_name(questions, names).join(names, "key").select("qid", "source", "ord")
+
+
+def _course_names(courses: DataFrame) -> DataFrame:
+    return courses.select("source", "ord", X.fold(F.col("name")).alias("key")).filter(F.length("key") >= LEAST_NAME)
+
+
+def _best_name(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """qid and the longest key; of equals the one that stands first. A key is looked up once, however many courses have it."""
+    hits = _held(questions, names.groupBy("key").agg(F.min("ord").alias("ord")), X.fold)
+    return hits.groupBy("qid").agg(F.max_by("key", F.struct(F.length("key"), -F.col("ord"))).alias("key"))
 
 
 def _held(questions: DataFrame, names: DataFrame, fold) -> DataFrame:
@@ -96,14 +107,14 @@ def _held(questions: DataFrame, names: DataFrame, fold) -> DataFrame:
     A key is looked up by its first 1, 2, 4, 8 or 16 letters, as many as it has, and then compared whole with what the
     question has there. So a question of n letters gives at most 5 n rows, however many keys and lengths there are.
     """
-    longest = names.agg(F.max(F.length("key")).alias("_longest"))
-    q = questions.select("qid", fold(F.col("text")).alias("_q")).filter("_q <> ''").crossJoin(F.broadcast(longest)).filter("_longest > 0")
-    starts = F.transform(F.sequence(F.lit(1), F.length("_q")), lambda i: F.substring(F.col("_q"), i, F.col("_longest")))
-    found = q.select("qid", F.explode(F.array_distinct(starts)).alias("_at"))
-    found = found.select("qid", "_at", F.explode(F.array(*map(F.lit, PREFIXES))).alias("_n")).filter(F.length("_at") >= F.col("_n")).select("qid", "_at", F.left("_at", F.col("_n")).alias("_head"))
     size = F.lit(PREFIXES[0])
     for n in PREFIXES[1:]:
         size = F.when(F.length("key") >= n, n).otherwise(size)
+    known = names.filter("key <> ''").agg(F.max(F.length("key")).alias("_longest"), F.collect_set(size).alias("_sizes"))
+    q = questions.select("qid", fold(F.col("text")).alias("_q")).filter("_q <> ''").crossJoin(F.broadcast(known)).filter("_longest > 0")
+    starts = F.transform(F.sequence(F.lit(1), F.length("_q")), lambda i: F.substring(F.col("_q"), i, F.col("_longest")))
+    found = q.select("qid", "_sizes", F.explode(F.array_distinct(starts)).alias("_at"))
+    found = found.select("qid", "_at", F.explode("_sizes").alias("_n")).filter(F.length("_at") >= F.col("_n")).select("qid", "_at", F.left("_at", F.col("_n")).alias("_head"))
     keyed = names.filter("key <> ''").withColumn("_head", F.left("key", size))
     return found.join(keyed, "_head").filter(F.startswith("_at", "key")).select("qid", *names.columns).distinct()
 
@@ -153,26 +164,29 @@ def facts(questions: DataFrame, programs: DataFrame, courses: DataFrame, totals:
     asked for, with the semester asked for; else the catalogue.
     """
     label = program_label(F.col("nganh"), F.col("chuyen_nganh"))
-    p, c = match_programs(questions, programs), match_courses(questions, courses)
-    # one row for each question with what it names; a name of both kinds goes by the question's own words
-    named = p.select("qid", F.lit(1).alias("_p"), F.lit(0).alias("_c")).unionByName(c.select("qid", F.lit(0).alias("_p"), F.lit(1).alias("_c"))).groupBy("qid").agg(F.max("_p").alias("_p"), F.max("_c").alias("_c"))
-    q = X.fold(F.col("text"))
-    state = questions.join(named, "qid", "left").select("qid", q.alias("_q"), (F.coalesce("_p", F.lit(0)) == 1).alias("_p"), (F.coalesce("_c", F.lit(0)) == 1).alias("_c"), semester_of(F.col("text")).alias("sem"))
+    work, names = Workspace(questions.sparkSession, "facts"), _course_names(courses)
+    # one row for each question with what it names; a name of both kinds goes by the question's own words. Stored tables
+    # look small where keys repeat, so that joins of questions are never broadcast
+    where = match_programs(questions, programs).groupBy("qid").agg(F.sort_array(F.collect_set("source")).alias("_where"))
+    named = questions.join(where.hint("merge"), "qid", "left").join(_best_name(questions, names).hint("merge"), "qid", "left")
+    state = named.select("qid", X.fold(F.col("text")).alias("_q"), semester_of(F.col("text")).alias("sem"), "_where", "key", F.col("_where").isNotNull().alias("_p"), F.col("key").isNotNull().alias("_c"))
     state = state.filter(F.col("_q").rlike(STRONG) | (F.col("_q").rlike(WEAK) & (F.col("_q").rlike(HINT) | F.col("_p") | F.col("_c"))))
     both = F.col("_p") & F.col("_c")
     use_p = F.col("_p") & ~(both & ~F.col("_q").rlike(ASKS_PROGRAM) & F.col("_q").rlike(ASKS_COURSE))
-    asked = state.select("qid", "sem", use_p.alias("_p"), (F.col("_c") & ~use_p).alias("_c"))
-    p, c = p.join(asked.filter("_p").select("qid", "sem"), "qid"), c.join(asked.filter("_c").select("qid"), "qid")
+    asked = work.save(state.select("qid", "sem", "_where", "key", use_p.alias("_p"), (F.col("_c") & ~use_p).alias("_c")), "asked")
     lines = lambda value, order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("_v")))), lambda x: x["_v"]), "\n")
 
-    rows = c.join(courses, ["source", "ord"]).join(programs.select("source", "nganh", "chuyen_nganh"), "source")
+    # a text is made once for each name, or each set of programmes and semester, that is asked for
+    by_name, by_program = asked.filter("_c").select("qid", "key"), asked.filter("_p").select("qid", "_where", F.coalesce("sem", F.lit(NO_SEMESTER)).alias("_sem"))
+    rows = names.join(by_name.select("key").distinct(), "key").join(courses, ["source", "ord"]).join(programs.select("source", "nganh", "chuyen_nganh"), "source")
     extra = F.concat(
         F.when(F.coalesce("assessment", F.lit("")) != "", F.concat(F.lit(ASSESSED_BY), F.col("assessment"))).otherwise(F.lit("")),
         F.when(F.coalesce("requires", F.lit("")) != "", F.concat(F.lit(REQUIRES), F.col("requires"))).otherwise(F.lit("")),
     )
     line = F.concat(F.lit("- "), label, F.lit(IN_SEMESTER), F.col("semester"), F.lit(", "), X.short_number(F.col("credits")), F.lit(CREDITS_RAW), F.col("credits_raw"), F.lit("), "), F.lower("group"), F.lit(HAS_CODE), F.col("code"), extra)
-    of_course = rows.groupBy("qid").agg(F.min_by("name", F.struct("source", "ord")).alias("_name"), lines(line, ["source", "ord"]).alias("_l"))
-    of_course = of_course.select("qid", F.concat(F.lit(COURSE_NAMED), F.col("_name"), F.lit(COURSE_IN), F.col("_l")).alias("facts"))
+    of_name = rows.groupBy("key").agg(F.min_by("name", F.struct("source", "ord")).alias("_name"), lines(line, ["source", "ord"]).alias("_l"))
+    of_name = work.save(of_name.select("key", F.concat(F.lit(COURSE_NAMED), F.col("_name"), F.lit(COURSE_IN), F.col("_l")).alias("facts")), "names")
+    of_course = by_name.join(of_name, "key").select("qid", "facts")
 
     by_semester = totals.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("semester", "total"))), lambda s: F.concat(F.lit(SEMESTER), s["semester"], F.lit(": "), X.short_number(s["total"]))), "; ").alias("_each"))
     head = F.concat(
@@ -182,13 +196,15 @@ def facts(questions: DataFrame, programs: DataFrame, courses: DataFrame, totals:
         F.lit(DIVIDED_IN), F.col("n_semesters"), F.lit(EACH_SEMESTER), F.coalesce("_each", F.lit("")), F.lit("."),
     )
     listed = courses.groupBy("source", "semester").agg(lines(course_line(), ["ord"]).alias("_list")).join(exclusive_note(courses, totals), ["source", "semester"], "left")
-    found = p.join(programs, "source").join(by_semester, "source", "left")
+    wanted = by_program.select("_where", "_sem").distinct().select("_where", "_sem", F.nullif("_sem", F.lit(NO_SEMESTER)).alias("sem"), F.explode("_where").alias("source"))
+    found = wanted.join(programs, "source").join(by_semester, "source", "left")
     found = found.join(listed.withColumnRenamed("semester", "sem"), ["source", "sem"], "left")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n"), F.col("note"))).otherwise(F.lit(""))
     detail = F.when(F.col("sem").isNull(), F.lit("")).when(F.col("_list").isNotNull(), F.concat(F.lit(LIST_OF_SEMESTER), F.col("sem"), F.lit(LIST_OF_PROGRAM), label, F.lit(":\n"), F.col("_list"), note)).otherwise(
         F.concat(F.lit(NO_DATA), F.col("sem"), F.lit("."))
     )
-    of_program = found.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", F.concat(head, detail).alias("_v")))), lambda x: x["_v"]), "\n\n").alias("facts"))
+    blocks = found.groupBy("_where", "_sem").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", F.concat(head, detail).alias("_v")))), lambda x: x["_v"]), "\n\n").alias("facts"))
+    of_program = by_program.join(work.save(blocks, "programs"), ["_where", "_sem"]).select("qid", "facts")
 
     item = F.concat(
         F.lit("- "), label, F.lit(": "), X.short_number(F.col("total_credits")), F.lit(WHOLE_CREDITS),

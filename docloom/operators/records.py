@@ -69,8 +69,14 @@ def classify(cells: Column) -> Column:
     return out
 
 
-def _read(rows: DataFrame) -> DataFrame:
-    """Adds semester, group, track, system, kind and the collapsed cells to plan rows (source, ord, kind, cells)."""
+def read_rows(rows: DataFrame) -> DataFrame:
+    """Adds semester, group, track, system, kind and the collapsed cells to plan rows (source, ord, kind, cells).
+
+    ``course_records``, ``semester_totals`` and ``programs`` take these rows in place of plan rows, so that a caller of several
+    can store them and have plans read once.
+    """
+    if "label" in rows.columns:
+        return rows
     cells = F.transform("cells", lambda c: X.squeeze(F.coalesce(c, F.lit(""))))
     df = rows.select("source", "ord", F.col("kind").alias("block"), F.when(F.col("kind") == "row", collapse(cells)).otherwise(cells).alias("cells"))
     first = F.lower(F.coalesce(F.get("cells", 0), F.lit("")))
@@ -97,7 +103,7 @@ def _is_total(cells: Column) -> Column:
 
 def course_records(rows: DataFrame) -> DataFrame:
     """One row for each course: source, ord, semester, group, track, system, code, name, credits, credits_raw, requires, assessment."""
-    df = _read(rows).filter(F.col("_row") & F.col("label.kind").isNull() & ~_is_total(F.col("cells")))
+    df = read_rows(rows).filter(F.col("_row") & F.col("label.kind").isNull() & ~_is_total(F.col("cells")))
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     df = df.filter((F.size("cells") >= 4) & (cell(1) != "")).withColumn("credits", credit(cell(3))).filter(F.col("credits").isNotNull())
     return df.select(
@@ -108,7 +114,7 @@ def course_records(rows: DataFrame) -> DataFrame:
 
 def semester_totals(rows: DataFrame) -> DataFrame:
     """source, semester and what the plan declares: total, required, elective, both systems' totals, inferred, listed, mismatch, systems, tracks."""
-    df = _read(rows).filter("_row")
+    df = read_rows(rows).filter("_row")
     kind, name, n = F.col("label.kind"), F.col("label.name"), F.col("label.credits")
     raw = F.coalesce(F.get("cells", 1), F.lit(""))
     pair = lambda i: F.nullif(F.replace(F.regexp_extract(raw, r"^\s*(\d+(?:[.,]\d+)?)\s*/\s*(\d+(?:[.,]\d+)?)", i), F.lit(","), F.lit(".")), F.lit("")).cast("double")

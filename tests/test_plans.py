@@ -53,3 +53,19 @@ def test_names_inside_questions(spark):
 
     assert sorted((r.qid, r.source) for r in L._held(asked, names, X.fold).collect()) == want
     assert L._held(asked, names.filter("false"), X.fold).count() == 0
+
+
+def test_facts_are_joined_by_names_and_not_by_questions(spark):
+    """Plans are read once and stored, and a text is made once for each name: few joins and no windows are left in the query."""
+    from docloom.plans.catalogue import QUERIES
+
+    plan = QUERIES["program_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 8 and "Window" not in plan
+
+
+def test_facts_of_year_nought(spark):
+    """A semester below all is named as it is, not taken for none."""
+    _, courses, totals, programs = plan_tables(spark)
+    asked = spark.createDataFrame([(1, "Ngành Kỹ thuật nhiệt học kỳ 1 năm 0"), (2, "Ngành Kỹ thuật nhiệt có chương trình đào tạo gì")], "qid int, text string")
+    got = {r.qid: r.facts for r in L.facts(asked, programs, courses, totals).collect()}
+    assert "học kỳ -1" in got[1] and "học kỳ -1" not in got[2]
