@@ -113,3 +113,17 @@ def test_numbers_without_gaps(spark, by):
         seen[key] = want[i] = seen.get(key, 0) + 1
     assert {r.i: r.n for r in got} == want
     assert number_rows(df.limit(0), [F.col("x").asc()]).count() == 0
+
+
+def test_postings_are_written_in_parts_that_grow_with_the_batch(spark, monkeypatch):
+    """A folder is no longer one task's: most rows of a file are a small share, and results stay."""
+    monkeypatch.setattr(X, "BLOCK", 8)
+    docs = some_docs(spark)
+    asked = spark.createDataFrame([(i, f"r{i} r{i + 1} aa r{i}") for i in range(12)], "qid int, text string")
+    want = hits(R.bm25(asked, R.build_index(docs), k=5, digits=6))
+    for name, value in (("TOKENS", 128), ("RUN", 4), ("RANGE", 64)):
+        monkeypatch.setattr(X, name, value, raising=False)
+    index = X.StoredIndex(spark, Workspace(spark, "test").root).add(docs)
+    rows = [r["count"] for r in index.postings().groupBy(F.input_file_name()).count().collect()]
+    assert max(rows) < sum(rows) / 16
+    assert hits(X.search(asked, index, k=5, digits=6)) == want
