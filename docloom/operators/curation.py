@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators.facts import program_label
+from docloom.operators.numbering import number_rows
+from docloom.tables import Workspace
 
 # ---- fixed values ----
 Q_BANDS = ((6, 10), (11, 15), (16, 21), (22, 30))
@@ -41,16 +43,9 @@ COLUMNS = ("id", "category", "question", "answer", "source_refs", "notes", "orig
 
 
 def numbered(rows: DataFrame, category: str, order: str, name: str = "id") -> DataFrame:
-    """Numbers from 1 by (category, order): places within each category, plus the rows of the categories before it.
-
-    Categories are a stated set, so their counts are few; no task sees more than one category.
-    """
-    sizes = rows.groupBy(F.col(category).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_c", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy(category).orderBy(order))
-    joined = rows.withColumn("_place", place).join(starts, F.col(category).eqNullSafe(F.col("_c")))
-    return joined.withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_c", "_before", "_place")
+    """Numbers from 1 by (category, order), by ranges of both: no task sees a category as a whole."""
+    work = Workspace(rows.sparkSession, "numbered")
+    return number_rows(work.save(rows, "rows"), [F.col(category).asc_nulls_first(), F.col(order).asc_nulls_first()], name=name, work=work)
 
 
 def place_of(rows: DataFrame, order: str, name: str, span: int = 1 << 16) -> DataFrame:

@@ -292,3 +292,11 @@ def test_repair_citations(spark):
     df = spark.createDataFrame([(i, context, r) for i, (r, _) in enumerate(cases)] + [(99, "no heads", "Điều 3 Luật")], "i int, context string, reply string")
     got = {r.i: r.out for r in df.select("i", C.repair_citations(F.col("reply"), C.citation_owners(F.col("context"))).alias("out")).collect()}
     assert [got[i] for i in range(len(cases))] == [w for _, w in cases] and got[99] == "Điều 3 Luật"
+
+
+def test_numbers_do_not_need_a_whole_category_in_one_task(spark):
+    rows = spark.createDataFrame([("b" if i % 50 else None, f"q{i:03d}") for i in reversed(range(200))], "category string, question string")
+    made = Q.numbered(rows, "category", "question")
+    assert "Window" not in "".join(x for x in made._jdf.queryExecution().analyzed().toString().splitlines(True) if "category" in x.split("Project")[0])
+    got = [(r.category, r.question) for r in made.orderBy("id").collect()]
+    assert got == sorted(got, key=lambda r: (r[0] or "", r[1])) and [r.id for r in made.orderBy("id").collect()] == list(range(1, 201))
