@@ -69,3 +69,16 @@ def test_facts_of_year_nought(spark):
     asked = spark.createDataFrame([(1, "Ngành Kỹ thuật nhiệt học kỳ 1 năm 0"), (2, "Ngành Kỹ thuật nhiệt có chương trình đào tạo gì")], "qid int, text string")
     got = {r.qid: r.facts for r in L.facts(asked, programs, courses, totals).collect()}
     assert "học kỳ -1" in got[1] and "học kỳ -1" not in got[2]
+
+
+def _plan_of_query(spark, sf, name):
+    from docloom.plans.catalogue import QUERIES
+
+    return QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_are_read_in_one_window(spark, sf):
+    """Cells are squeezed once each, and what carries forward does so in one window of one order."""
+    plan = _plan_of_query(spark, sf, "course_records")
+    assert plan.count("Window [") == 1
+    assert all(line.count("(?U)\\s+") <= 1 for line in plan.splitlines())
