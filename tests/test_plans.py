@@ -82,3 +82,9 @@ def test_plans_are_read_in_one_window(spark, sf):
     plan = _plan_of_query(spark, sf, "course_records")
     assert plan.count("Window [") == 1
     assert all(line.count("(?U)\\s+") <= 1 for line in plan.splitlines())
+
+
+def test_programmes_are_summed_in_one_pass(spark, sf):
+    """Plan rows are read once for semesters, courses and programmes; only metadata is joined, from rows that hold it."""
+    plan = _plan_of_query(spark, sf, "program_rollup")
+    assert plan.count("Window [") == 1 and plan.count("Join ") == 2
