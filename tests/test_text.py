@@ -181,3 +181,13 @@ def test_short_numbers_have_no_exponent(spark):
     numbers = {36217290.0: "36217290", 12345678.5: "12345678.5", 1e15: "1000000000000000", 0.0005: "0.0005", 9999999.0: "9999999", -2e7: "-20000000", 0.0: "0", 250.0: "250"}
     rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", X.short_number(F.col("x")).alias("s")).collect()
     assert {r.x: r.s for r in rows} == numbers
+
+
+def test_repairs_are_searched_once(spark):
+    """Texts without a fault meet three patterns and none of the repairs of words; a repair that one finds is the same as all in turn."""
+    texts = ["", None, "plain text", "HOC dinh", "Quy DINH", "quy dinh ho", "tuơng duơng", "Quơ", "nưoc", "Io", "xhoc hocx", "ſ dể", "tín chi, tín chỉ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    each = X.ocr_words(X.capital_i(X.horn_o(X.horn_u(F.col("t")))))
+    rows = df.select(X.repair_ocr(F.col("t")).alias("a"), each.alias("b"), X.changed_places(F.col("t"), F.col("t")).alias("n")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and [r.n for r in rows] == [None if t is None else 0 for t in texts]
+    assert "\\b(?:" in X.WRONG_WORDS
