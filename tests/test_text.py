@@ -191,3 +191,17 @@ def test_repairs_are_searched_once(spark):
     rows = df.select(X.repair_ocr(F.col("t")).alias("a"), each.alias("b"), X.changed_places(F.col("t"), F.col("t")).alias("n")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and [r.n for r in rows] == [None if t is None else 0 for t in texts]
     assert "\\b(?:" in X.WRONG_WORDS
+
+
+def test_only_texts_that_may_change_go_to_python(spark):
+    import re
+    import unicodedata
+
+    others = re.compile(X.COMPOSABLE)
+    plain = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not others.match(chr(c))]
+    joined = {d.split()[-1] for c in range(0x10000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    assert all(unicodedata.normalize("NFC", c) == c and unicodedata.combining(c) == 0 and f"{ord(c):04X}" not in joined for c in plain)
+    texts = ["", None, "abc", "é", "tiếng Việt", "tiếng", "가", "각", "Å", "中文", "😀é"] * 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", X.nfc(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [t and unicodedata.normalize("NFC", t) for t in texts]
