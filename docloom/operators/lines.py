@@ -64,24 +64,22 @@ def parse_form(lines: DataFrame, order: str = "ord", line: str = "line", form: s
     keys = [form] if form else []
     df = lines.select(*keys, F.col(order).alias("_o"), X.strip(F.col(line)).alias("_t"))
     df = df.filter((F.col("_t") != "") & ~F.col("_t").rlike("^[_\\-—•]+$"))
-    upto = Window.partitionBy(*keys).orderBy("_o")
-    df = df.withColumn("item", F.sum(F.col("_t").rlike(r"(?iuU)^\s*Câu\s+\d+\s*$").cast("long")).over(upto))
-    df = df.filter((F.col("item") > 0) & ~F.col("_t").rlike(r"(?iuU)^\s*Câu\s+\d+\s*$"))
     label, value = F.lit(None).cast("string"), F.col("_t")
     for name, pattern in reversed(FORM_LABELS):
         hit = F.col("_t").rlike(pattern)
         label = F.when(hit, F.lit(name)).otherwise(label)
         value = F.when(hit, X.strip(F.regexp_extract("_t", pattern, 1))).otherwise(value)
-    df = df.withColumn("_label", label).withColumn("_value", value)
-    within = Window.partitionBy(*keys, "item").orderBy("_o")
+    df = df.select(*keys, "_o", F.col("_t").rlike(r"(?iuU)^\s*Câu\s+\d+\s*$").alias("_begins"), label.alias("_label"), value.alias("_value"))
+    # one window for both: a line that begins an item leaves no field open
+    upto = Window.partitionBy(*keys).orderBy("_o")
+    open_ = F.when(F.col("_begins"), F.struct(F.lit(None).cast("string").alias("f"))).when(F.col("_label").isNotNull(), F.struct(F.col("_label").alias("f")))
+    df = df.withColumns({"item": F.sum(F.col("_begins").cast("long")).over(upto), "_field": F.last(open_, True).over(upto)["f"]})
+    df = df.filter((F.col("item") > 0) & ~F.col("_begins") & F.col("_field").isNotNull() & (F.col("_value") != "") & ~((F.col("_field") == "category") & F.col("_label").isNull()))
     # a later label of the same field replaces what it held, if it has a value of its own
-    df = df.withColumn("_field", F.last("_label", True).over(within))
-    df = df.withColumn("_part", F.sum((F.col("_label").isNotNull() & (F.col("_value") != "")).cast("long")).over(Window.partitionBy(*keys, "item", "_field").orderBy("_o")))
-    df = df.filter(F.col("_field").isNotNull() & (F.col("_value") != "") & ~((F.col("_field") == "category") & F.col("_label").isNull()))
-    last = Window.partitionBy(*keys, "item", "_field")
-    df = df.withColumn("_top", F.max("_part").over(last)).filter("_part = _top")
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("_o", "_value"))), lambda x: x["_value"])
-    fields = df.groupBy(*keys, "item", "_field").agg(F.array_join(texts, " ").alias("_plain"), F.array_join(texts, " | ").alias("_bars"))
+    fields = df.groupBy(*keys, "item", "_field").agg(F.sort_array(F.collect_list(F.struct("_o", "_value"))).alias("_all"), F.max(F.when(F.col("_label").isNotNull(), F.col("_o"))).alias("_top"))
+    texts = F.transform(F.filter("_all", lambda x: F.col("_top").isNull() | (x["_o"] >= F.col("_top"))), lambda x: x["_value"])
+    fields = fields.select(*keys, "item", "_field", texts.alias("_texts"))
+    fields = fields.select(*keys, "item", "_field", F.array_join("_texts", " ").alias("_plain"), F.array_join("_texts", " | ").alias("_bars"))
     pick = lambda name, c: F.coalesce(F.max(F.when(F.col("_field") == name, F.col(c))), F.lit("")).alias(name)
     out = fields.groupBy(*keys, "item").agg(pick("category", "_plain"), pick("question", "_plain"), pick("answer", "_plain"), pick("source", "_bars"))
     return out.filter("question <> '' and answer <> ''")

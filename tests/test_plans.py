@@ -88,3 +88,7 @@ def test_programmes_are_summed_in_one_pass(spark, sf):
     """Plan rows are read once for semesters, courses and programmes; only metadata is joined, from rows that hold it."""
     plan = _plan_of_query(spark, sf, "program_rollup")
     assert plan.count("Window [") == 1 and plan.count("Join ") == 2
+
+
+def test_forms_are_read_in_one_window(spark, sf):
+    assert _plan_of_query(spark, sf, "form_parse").count("Window [") == 1
