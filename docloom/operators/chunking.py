@@ -45,32 +45,31 @@ def pack_sentences(parts: Column, target: int = TARGET, most: int = MOST, overla
     count once, the first.
     """
     item = "struct<s:string,n:int>"
+    one = lambda x, f: F.get(F.transform(F.array(x), f), 0)
 
     def tail(open_: Column) -> Column:
         return F.aggregate(
             F.reverse(open_), F.struct(_none(f"array<{item}>").alias("kept"), F.lit(0).alias("n")),
             lambda a, x: F.when(a["n"] >= overlap, a).otherwise(F.struct(F.concat(F.array(x), a["kept"]).alias("kept"), (a["n"] + x["n"]).alias("n"))),
-            lambda a: a["kept"],
         )
 
-    def total(open_: Column) -> Column:
-        return F.aggregate(open_, F.lit(0), lambda a, x: a + x["n"])
-
     def joined(open_: Column) -> Column:
         return F.array_join(F.transform(open_, lambda x: x["s"]), " ")
 
-    def state(done: Column, open_: Column, fresh: Column) -> Column:
-        return F.struct(done.alias("done"), open_.alias("open"), fresh.alias("fresh"))
+    def state(done: Column, open_: Column, n: Column, fresh: Column) -> Column:
+        return F.struct(done.alias("done"), open_.alias("open"), n.alias("n"), fresh.alias("fresh"))
+
+    def closed(a: Column) -> Column:
+        return one(tail(a["open"]), lambda t: state(F.concat(a["done"], F.array(joined(a["open"]))), t["kept"], t["n"], F.lit(False)))
 
     def step(a: Column, x: Column) -> Column:
-        # close before the sentence, then again after it
-        full = (total(a["open"]) + x["n"] > most) & (F.size(a["open"]) > 0)
-        b = F.when(full, state(F.concat(a["done"], F.array(joined(a["open"]))), tail(a["open"]), F.lit(False))).otherwise(a)
-        c = state(b["done"], F.concat(b["open"], F.array(x)), F.lit(True))
-        return F.element_at(F.transform(F.array(c), lambda s: F.when(total(s["open"]) >= target, state(F.concat(s["done"], F.array(joined(s["open"]))), tail(s["open"]), F.lit(False))).otherwise(s)), 1)
+        # close before the sentence, then again after it; n is the words of the open sentences
+        full = (a["n"] + x["n"] > most) & (F.size(a["open"]) > 0)
+        more = one(F.when(full, closed(a)).otherwise(a), lambda b: state(b["done"], F.concat(b["open"], F.array(x)), b["n"] + x["n"], F.lit(True)))
+        return one(more, lambda c: F.when(c["n"] >= target, closed(c)).otherwise(c))
 
     counted = F.transform(parts, lambda s: F.struct(s.alias("s"), F.size(X.words(s)).alias("n")))
-    start = state(_none(), _none(f"array<{item}>"), F.lit(False))
+    start = state(_none(), _none(f"array<{item}>"), F.lit(0), F.lit(False))
 
     def finish(a: Column) -> Column:
         rest = (F.size(a["open"]) > 0) & (F.lit(keep_tail) | a["fresh"])
@@ -149,7 +148,7 @@ def heading_blocks(docs: DataFrame, key: str = "source", text: str = "text") ->
 
 def chunk_documents(docs: DataFrame, key: str = "source", text: str = "text", target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """Chunks (chunk_id, source, ord, text, word_count, chapter, article, heading): by articles where a text has any, else by headings."""
-    by_article = article_blocks(docs, key, text)
+    by_article = article_blocks(docs.filter(F.col(text).rlike(rf"(?U)Điều\s+\d+[a-z]?\s*[.:]\s*[{X.UPPER}]")), key, text)  # no other text has any
     made = by_article.withColumn("_p", pieces(F.col("block"), target, most, overlap)).withColumn("_n", F.size("_p"))
     made = made.select("*", F.posexplode("_p").alias("_j", "_t")).filter(~is_enacting(F.col("_t"))).withColumn("_t", strip_tail(F.col("_t")))
     part = F.when(F.col("part") > 1, F.concat(F.lit("phần "), F.col("part"), F.lit("::"))).otherwise(F.lit(""))
