@@ -127,3 +127,13 @@ def test_postings_are_written_in_parts_that_grow_with_the_batch(spark, monkeypat
     rows = [r["count"] for r in index.postings().groupBy(F.input_file_name()).count().collect()]
     assert max(rows) < sum(rows) / 16
     assert hits(X.search(asked, index, k=5, digits=6)) == want
+
+
+def test_scores_are_held_for_some_questions_at_a_time(spark):
+    from docloom.operators import vectors as V
+
+    assert V.ASKED * V.BLOCK * 8 <= 16 << 20
+    rows = spark.createDataFrame([(i, [float(i % 7) + 1, float(i % 11), float(i % 13)]) for i in range(600)], "doc int, vector array<double>").coalesce(1)
+    asked = rows.filter("doc < 520").withColumnRenamed("doc", "qid")
+    got = V.nearest(asked, rows, 1, digits=6).collect()
+    assert sorted(r.qid for r in got) == list(range(520)) and all(r.score == 1.0 for r in got)
