@@ -1,7 +1,7 @@
 """Conversations kept as state that ends: title, turns and counts, with a timer for those that have gone idle.
 
-Each conversation has its title as a value, its turns as a list and its operations' counts as a map, so that a new turn
-appends to the state and rewrites none of it. Every operation moves the conversation's timer; once the watermark passes
+Each conversation has its title and totals as a value, its turns as a list and its operations' counts as a map, so that a
+new turn appends to the state and rewrites no other turn. Every operation moves the conversation's timer; once the watermark passes
 it, the conversation is passed on as expired and its state is removed. An operation after that begins it anew.
 
 Rows of a batch come in any order, so the title is that of the earliest submission with text.
@@ -13,11 +13,11 @@ watermark allows are kept, since only the timer ends a conversation; rows withou
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +26,11 @@ from docloom.tables import ship
 TITLE = 38
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = "conv_id bigint, title string, n_messages bigint, n_words bigint, n_operations bigint, expired boolean"
+NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+OUT = Row(*NAMES)
+EMPTY = (None, None, 0, 0, 0, None)
+#: Turns, or characters of turns, that go to the state in one message.
+TURNS, CHARS = 1000, 1 << 20
 
 
 def title_of(text: str) -> str:
@@ -35,63 +40,80 @@ def title_of(text: str) -> str:
 
 
 class Conversation(StatefulProcessor):
-    """``idle``: milliseconds after its last operation at which a conversation ends."""
+    """``idle``: milliseconds after its last operation at which a conversation ends.
+
+    Every call to the state is a message to Spark and back, which costs far more than the work on a row. So the totals and
+    the timer's time are read and written once a batch with the title, and turns and counts are only added to.
+    """
 
     def __init__(self, idle: int):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.title = handle.getValueState("title", "title string, at bigint")
+        self.head = handle.getValueState("head", "title string, at bigint, n_messages bigint, n_words bigint, n_operations bigint, ends bigint")
         self.turns = handle.getListState("turns", "op string, text string")
         self.counts = handle.getMapState("counts", "op string", "n bigint")
 
-    def _row(self, key: tuple, expired: bool) -> pd.DataFrame:
-        turns = list(self.turns.get())
-        title = self.title.get()[0] if self.title.exists() else ""
-        counted = sum(n[0] for n in self.counts.values())
-        return pd.DataFrame([(key[0], title, len(turns), sum(len((t[1] or "").split()) for t in turns), counted, expired)], columns=[c.split()[0] for c in COLUMNS.split(", ")])
-
-    def _end(self) -> None:
-        self.title.clear()
+    def _clear(self) -> None:
+        self.head.clear()
         self.turns.clear()
         self.counts.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
 
-    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        last, deleted = mark, False
-        if any(at <= mark for at in self.handle.listTimers()):  # due, and only not fired yet: rows come before timers
-            row = self._row(key, True)
-            self._end()
-            yield row
-        for frame in rows:
-            for op, text, ts in zip(frame["op"], frame["text"], frame["ts"], strict=True):
-                text, at = text or "", mark if pd.isna(ts) else int(pd.Timestamp(ts).value // 1_000_000)
-                if op == "delete":
-                    self._end()
-                    deleted = True
-                    continue
-                deleted = False
-                seen = self.counts.getValue((op,))[0] if self.counts.exists() and self.counts.containsKey((op,)) else 0
-                self.counts.updateValue((op,), (seen + 1,))
-                if op in ("submit", "finish"):
-                    self.turns.appendValue((op, text))
-                    if op == "submit" and text.strip() and (not self.title.exists() or at < self.title.get()[1]):
-                        self.title.update((title_of(text), at))
-                last = max(last, at)
+        last, deleted, stored = mark, False, self.head.get()
+        if stored and stored[5] <= mark:  # due, and only not fired yet: rows come before timers
+            yield OUT(key[0], stored[0] or "", *stored[2:5], True)
+            self.handle.deleteTimer(stored[5])
+            self._clear()
+            stored = None
+        kept = stored is not None  # whether the state has anything of this conversation
+        title, title_at, n_messages, n_words, n_operations, ends = stored or EMPTY
+        turns, size, counts = [], 0, Counter()
+        for row in rows:
+            op, text, at = row["op"], row["text"] or "", mark if row["at"] is None else row["at"]
+            if op == "delete":
+                if kept:
+                    self._clear()
+                if ends is not None:
+                    self.handle.deleteTimer(ends)
+                title, title_at, n_messages, n_words, n_operations, ends = EMPTY
+                turns, size, counts, kept, deleted = [], 0, Counter(), False, True
+                continue
+            deleted = False
+            counts[op] += 1
+            n_operations += 1
+            if op in ("submit", "finish"):
+                n_messages += 1
+                n_words += len(text.split())
+                turns.append((op, text))
+                size += len(text)
+                if len(turns) >= TURNS or size >= CHARS:
+                    self.turns.appendList(turns)
+                    turns, size, kept = [], 0, True
+                if op == "submit" and text.strip() and (title_at is None or at < title_at):
+                    title, title_at = title_of(text), at
+            last = max(last, at)
         if not deleted:
-            for old in list(self.handle.listTimers()):
-                last = max(last, old - self.idle)
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(last + self.idle)
-        yield self._row(key, False)
-
-    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        row = self._row(key, True)
-        self._end()
-        yield row
+            if ends is not None:
+                last = max(last, ends - self.idle)
+            if ends != last + self.idle:
+                if ends is not None:
+                    self.handle.deleteTimer(ends)
+                self.handle.registerTimer(last + self.idle)
+            if turns:
+                self.turns.appendList(turns)
+            for op, n in counts.items():
+                seen = self.counts.getValue((op,)) if stored and kept and self.counts.containsKey((op,)) else None
+                self.counts.updateValue((op,), (n + (seen[0] if seen else 0),))
+            self.head.update((title, title_at, n_messages, n_words, n_operations, last + self.idle))
+        yield OUT(key[0], title or "", n_messages, n_words, n_operations, False)
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues, expiredTimerInfo) -> Iterator[Row]:
+        stored = self.head.get()
+        yield OUT(key[0], stored[0] or "", *stored[2:5], True)
+        self._clear()
 
     def close(self) -> None:
         pass
@@ -114,7 +136,7 @@ def last_states(spark, stream_of, idle_ms: int, work, name: str = "kept") -> Dat
     kept.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(COLUMNS + ", batch int").parquet(out)
     # in one batch, a conversation that ends is only followed by its own new beginning
-    last = F.max_by(F.struct(*[c.split()[0] for c in COLUMNS.split(", ")]), F.struct("batch", ~F.col("expired")))
+    last = F.max_by(F.struct(*NAMES), F.struct("batch", ~F.col("expired")))
     return rows.groupBy("conv_id").agg(last.alias("s")).select("s.*")
 
 
@@ -124,5 +146,5 @@ def kept_conversations(operations: DataFrame, idle_ms: int, late: str = "0 secon
     The session's state store has to be the one on disk (``ROCKS``), which list and map state need.
     """
     ship(operations.sparkSession)
-    timed = operations.withWatermark("ts", late).groupBy("conv_id")
-    return timed.transformWithStateInPandas(statefulProcessor=Conversation(idle_ms), outputStructType=COLUMNS, outputMode="Update", timeMode="EventTime")
+    timed = operations.withWatermark("ts", late).withColumn("at", F.unix_millis("ts")).groupBy("conv_id")
+    return timed.transformWithState(statefulProcessor=Conversation(idle_ms), outputStructType=COLUMNS, outputMode="Update", timeMode="EventTime")
