@@ -122,11 +122,13 @@ class Conversation(StatefulProcessor):
 def last_states(spark, stream_of, idle_ms: int, work, name: str = "kept") -> DataFrame:
     """Run ``kept_conversations`` over what a stream has now: the last state of each conversation.
 
-    ``stream_of`` makes the stream of operations from a session, which is a new one: the state store is set for it alone.
-    Each batch is written to ``work``, under its number, so that a batch that runs twice counts once.
+    ``stream_of`` makes the stream of operations from a session, which is a new one: the state store is set for it alone,
+    with as many partitions as ``spark`` has now, and no space on disk set aside for each (4 MB otherwise). Each batch is written to ``work``, under its number, so that a batch that runs twice counts once.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     out, marks = f"{work.root}/{name}", f"{work.root}/{name}-checkpoint"
 
     def put(batch: DataFrame, number: int) -> None:

@@ -1,10 +1,12 @@
 """Conversations as state with list, map and timers."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import Row
 
-from docloom.streaming.kept import ROCKS, TURNS, Conversation, kept_conversations, title_of
+from docloom.streaming.kept import ROCKS, TURNS, Conversation, kept_conversations, last_states, title_of
+from docloom.tables import Workspace
 
 SCHEMA = "conv_id bigint, op string, text string, ts timestamp"
 
@@ -108,3 +110,22 @@ def test_long_batches_go_to_the_state_in_pieces():
     kept.init(handle)
     assert fed(kept, 0, *[("submit", "x", i) for i in range(TURNS + 5)], ("delete", None, 5), *[("finish", "y", i) for i in range(TURNS + 1)]) == [(7, "", TURNS + 1, TURNS + 1, TURNS + 1, False)]
     assert handle.list == [("finish", "y")] * (TURNS + 1) and handle.map == {("finish",): (TURNS + 1,)}
+
+
+def test_state_has_the_partitions_of_the_session_and_no_space_set_aside(spark, tmp_path):
+    spark.createDataFrame([(1, "submit", "a", at(0)), (2, "submit", "b", at(1))], SCHEMA).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    seen = []
+
+    def stream(own):
+        seen.append(own.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate"))
+        return own.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+
+    try:
+        work = Workspace(spark, "kept")
+        assert last_states(spark, stream, 1000, work).count() == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = os.listdir(f"{work.root.removeprefix('file://')}/kept-checkpoint/state/0")
+    assert sorted(s for s in stores if s.isdigit()) == ["0", "1", "2"] and seen == ["false"]
