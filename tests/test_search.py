@@ -137,3 +137,17 @@ def test_scores_are_held_for_some_questions_at_a_time(spark):
     asked = rows.filter("doc < 520").withColumnRenamed("doc", "qid")
     got = V.nearest(asked, rows, 1, digits=6).collect()
     assert sorted(r.qid for r in got) == list(range(520)) and all(r.score == 1.0 for r in got)
+
+
+def test_term_counts_need_no_index(spark, sf, tmp_path):
+    """The query of all terms writes no table of its own, and has the terms, counts and weights of an index."""
+    from docloom.plans import catalogue
+    from docloom.tables import _ROOTS
+
+    docs = some_docs(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    made = len(_ROOTS)
+    got = {(r.term, r.df, r.idf) for r in catalogue.QUERIES["term_df"](spark, str(tmp_path)).collect()}
+    assert len(_ROOTS) == made
+    assert got == {(r.term, r.df, r.idf) for r in R.build_index(docs).frequencies.withColumn("idf", F.round("idf", 6)).collect()}
+    assert R.frequencies(docs.limit(0)).count() == 0

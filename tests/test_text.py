@@ -205,3 +205,13 @@ def test_only_texts_that_may_change_go_to_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = df.select("i", X.nfc(F.col("t")).alias("n")).orderBy("i").collect()
     assert [r.n for r in got] == [t and unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_terms_are_cut_at_all_that_is_no_letter_or_digit(spark):
+    """Every code point, between letters: the ranges that are written out are those the class leaves."""
+    from docloom.functions import text as T
+
+    points = spark.createDataFrame([(i, chr(i)) for i in range(0x110000) if not 0xD800 <= i < 0xE000], "i int, c string")
+    around = F.concat(F.lit(" Ba"), "c", "c", F.lit("9"), "c")
+    want = F.filter(F.split(F.lower(around), "[^0-9a-zà-ỹ]+"), lambda w: w != "")
+    assert points.filter((T.terms(around) != want) | (T.term_line(around) != F.array_join(want, " "))).count() == 0
