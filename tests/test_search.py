@@ -151,3 +151,27 @@ def test_term_counts_need_no_index(spark, sf, tmp_path):
     assert len(_ROOTS) == made
     assert got == {(r.term, r.df, r.idf) for r in R.build_index(docs).frequencies.withColumn("idf", F.round("idf", 6)).collect()}
     assert R.frequencies(docs.limit(0)).count() == 0
+
+
+def _moved(spark):
+    """Bytes that all tasks so far have written for shuffles."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_an_index_is_built_and_read_without_moving_texts(spark, monkeypatch):
+    """Blocks are inverted where their documents are, and sums by question and document stay in their task."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(20, 200)))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20))) for i in range(60)], "qid int, text string")
+    size = sum(len(text) for _, text in rows)
+    before = _moved(spark)
+    index = X.StoredIndex(spark, Workspace(spark, "test").root).add(docs)
+    built = _moved(spark)
+    got = hits(X.search(asked, index, k=5, digits=6))
+    assert built - before < size / 8 and _moved(spark) - built < 2 * size
+    assert got == hits(R.bm25(asked, R.build_index(docs), k=5, digits=6))
+    assert index.places().agg(F.sum(F.size("docs"))).first()[0] == 4000
+    monkeypatch.setattr(X, "ASKED", 7)
+    monkeypatch.setattr(X, "TERMS", 11)
+    assert hits(X.search(asked, index, k=5, digits=6)) == got
