@@ -41,8 +41,8 @@ def is_header(cells: Column) -> Column:
     return _has_headers(F.transform(cells, lambda c: F.lower(X.strip(c))))
 
 
-def _has_headers(low: Column) -> Column:
-    return (F.size(low) >= 3) & (F.size(F.filter(low, lambda c: c.isin(*HEADER_CELLS))) >= 3)
+def _has_headers(cells: Column, low=lambda c: c) -> Column:
+    return (F.size(cells) >= 3) & (F.size(F.filter(cells, lambda c: low(c).isin(*HEADER_CELLS))) >= 3)
 
 
 def credit(text: Column) -> Column:
@@ -87,16 +87,17 @@ def read_rows(rows: DataFrame) -> DataFrame:
     # each step has columns of its own: what a lambda refers to is computed anew for each element
     df = rows.select("source", "ord", F.col("kind").alias("block"), F.transform("cells", lambda c: X.squeeze(F.coalesce(c, F.lit("")))).alias("cells"))
     df = df.withColumn("cells", F.when(F.col("block") == "row", collapse(F.col("cells"))).otherwise(F.col("cells")))
-    # squeezed cells hold no line ends, so all are lowered as one text
-    df = df.withColumn("_low", F.split(F.lower(F.array_join("cells", "\n")), "\n", -1))
-    df = df.withColumn("_open", (F.col("block") == "row") & ~_has_headers(F.col("_low")))
+    df = df.withColumn("_open", (F.col("block") == "row") & ~_has_headers(F.col("cells"), F.lower))
+    # a first cell of digits alone, as courses have, opens nothing; squeezed cells hold no line ends, so all are lowered as one text
+    number = F.coalesce(F.get("cells", 0), F.lit("")).rlike("^[0-9]+$")
+    df = df.withColumn("_low", F.when(~number, F.split(F.lower(F.array_join("cells", "\n")), "\n", -1)))
     first = F.coalesce(F.get("_low", 0), F.lit(""))
     para = F.when(F.col("block") == "para", F.regexp_extract(F.array_join("cells", " "), SEMESTER, 1))
-    named = F.when(F.col("_open"), F.regexp_extract(first, "^" + SEMESTER, 1))
+    named = F.when(F.col("_open") & first.startswith("h"), F.regexp_extract(first, "^" + SEMESTER, 1))  # few cells begin so
     df = df.withColumn("_new", F.nullif(F.coalesce(F.nullif(para, F.lit("")), named), F.lit("")).cast("int"))
     begins = F.col("_new").isNotNull()
     df = df.withColumn("_open", F.col("_open") & ~begins)
-    df = df.withColumn("_opened", F.when(F.col("_open"), opening(F.col("cells"), F.col("_low"))))
+    df = df.withColumn("_opened", F.when(F.col("_open") & F.col("_low").isNotNull(), opening(F.col("cells"), F.col("_low"))))
     kind, name = F.col("_opened.kind"), F.col("_opened.name")
     # a semester resets all; a group resets the track and keeps the system; a system resets the track; a track sets the group
     group = F.when(begins, F.lit(REQUIRED)).when(kind == "group", name).when(kind == "track", F.lit(TRACK))
@@ -114,7 +115,8 @@ def read_rows(rows: DataFrame) -> DataFrame:
 
 
 def _is_total(cells: Column) -> Column:
-    return F.lower(F.coalesce(F.get(cells, 0), F.lit(""))).rlike("^(tổng|tong)")
+    low = F.lower(F.coalesce(F.get(cells, 0), F.lit("")))
+    return low.startswith("tổng") | low.startswith("tong")
 
 
 def _course() -> Column:
@@ -179,13 +181,16 @@ def metadata(rows: DataFrame, tables: int = 4, sources: DataFrame | None = None)
 
 
 def programs(rows: DataFrame) -> DataFrame:
-    """One row for each plan: totals over semesters, whether it has two systems, number of courses, semesters as a nested array."""
+    """One row for each plan: totals over semesters, whether it has two systems, numbers of courses and of semesters with a mismatch, semesters as a nested array.
+
+    Callers that leave out ``semesters`` have no lists collected, of semesters nor of tracks and systems in them.
+    """
     each = _semesters(rows)
     told = F.col("_marks") > 0
     of = lambda c: F.when(told, c)
     fields = [c for c in each.columns if c not in ("source", "_marks", "_n")]
     got = each.groupBy("source").agg(
         F.count_if(told).alias("n_semesters"), F.sum(of(F.col("total"))).alias("total_credits"), F.sum(of(F.coalesce("total_engineer", "total"))).alias("total_credits_engineer"),
-        F.max(of(F.col("total_engineer").isNotNull())).alias("two_systems"), F.sort_array(F.collect_list(of(F.struct(*fields)))).alias("semesters"), F.sum("_n").alias("n_courses"),
+        F.max(of(F.col("total_engineer").isNotNull())).alias("two_systems"), F.sort_array(F.collect_list(of(F.struct(*fields)))).alias("semesters"), F.sum("_n").alias("n_courses"), F.count_if(told & F.col("mismatch")).alias("n_mismatch"),
     )
     return got.filter("n_semesters > 0")

@@ -92,3 +92,18 @@ def test_programmes_are_summed_in_one_pass(spark, sf):
 
 def test_forms_are_read_in_one_window(spark, sf):
     assert _plan_of_query(spark, sf, "form_parse").count("Window [") == 1
+
+
+def test_programmes_without_their_semesters_collect_no_lists(spark, sf):
+    """Only sums go on where the lists of semesters, tracks and systems are not asked for; their numbers stay."""
+    assert "collect_list" not in _plan_of_query(spark, sf, "program_rollup")
+    p = plan_tables(spark)[3]
+    lists = F.size(F.filter("semesters", lambda s: s["mismatch"])).cast("long")
+    assert p.filter(p.n_mismatch != lists).count() == 0 and {r[0] for r in p.select("n_mismatch").collect()} == {1, 2}
+
+
+def test_rows_that_begin_with_a_number_may_be_headers(spark):
+    """A first cell of digits opens nothing, but a header may stand behind it; the same row with other names is a course."""
+    rows = [(0, "para", ["Học kỳ 1"]), (1, "row", ["1", "MÃ HP", "Tên học phần", "Số tín chỉ", "2,0"]), (2, "row", ["1", "HP1", "Toán", "2,0", ""]), (3, "row", ["2.1", "Chuyên ngành T1", "3,0"]), (4, "row", ["1", "HP2", "Lý", "3,0", ""])]
+    got = U.course_records(spark.createDataFrame([("p", o, k, 9, c) for o, k, c in rows], "source string, ord long, kind string, table int, cells array<string>")).orderBy("ord").collect()
+    assert [(r.code, r.track) for r in got] == [("HP1", ""), ("HP2", "Chuyên ngành T1")]
